@@ -7,15 +7,16 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the session's spark.checkpoint.dir; only where that is unset (tests) a folder of our own."""
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; only where that is unset (tests) a folder of our own."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    place = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or tempfile.mkdtemp(prefix="checkpoints-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(place)
+    return place
 
 
 def settle(df: DataFrame) -> DataFrame:
     """Computes df once into the shared checkpoint folder and cuts its lineage there."""
-    ensure_checkpoint_dir(df.sparkSession)
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)

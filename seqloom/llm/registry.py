@@ -2,11 +2,26 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import simhash, winnowing
-from seqloom.llm.batches import table
+from seqloom.llm import bpe_monoid, language_id, quality_mil, simhash, token_count, toxicity, winnowing
+from seqloom.llm.batches import fold, table
+
+
+def _held_out(modulus: int, remainder: int):
+    return (fold("doc_id", modulus) == remainder).alias("held_out")
+
+
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_monoid.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", _held_out(4, 2), "score", "predicted")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,9 +33,30 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fp_hex("fp").alias("fingerprint"), F.col("component_id").cast("long").alias("component_id"))
 
 
+def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.identify(docs, language_id.learn(docs))
+    return found.select("doc_id", _held_out(4, 2), "lang_pred", "score", "ambiguous")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = quality_mil.score(docs, quality_mil.learn(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", _held_out(3, 1), "score", "predicted")
+
+
 QUERIES = {
+    "op1_byte_bpe": op1_byte_bpe,
+    "op2_toxicity": op2_toxicity,
     "op5_decontamination": op5_decontamination,
     "op6_simhash": op6_simhash,
+    "op7_token_count": op7_token_count,
+    "op9_language_id": op9_language_id,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
