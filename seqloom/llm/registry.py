@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import bpe_monoid, language_id, quality_mil, simhash, token_count, toxicity, winnowing
+from seqloom.llm import bpe_monoid, chat_format, html_crf, language_id, quality_mil, simhash, spotsigs, token_count, toxicity, winnowing
 from seqloom.llm.batches import fold, table
 
 
@@ -24,6 +24,23 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", _held_out(4, 2), "score", "predicted")
 
 
+def op3_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+#: A conversation whose contents look like control strings, added to the table.
+CONTROL_CASE = "(-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')"
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    kinds = dict(rows.dtypes)
+    case = spark.sql(f"SELECT * FROM VALUES {CONTROL_CASE} AS t(conv_id, turn, role, text)")
+    whole = rows.unionByName(case.select(*[F.col(c).cast(kinds[c]).alias(c) for c in rows.columns]))
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return chat_format.digest_conversations(chat_format.format_turns(whole, path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN)
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.report(winnowing.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -37,6 +54,10 @@ def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language_id.identify(docs, language_id.learn(docs))
@@ -52,9 +73,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_toxicity": op2_toxicity,
+    "op3_spotsigs": op3_spotsigs,
+    "op4_chat_format": op4_chat_format,
     "op5_decontamination": op5_decontamination,
     "op6_simhash": op6_simhash,
     "op7_token_count": op7_token_count,
+    "op8_html_extraction": op8_html_extraction,
     "op9_language_id": op9_language_id,
     "op10_quality": op10_quality,
 }
