@@ -206,7 +206,8 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: int = 1, modulus: int =
     def run(batch: pa.RecordBatch) -> dict:
         return {"y": batch["y"], "bag": [b.astype(np.float32).tobytes() for b in bag(batch["text"].to_pylist())]}
 
-    rows = texts(docs).join(marks.filter(chance < share), "doc_id").select("y", "text")
+    # The sample is bounded, about 2 * per_class ids, so it goes to the texts and not they to it.
+    rows = texts(docs).join(F.broadcast(marks.filter(chance < share)), "doc_id").select("y", "text")
     got = map_columns(rows, run, "y int, bag binary").limit(4 * per_class).toArrow()
     bags = [np.frombuffer(b, np.float32).reshape(-1, SIZE) for b in got["bag"].to_pylist()]
     return Model.fit(bags, got["y"].to_pylist(), n.get(1, 0) / sum(n.values()))

@@ -182,7 +182,8 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: int = 2, modulus: int =
         twins = iter(features([o for o in others if o is not None]))
         return {"y": batch["y"], "bag": [b.tolist() for b in features(values)], "twin": [next(twins).tolist() if o is not None else None for o in others]}
 
-    rows = texts(docs).join(marks.filter(chance < share), "doc_id").select("y", "text")
+    # The sample is bounded, about 2 * per_class ids, so it goes to the texts and not they to it.
+    rows = texts(docs).join(F.broadcast(marks.filter(chance < share)), "doc_id").select("y", "text")
     got = map_columns(rows, run, "y int, bag array<int>, twin array<int>").limit(4 * per_class).toArrow()
     bags = [np.asarray(x.values.to_numpy(zero_copy_only=False), np.int64) for x in got["bag"]] if got.num_rows else []
     twins = [np.asarray(x.values.to_numpy(zero_copy_only=False), np.int64) if x.is_valid else None for x in got["twin"]] if got.num_rows else []
