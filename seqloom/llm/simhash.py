@@ -209,8 +209,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     found = near_duplicates(docs)
-    stay = found.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.text_hash").alias("__hash"))
-    keyed = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col("text"), F.lit("")))).withColumn("__id", F.col("doc_id"))
-    joined = keyed.join(stay, keyed["__id"].eqNullSafe(stay["__id"]) & (keyed["__hash"] == stay["__hash"]), "left_semi")
+    # Plain keys without nulls: the window below then finds its rows where the join has put them.
+    name = F.concat(F.col("doc_id").isNull().cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    first = F.min(F.struct("doc_id", "text_hash")).alias("k")
+    stay = found.groupBy("root").agg(first).select(F.col("k.doc_id").alias("doc_id"), F.col("k.text_hash").alias("__hash")).select(name.alias("__id"), "__hash").distinct()
+    keyed = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col("text"), F.lit("")))).withColumn("__id", name)
+    joined = keyed.join(stay, ["__id", "__hash"], "left_semi")
     one = joined.withColumn("__n", F.row_number().over(Window.partitionBy("__id", "__hash").orderBy(F.lit(1))))
     return one.filter("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
