@@ -31,3 +31,11 @@ def ship_package(spark: SparkSession) -> None:
             z.write(p, p.relative_to(_ROOT.parent))
     sc.addPyFile(str(path))
     _SHIPPED.add(sc.applicationId)
+
+
+def settle(df):
+    """Computes df once into the folder of spark.checkpoint.dir (a folder of our own where that is unset) and cuts its lineage there."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint(eager=True)
