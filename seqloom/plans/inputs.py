@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 K = 21
@@ -25,16 +25,19 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("seq"))
 
 
-def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Search results made from order lines: one row for each line, several targets and chunks for a query."""
+def matches(spark: SparkSession, sf_dir: str, cov: Column | None = None) -> DataFrame:
+    """Search results made from order lines: one row for each line, several targets and chunks for a query.
+
+    cov, where it isn't null, is the coverage instead."""
     li = table(spark, sf_dir, "lineitem")
+    own = F.round(0.5 + 4 * F.col("l_discount") + 1.25 * F.col("l_tax"), 4)
     return li.select(
         F.col("l_orderkey").alias("query"),
         F.col("l_suppkey").alias("target"),
         (F.col("l_partkey") % 10).cast("int").alias("chunk_idx"),
         F.lit(10).alias("chunks"),
         (50 + F.col("l_quantity").cast("int")).cast("int").alias("q_len"),
-        F.round(0.5 + 4 * F.col("l_discount") + 1.25 * F.col("l_tax"), 4).alias("q_cov"),
+        (own if cov is None else F.coalesce(cov, own)).alias("q_cov"),
         F.lit(0.0).alias("fpr"),
         F.col("l_linenumber").alias("line"),
     )

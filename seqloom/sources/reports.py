@@ -50,9 +50,13 @@ def write_tsv(df: DataFrame, path: str, header: bool = True, gzip: bool = False)
 
 def write_lines(df: DataFrame, path: str, head: list[str], columns: list[str], order: list[Column]) -> None:
     """Head lines, then rows as tab-separated text in order, as one file: reports have as many rows as taxa."""
-    rows = df.orderBy(*order).select(F.concat_ws("\t", *[F.col(c).cast("string") for c in columns]).alias("value"))
-    first = df.sparkSession.createDataFrame([(h,) for h in head], "value string") if head else None
-    (first.unionByName(rows) if first is not None else rows).coalesce(1).write.mode("overwrite").text(path)
+    from pyspark.sql import Window
+
+    line = F.concat_ws("\t", *[F.col(c).cast("string") for c in columns])
+    rows = df.select((F.row_number().over(Window.orderBy(*order)) + len(head)).cast("long").alias("n"), line.alias("value"))
+    if head:
+        rows = df.sparkSession.createDataFrame(list(enumerate(head)), "n long, value string").unionByName(rows)
+    rows.repartition(1).sortWithinPartitions("n").select("value").write.mode("overwrite").text(path)
 
 
 def write_cami(report: DataFrame, path: str, sample: str = "", version: str = "0.9.1", taxonomy: str = "", show: tuple[str, ...] = RANKS) -> None:
