@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,4 +85,51 @@ QUERIES = {
     "op10_quality": op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _words_sql(text: str) -> str:
+    return f"regexp_extract_all(translate(coalesce({text}, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+#: Windows of eight words by plain comparison of all of them; short items have one window of their own length.
+OP5_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_words_sql('text')} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_words_sql('text')} AS w FROM benchmark),
+bw AS (
+  SELECT DISTINCT item, 8 AS size, array_to_string(w[i:i + 7], ' ') AS win FROM (SELECT item, w, unnest(range(1, len(w) - 6)) AS i FROM b WHERE len(w) >= 8)
+  UNION SELECT item, len(w), array_to_string(w, ' ') FROM b WHERE len(w) BETWEEN 1 AND 7),
+dw AS (
+  SELECT r, size, i, array_to_string(w[i:i + size - 1], ' ') AS win
+  FROM (SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM bw) WHERE len(w) >= size)),
+h AS (SELECT r, size, i, item FROM dw JOIN bw USING (size, win)),
+p AS (SELECT r, count(DISTINCT x) AS n_hit FROM (SELECT r, unnest(range(i, i + size)) AS x FROM h) GROUP BY r),
+m AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
+FROM d LEFT JOIN p USING (r) LEFT JOIN m USING (r)"""
+
+
+def _escaped_sql(text: str) -> str:
+    """Content as it is written in the template: one more backslash inside each control string."""
+    rest = [(c[0], c[1:]) for c in chat_format.CONTROL]
+    for first in ("<", "["):
+        names = "|".join(re.escape(c) for f, c in rest if f == first)
+        text = f"regexp_replace({text}, '(\\{first})(\\\\*(?:{names}))', '\\1\\\\\\2', 'g')".replace("\\<", "<")
+    return text
+
+
+OP4_SQL = f"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES {CONTROL_CASE}) AS t(conv_id, turn, role, text))
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST({sum(len(chat_format.RESERVED[i]) for i in (chat_format.BOS, chat_format.EOS))}
+            + sum({sum(len(chat_format.RESERVED[i]) for i in (chat_format.TURN, chat_format.TEXT, chat_format.END))} + length({_escaped_sql('role')}) + length({_escaped_sql('text')})) AS BIGINT) AS formatted_chars
+FROM rows GROUP BY conv_id"""
+
+#: The others have no SQL: trained models, tokenizers' merges, XXH64 with a seed, or a fingerprint of our own.
+ORACLE_SQL: dict[str, str] = {"op4_chat_format": OP4_SQL, "op5_decontamination": OP5_SQL}
