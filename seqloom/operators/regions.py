@@ -17,7 +17,7 @@ def windows(found: DataFrame, pattern: str = NAME, min_q_cov: float = 0.55, max_
     per = rows.groupBy("query").agg(F.avg("q_cov").alias("score"), F.count("*").alias("_n"))
     ref = F.regexp_extract("query", pattern, 1)
     ref = F.when(ref == "", F.raise_error(F.concat(F.lit("no region in the name "), F.col("query")))).otherwise(ref)
-    return per.select(ref.alias("ref"), F.regexp_extract("query", pattern, 2).cast("int").alias("begin"), F.regexp_extract("query", pattern, 3).cast("int").alias("end"), F.when(F.col("_n") == 1, assembly).otherwise(species).alias("type"), "score")
+    return per.select(ref.alias("ref"), F.regexp_extract("query", pattern, 2).try_cast("int").alias("begin"), F.regexp_extract("query", pattern, 3).try_cast("int").alias("end"), F.when(F.col("_n") == 1, assembly).otherwise(species).alias("type"), "score")
 
 
 def merge(items: DataFrame, max_gap: int = 0, min_overlap: int = 1, ignore_type: bool = False, species: str = SPECIES) -> DataFrame:
