@@ -18,9 +18,9 @@ def reference_name(path: Column, pattern: str, suffix: str = r"(?i)\.(fa|fq|fna|
     return F.coalesce(F.nullif(F.regexp_extract(path, pattern, 1), F.lit("")), F.regexp_replace(path, suffix, ""))
 
 
-def trim_extension(name: Column) -> Column:
-    """Without .unik, .gz and the endings of sequence files."""
-    bare = F.regexp_replace(F.regexp_replace(name, r"(?i)\.gz$", ""), r"(?i)\.unik$", "")
+def trim_extension(name: Column, set_suffix: str = "kset") -> Column:
+    """Without .gz, the ending of set files and one of sequence files; a name's other dots stay."""
+    bare = F.regexp_replace(F.regexp_replace(name, r"(?i)\.gz$", ""), rf"(?i)\.{set_suffix}$", "")
     return F.regexp_replace(bare, r"(?i)\.(fasta|fastq|fna|fa|fq)$", "")
 
 

@@ -198,12 +198,12 @@ SKETCH_SQL = f"sk AS (SELECT ref_id, h FROM (SELECT DISTINCT doc_id AS ref_id, {
 
 @query(
     "sketch_similarity",
-    f"WITH {SKETCH_SQL}, n AS (SELECT ref_id, count(*) AS n FROM sk GROUP BY 1), df AS (SELECT h, count(*) AS c FROM sk GROUP BY 1), p AS (SELECT a.ref_id AS a, b.ref_id AS b, count(*) AS m FROM sk a JOIN sk b USING (h) JOIN df USING (h) WHERE a.ref_id < b.ref_id AND c <= 50 GROUP BY 1, 2) "
+    f"WITH {SKETCH_SQL}, n AS (SELECT ref_id, count(*) AS n FROM sk GROUP BY 1), p AS (SELECT a.ref_id AS a, b.ref_id AS b, count(*) AS m FROM sk a JOIN sk b USING (h) WHERE a.ref_id < b.ref_id GROUP BY 1, 2) "
     "SELECT a, b, m, round(m / x.n, 6) AS q_cov, round(m / y.n, 6) AS t_cov, round(m / (x.n + y.n - m), 6) AS jacc FROM p JOIN n x ON x.ref_id = a JOIN n y ON y.ref_id = b WHERE m >= 3",
 )
 def sketch_similarity(spark, d):
-    """Pairs of documents that share sketch hashes; hashes of more than 50 documents identify nothing here (a parameter)."""
-    return rounded(similarity.sketch_pairs(sketch.kmer_sets(I.sequences(spark, d), K, "md5", 100, keep=("ref_id",)), min_shared=3, max_df=50), "q_cov", "t_cov", "jacc")
+    """Pairs of documents that share three sketch hashes at least."""
+    return rounded(similarity.sketch_pairs(sketch.kmer_sets(I.sequences(spark, d), K, "md5", 100, keep=("ref_id",)), min_shared=3), "q_cov", "t_cov", "jacc")
 
 
 DNA_SQL = "SELECT doc_id AS ref_id, list_aggregate(list_transform(string_split(text, ''), lambda c: substr('ACGT', CAST(unicode(c) % 4 AS INTEGER) + 1, 1)), 'string_agg', '') AS seq FROM documents"

@@ -256,7 +256,7 @@ def test_fragments(spark):
     frags = split.fragments(other, 21)
     got = split.assign_fragments(sketch.chunks(ref, 21, number=4, overlap=20), frags, 21, all_if_none=True).collect()
     assert {r.chunk_idx for r in got if r.m_kmers > 0} <= {0, 3} and sum(r.m_kmers == 0 for r in got) % 4 == 0
-    names = spark.createDataFrame([("X.2.fasta.gz",), ("y.unik",), ("z.fq",)], "n string")
+    names = spark.createDataFrame([("X.2.fasta.gz",), ("y.kset",), ("z.fq",)], "n string")
     assert [r.x for r in names.select(split.trim_extension(F.col("n")).alias("x")).collect()] == ["X.2", "y", "z"]
 
 
