@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions.rates import bloom_fpr, signature_size
 from seqloom.operators import sketch
+from seqloom.session import settle
 
 #: Blocks whose lengths go with a query at once; more are visited in turns of so many.
 BLOCKS_AT_ONCE = 4096
@@ -34,7 +35,8 @@ def pack(sets: DataFrame, block_size: int, regimes: tuple[tuple[int, int], ...]
     for i, (threshold, n) in enumerate(regimes, 1):
         order = F.when(F.col("n_kmers") > threshold, F.lit(i)).otherwise(order)
         size = F.when(F.col("n_kmers") > threshold, F.lit(n)).otherwise(size)
-    rows = sets.select(*ref, "n_kmers").filter("n_kmers > 0").withColumn("regime", order).withColumn("_size", size)
+    # Numbering reads its rows several times: the names and counts are settled, so that sets are built once.
+    rows = settle(sets.select(*ref, "n_kmers").filter("n_kmers > 0")).withColumn("regime", order).withColumn("_size", size)
     rows = sketch.numbered(rows, ["regime", "n_kmers", *ref])
     start = rows.groupBy("regime").agg(F.min("query_idx").alias("_first"))
     rows = rows.join(F.broadcast(start), "regime").withColumn("_i", F.col("query_idx") - F.col("_first"))

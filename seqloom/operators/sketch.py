@@ -93,10 +93,12 @@ def exploded(sets: DataFrame, keep: tuple[str, ...] = ("ref_id", "chunk_idx")) -
 def minimizers(seqs: DataFrame, k: int, window: int, kind: str = "md5", id_col: str = "ref_id", seq_col: str = "seq") -> DataFrame:
     """(id, pos, kmer): positions that hold the least hash of some window of ``window`` k-mers (the first of equals)."""
     rows = seqs.withColumn("_h", kmer_array(F.col(seq_col), k, kind)).filter(F.size("_h") >= window)
-    least = F.transform(F.sequence(F.lit(1), F.size("_h") - window + 1), lambda at: F.array_min(F.slice("_h", at, F.lit(window))))
-    place = F.transform(F.sequence(F.lit(1), F.size("_h") - window + 1), lambda at: (at - 2 + F.array_position(F.slice("_h", at, F.lit(window)), F.array_min(F.slice("_h", at, F.lit(window))))).cast("long"))
-    spots = F.arrays_zip(place.alias("pos"), least.alias("kmer"))
-    return rows.select(id_col, F.explode(F.array_distinct(spots)).alias("_m")).select(id_col, F.col("_m.pos").alias("pos"), F.col("_m.kmer").alias("kmer"))
+    # One slice for each window: structs compare by hash, then by place. Distinct places are longs, which hash;
+    # distinct structs would be compared each with each.
+    marked = rows.withColumn("_m", F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.cast("long").alias("pos"))))
+    least = F.transform(F.sequence(F.lit(1), F.size("_m") - window + 1), lambda at: F.array_min(F.slice("_m", at, F.lit(window)))["pos"])
+    spots = marked.select(id_col, "_h", F.explode(F.array_distinct(least)).alias("pos"))
+    return spots.select(id_col, "pos", F.element_at("_h", (F.col("pos") + 1).cast("int")).alias("kmer"))
 
 
 def syncmers(seqs: DataFrame, k: int, s: int, kind: str = "md5", id_col: str = "ref_id", seq_col: str = "seq") -> DataFrame:
