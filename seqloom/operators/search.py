@@ -88,7 +88,7 @@ def keep_unmatched(queries: DataFrame, found: DataFrame) -> DataFrame:
     return out.select("query", "q_len", "q_kmers", *[F.coalesce(F.col(c), F.lit(fill[c]).cast(kinds[c])).alias(c) for c in cols])
 
 
-def search(queries: DataFrame, refs: DataFrame, k: int = 21, min_query_len: int = 30, seq2_col: str | None = None, kind: str = "xx", scale: float = 1, dedup_above: int = 256, db_fpr: float | None = None, **limits) -> DataFrame:
+def search(queries: DataFrame, refs: DataFrame, k: int = 21, min_query_len: int = 30, seq2_col: str | None = None, kind: str = "roll", scale: float = 1, dedup_above: int = 256, db_fpr: float | None = None, **limits) -> DataFrame:
     """Matches of queries (query, seq) in refs (target, chunk_idx, seq) that pass the limits of filtered()."""
     q = sketch.query_kmers(queries, k, kind, dedup_above, seq2_col=seq2_col, scale=scale, min_len=min_query_len)
     sets = sketch.kmer_sets(refs, k, kind, scale, keep=("target", "chunk_idx"))

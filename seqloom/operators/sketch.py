@@ -1,19 +1,34 @@
-"""Sequences to chunks, k-mers and sketches. Everything stays in the row or in built-in expressions."""
+"""Sequences to chunks, k-mers and sketches.
+
+Everything stays in the row, so nothing here shuffles. Chunks are built-in
+expressions; k-mers are hashed with numpy over Arrow batches, where a k-mer costs
+nanoseconds, while the built-in higher-order functions walk strings from the start
+and box each value.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
+
+from seqloom.functions.hashing import hashed, kmer_hashes, max_hash
 
-from seqloom.functions.hashing import hashed, max_hash
+#: Rows that are turned to k-mers together, and the characters that end such a group earlier.
+GROUP_ROWS, GROUP_CHARS = 1024, 1 << 20
 
 #: Characters that are cut out of a long sequence at a time: substring() walks from the start,
 #: so k-mers taken straight from the whole would cost its length squared.
 STRIDE = 256
 
 
-def kmer_array(seq: Column, k: int, kind: str = "xx", stride: int = STRIDE) -> Column:
-    """Array of the hashes of all k-mers of a sequence in order; empty if it is shorter than k."""
+def kmer_array(seq: Column, k: int, kind: str = "text", stride: int = STRIDE) -> Column:
+    """Array of all k-mers of a sequence in order, or of their hashes, by built-in functions; empty if it is shorter than k."""
     pieces = F.transform(F.sequence(F.lit(0), F.length(seq) - k, F.lit(stride)), lambda at: F.substring(seq, at + 1, F.lit(stride + k - 1)))
     grams = F.flatten(F.transform(pieces, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - (k - 1)), lambda i: hashed(F.substring(w, i, F.lit(k)), kind))))
     kind_of = "string" if kind == "text" else "long"
@@ -24,13 +39,77 @@ def reverse_complement(seq: Column) -> Column:
     return F.reverse(F.translate(seq, "ACGTacgt", "TGCAtgca"))
 
 
+def _groups(batch: pa.RecordBatch, cols: tuple[str, ...]) -> Iterator[tuple[int, int, list[tuple[str, ...]]]]:
+    """Consecutive rows of a batch: first, end and their texts (nulls as empty), of bounded size."""
+    texts = list(zip(*(batch[c].to_pylist() for c in cols), strict=True))
+    first, size = 0, 0
+    for i, row in enumerate(texts):
+        size += sum(len(t or "") for t in row)
+        if size >= GROUP_CHARS or i + 1 - first >= GROUP_ROWS or i + 1 == len(texts):
+            yield first, i + 1, [tuple(t or "" for t in r) for r in texts[first : i + 1]]
+            first, size = i + 1, 0
+
+
+def _row_lists(rows: DataFrame, keep: tuple[str, ...], texts: tuple[str, ...], count: StructField, codes: Callable[[list[tuple[str, ...]]], list[np.ndarray]]) -> DataFrame:
+    """keep columns, the number of codes and the codes (longs) of each row's texts as an array."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    out = StructType([*(rows.schema[c] for c in keep), count, StructField("kmers", ArrayType(LongType()))])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(out)
+        for batch in it:
+            for first, end, values in _groups(batch, texts):
+                found = codes(values)
+                sizes = np.array([len(h) for h in found], np.int64)
+                offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
+                kept = [batch[c].slice(first, end - first) for c in keep]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(sizes).cast(arrow.field(count.name).type), lists.cast(arrow.field("kmers").type)], schema=arrow)
+
+    return rows.mapInArrow(run, out)
+
+
+def _row_places(rows: DataFrame, id_col: str, seq_col: str, value: StructField, places: Callable[[list[str]], list[tuple[np.ndarray, pa.Array]]]) -> DataFrame:
+    """(id, pos, value): for each row one line for each of its places."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    rows = rows.select(id_col, seq_col)
+    out = StructType([rows.schema[id_col], StructField("pos", LongType()), value])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(out)
+        for batch in it:
+            for first, end, values in _groups(batch, (seq_col,)):
+                found = places([v[0] for v in values])
+                owner = np.repeat(np.arange(first, end), [len(p) for p, _ in found])
+                yield pa.RecordBatch.from_arrays(
+                    [batch[id_col].take(pa.array(owner)), pa.array(np.concatenate([p for p, _ in found]), pa.int64()), pa.concat_arrays([v for _, v in found]).cast(arrow.field(value.name).type)],
+                    schema=arrow,
+                )
+
+    return rows.mapInArrow(run, out)
+
+
+_COMPLEMENT = str.maketrans("ACGT", "TGCA")
+
+
 def canonical_kmers(seqs: DataFrame, k: int, circular: bool = False, id_col: str = "ref_id", seq_col: str = "seq") -> DataFrame:
     """(id, pos, kmer): the smaller of each DNA k-mer and its reverse complement; windows with other letters are skipped."""
-    s = F.upper(F.col(seq_col))
-    if circular:
-        s = F.when(F.length(s) >= k, F.concat(s, F.substring(s, 1, k - 1))).otherwise(s)
-    rows = seqs.select(F.col(id_col), F.posexplode(kmer_array(s, k, "text")).alias("pos", "kmer")).filter(F.col("kmer").rlike(f"^[ACGT]{{{k}}}$"))
-    return rows.select(id_col, F.col("pos").cast("long").alias("pos"), F.least("kmer", reverse_complement(F.col("kmer"))).alias("kmer"))
+
+    def place(text: str) -> tuple[np.ndarray, pa.Array]:
+        s = text.upper()
+        n = len(s)
+        if circular and n >= k:
+            s += s[: k - 1]
+            n = len(s)
+        other = np.array([c not in "ACGT" for c in s], bool)
+        bad = np.concatenate(([0], np.cumsum(other)))
+        at = np.flatnonzero(bad[k:] == bad[:-k]) if n >= k else np.empty(0, np.int64)
+        back = s.translate(_COMPLEMENT)[::-1]
+        return at, pa.array([min(s[i : i + k], back[n - i - k : n - i]) for i in at.tolist()], pa.string())
+
+    return _row_places(seqs, id_col, seq_col, StructField("kmer", StringType()), lambda texts: [place(t) for t in texts])
 
 
 def concatenated(records: DataFrame, key: str, order: str, k: int, seq_col: str = "seq", spacer: str = "N") -> DataFrame:
@@ -71,19 +150,30 @@ def chunks(seqs: DataFrame, k: int, number: int = 0, size: int = 0, overlap: int
     return out.select(id_col, "chunk_idx", "chunks", F.col("_p.begin").cast("int").alias("begin"), F.col("_p.seq").alias("seq"))
 
 
-def kmer_sets(chunked: DataFrame, k: int | list[int], kind: str = "xx", scale: float = 1, keep: tuple[str, ...] = ("ref_id", "chunk_idx"), seq_col: str = "seq") -> DataFrame:
+def _selected(codes: np.ndarray, top: int | None) -> np.ndarray:
+    """Without zeros and without those beyond the sketch's largest hash."""
+    return codes[codes != 0] if top is None else codes[(codes != 0) & (codes <= top)]
+
+
+def _distinct(codes: np.ndarray) -> np.ndarray:
+    return pa.array(codes).unique().to_numpy()  # by a hash table, without sorting
+
+
+def kmer_sets(chunked: DataFrame, k: int | list[int], kind: str = "roll", scale: float = 1, keep: tuple[str, ...] = ("ref_id", "chunk_idx"), seq_col: str = "seq") -> DataFrame:
     """keep columns, n_kmers and the distinct hashes of each row as an array.
 
     Distinctness is settled inside the row, so building sets shuffles nothing.
     Several k give the union of their sets; a scale above 1 keeps the smallest
     hashes (FracMinHash); zero hashes are dropped."""
     ks = [k] if isinstance(k, int) else list(k)
-    arrays = [kmer_array(F.col(seq_col), x, kind) for x in ks]
-    codes = F.array_distinct(F.concat(*arrays) if len(arrays) > 1 else arrays[0])
-    if kind != "text":
-        top = max_hash(scale, kind) if scale > 1 else None
-        codes = F.filter(codes, (lambda h: (h != 0) & (h <= top)) if top is not None else (lambda h: h != 0))
-    return chunked.withColumn("_codes", codes).select(*keep, F.size("_codes").cast("long").alias("n_kmers"), F.col("_codes").alias("kmers"))
+    top = max_hash(scale, kind) if scale > 1 else None
+
+    def codes(rows: list[tuple[str, ...]]) -> list[np.ndarray]:
+        texts = [r[0] for r in rows]
+        return [_distinct(np.concatenate([_selected(h, top) for h in hs])) for hs in zip(*(kmer_hashes(texts, x, kind) for x in ks), strict=True)]
+
+    rows = chunked.select(*keep, F.col(seq_col).alias("_seq"))
+    return _row_lists(rows, keep, ("_seq",), StructField("n_kmers", LongType()), codes)
 
 
 def exploded(sets: DataFrame, keep: tuple[str, ...] = ("ref_id", "chunk_idx")) -> DataFrame:
@@ -92,45 +182,49 @@ def exploded(sets: DataFrame, keep: tuple[str, ...] = ("ref_id", "chunk_idx")) -
 
 def minimizers(seqs: DataFrame, k: int, window: int, kind: str = "md5", id_col: str = "ref_id", seq_col: str = "seq") -> DataFrame:
     """(id, pos, kmer): positions that hold the least hash of some window of ``window`` k-mers (the first of equals)."""
-    rows = seqs.withColumn("_h", kmer_array(F.col(seq_col), k, kind)).filter(F.size("_h") >= window)
-    # One slice for each window: structs compare by hash, then by place. Distinct places are longs, which hash;
-    # distinct structs would be compared each with each.
-    marked = rows.withColumn("_m", F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.cast("long").alias("pos"))))
-    least = F.transform(F.sequence(F.lit(1), F.size("_m") - window + 1), lambda at: F.array_min(F.slice("_m", at, F.lit(window)))["pos"])
-    spots = marked.select(id_col, "_h", F.explode(F.array_distinct(least)).alias("pos"))
-    return spots.select(id_col, "pos", F.element_at("_h", (F.col("pos") + 1).cast("int")).alias("kmer"))
+
+    def place(h: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+        if len(h) < window:
+            return h[:0], pa.array(h[:0])
+        spots = np.unique(sliding_window_view(h, window).argmin(axis=1) + np.arange(len(h) - window + 1))
+        return spots, pa.array(h[spots])
+
+    return _row_places(seqs, id_col, seq_col, StructField("kmer", LongType()), lambda texts: [place(h) for h in kmer_hashes(texts, k, kind)])
 
 
 def syncmers(seqs: DataFrame, k: int, s: int, kind: str = "md5", id_col: str = "ref_id", seq_col: str = "seq") -> DataFrame:
     """(id, pos, kmer): closed syncmers, k-mers whose least s-mer stands first or last."""
-    inner = k - s + 1
-    rows = seqs.withColumn("_k", kmer_array(F.col(seq_col), k, kind)).withColumn("_s", kmer_array(F.col(seq_col), s, kind))
-    marks = F.transform("_k", lambda h, i: F.struct(i.cast("long").alias("pos"), h.alias("kmer"), F.slice("_s", i + 1, F.lit(inner)).alias("w")))
-    closed = F.filter(marks, lambda m: (F.element_at(m["w"], 1) == F.array_min(m["w"])) | (F.element_at(m["w"], -1) == F.array_min(m["w"])))
-    return rows.select(id_col, F.explode(closed).alias("_m")).select(id_col, F.col("_m.pos").alias("pos"), F.col("_m.kmer").alias("kmer"))
 
+    def place(h: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+        if len(h) == 0:
+            return h, pa.array(h)
+        inside = sliding_window_view(inner, k - s + 1)
+        least = inside.min(axis=1)
+        spots = np.flatnonzero((inside[:, 0] == least) | (inside[:, -1] == least))
+        return spots, pa.array(h[spots])
+
+    return _row_places(seqs, id_col, seq_col, StructField("kmer", LongType()), lambda texts: list(map(place, kmer_hashes(texts, k, kind), kmer_hashes(texts, s, kind))))
 
-def query_kmers(queries: DataFrame, k: int, kind: str = "xx", dedup_above: int = 256, id_col: str = "query", seq_col: str = "seq", seq2_col: str | None = None, scale: float = 1, min_len: int = 0) -> DataFrame:
+
+def query_kmers(queries: DataFrame, k: int, kind: str = "roll", dedup_above: int = 256, id_col: str = "query", seq_col: str = "seq", seq2_col: str | None = None, scale: float = 1, min_len: int = 0) -> DataFrame:
     """(query, q_len, q_kmers, kmers): duplicates stay unless there are more than ``dedup_above`` k-mers.
 
     Mates add their k-mers to the same list. Queries shorter than min_len, with no
     mate that long either, have none."""
-    codes = kmer_array(F.col(seq_col), k, kind)
-    length = F.length(seq_col)
-    if seq2_col:
-        mate = F.coalesce(F.col(seq2_col), F.lit(""))
-        codes = F.concat(codes, kmer_array(mate, k, kind))
-        usable = (F.length(seq_col) >= min_len) | (F.length(mate) >= min_len)
-        length = length + F.length(mate)
-    else:
-        usable = F.length(seq_col) >= min_len
-    if kind != "text":
-        top = max_hash(scale, kind) if scale > 1 else None
-        codes = F.filter(codes, (lambda h: (h != 0) & (h <= top)) if top is not None else (lambda h: h != 0))
-    codes = F.when(usable, codes).otherwise(F.slice(codes, 1, 0))
-    codes = F.when(F.size(codes) > dedup_above, F.array_distinct(codes)).otherwise(codes)
-    rows = queries.select(F.col(id_col).alias("query"), length.cast("int").alias("q_len"), codes.alias("kmers"))
-    return rows.select("query", "q_len", F.size("kmers").cast("int").alias("q_kmers"), "kmers")
+    mate = F.coalesce(F.col(seq2_col), F.lit("")) if seq2_col else F.lit("")
+    length = F.length(seq_col) + F.length(mate)
+    top = max_hash(scale, kind) if scale > 1 else None
+
+    def codes(pairs: list[tuple[str, ...]]) -> list[np.ndarray]:
+        usable = [p if max(map(len, p)) >= min_len else ("", "") for p in pairs]
+        return list(map(chosen, *(kmer_hashes([p[i] for p in usable], k, kind) for i in (0, 1))))
+
+    def chosen(own: np.ndarray, other: np.ndarray) -> np.ndarray:
+        h = _selected(np.concatenate((own, other)), top)
+        return _distinct(h) if len(h) > dedup_above else h
+
+    rows = queries.select(F.col(id_col).alias("query"), length.cast("int").alias("q_len"), F.col(seq_col).alias("_seq"), mate.alias("_mate"))
+    return _row_lists(rows, ("query", "q_len"), ("_seq", "_mate"), StructField("q_kmers", IntegerType()), codes)
 
 
 def numbered(df: DataFrame, order: list[str]) -> DataFrame:

@@ -12,13 +12,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes up to which texts in fewer files than cores are dealt to all cores before they are hashed.
+SPREAD_BYTES = 1 << 30
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table of few files over all cores, as one row group is one task whatever the split size.
+
+    Larger tables have row groups enough and stay where they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    small = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= SPREAD_BYTES
+    return df.repartition(2 * cores) if small and len(df.inputFiles()) < cores else df
+
+
 def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(target, chunk_idx, seq): each document as one reference of one chunk."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("target"), F.lit(0).alias("chunk_idx"), F.col("text").alias("seq"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("target"), F.lit(0).alias("chunk_idx"), F.col("text").alias("seq"))
 
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ref_id"), F.col("text").alias("seq"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("ref_id"), F.col("text").alias("seq"))
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:

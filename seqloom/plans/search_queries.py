@@ -212,7 +212,7 @@ DNA_SQL = "SELECT doc_id AS ref_id, list_aggregate(list_transform(string_split(t
 def dna(spark, d):
     """Documents as DNA: each character by its code point modulo four."""
     letters = F.transform(F.split("text", ""), lambda c: F.substring(F.lit("ACGT"), F.ascii(c) % 4 + 1, F.lit(1)))
-    return I.table(spark, d, "documents").select(F.col("doc_id").alias("ref_id"), F.array_join(letters, "").alias("seq"))
+    return I.spread(I.table(spark, d, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("ref_id"), F.array_join(letters, "").alias("seq"))
 
 
 RC_SQL = "reverse(translate({0}, 'ACGT', 'TGCA'))"

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from seqloom.operators import search, sketch
 
 
-def search_each_batch(queries: DataFrame, sets: DataFrame, k: int, sink: Callable[[DataFrame, int], None], checkpoint: str, kind: str = "xx", min_query_len: int = 30, **limits) -> StreamingQuery:
+def search_each_batch(queries: DataFrame, sets: DataFrame, k: int, sink: Callable[[DataFrame, int], None], checkpoint: str, kind: str = "roll", min_query_len: int = 30, **limits) -> StreamingQuery:
     """Starts a query that searches each micro-batch of (query, seq) in the reference sets and hands the matches to sink.
 
     All k-mers of a query arrive in one row, so a batch is complete for its queries
