@@ -118,9 +118,9 @@ CONV_SQL = f"SELECT conv_id AS query, string_agg(coalesce(text, ''), '{'N' * (K
     f"{found_sql('qk', 'sel', min_kmers=10, min_q_cov=0.2)} SELECT {OUT_SQL}, {HITS_SQL} FROM found",
 )
 def search_whole_file(spark, d):
-    """Conversations as whole files: all turns of one query, searched in every fifth conversation."""
+    """Conversations as whole files: all turns of one query, searched in all conversations."""
     whole = sketch.concatenated(I.table(spark, d, "conversations"), "conv_id", "turn", K, "text")
-    refs = whole.filter("conv_id % 5 = 0").select(F.col("conv_id").alias("target"), F.lit(0).alias("chunk_idx"), "seq")
+    refs = whole.select(F.col("conv_id").alias("target"), F.lit(0).alias("chunk_idx"), "seq")
     return shaped(search.search(whole.select(F.col("conv_id").alias("query"), "seq"), refs, K, min_q_cov=0.2))
 
 
