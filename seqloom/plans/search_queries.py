@@ -202,8 +202,9 @@ SKETCH_SQL = f"sk AS (SELECT ref_id, h FROM (SELECT DISTINCT doc_id AS ref_id, {
     "SELECT a, b, m, round(m / x.n, 6) AS q_cov, round(m / y.n, 6) AS t_cov, round(m / (x.n + y.n - m), 6) AS jacc FROM p JOIN n x ON x.ref_id = a JOIN n y ON y.ref_id = b WHERE m >= 3",
 )
 def sketch_similarity(spark, d):
-    """Pairs of documents that share three sketch hashes at least."""
-    return rounded(similarity.sketch_pairs(sketch.kmer_sets(I.sequences(spark, d), K, "md5", 100, keep=("ref_id",)), min_shared=3), "q_cov", "t_cov", "jacc")
+    """Pairs of documents that share a sketch hash at least, and all pairs of equal texts."""
+    docs = I.sequences(spark, d).withColumn("digest", F.sha2("seq", 256))
+    return rounded(similarity.sketch_pairs(sketch.kmer_sets(docs, K, "md5", SCALE, keep=("ref_id", "digest")), text_col="digest"), "q_cov", "t_cov", "jacc")
 
 
 DNA_SQL = "SELECT doc_id AS ref_id, list_aggregate(list_transform(string_split(text, ''), lambda c: substr('ACGT', CAST(unicode(c) % 4 AS INTEGER) + 1, 1)), 'string_agg', '') AS seq FROM documents"

@@ -29,3 +29,22 @@ def test_whole_file_searches_every_conversation(spark, tmp_path):
     assert {(1, 2), (2, 1), (1, 7), (7, 1), (5, 5)} <= {w[:2] for w in want}
     got = catalog.QUERIES["search_whole_file"](spark, str(tmp_path)).collect()
     assert {(r.query, r.target, r.m_kmers) for r in got} == want and len(got) == len(want)
+
+
+def test_sketch_similarity_lists_equal_texts_and_single_shared_hashes(spark, tmp_path):
+    texts = ["short", "short", letters(60, 6), letters(60, 6), letters(300, 7), letters(300, 7), letters(900, 8), "other", None, None]
+    texts.append(texts[6][:40] + letters(500, 9))
+    docs = [(i, t) for i, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = catalog.QUERIES["fracminhash_sketch"](spark, str(tmp_path)).collect()
+    sets = {i: {r.kmer for r in rows if r.ref_id == i} for i, _ in docs}
+    want = {}
+    for i, x in docs:
+        for j, y in docs:
+            m = len(sets[i] & sets[j])
+            if i < j and (m or x is not None and x == y):
+                want[i, j] = (m, round(m / len(sets[i] | sets[j]), 6) if m else 1.0)
+    assert {(0, 1), (2, 3), (4, 5)} <= set(want)
+    assert 0 < want[6, 10][0] < 3
+    got = catalog.QUERIES["sketch_similarity"](spark, str(tmp_path)).collect()
+    assert {(r.a, r.b): (r.m, r.jacc) for r in got} == want and len(got) == len(want)
