@@ -37,6 +37,7 @@ class Params:
     max_iters: int = 10
     pct_threshold: float = 0.01
     ambiguity: bool = True
+    exact_order: bool = False  # ambiguity correction target by target instead of as sets
 
     def but(self, **changes) -> Params:
         return replace(self, **changes)
@@ -215,7 +216,7 @@ def before_em(found: DataFrame, species: DataFrame | None, sizes: DataFrame, p:
     rows = annotated(restricted(found, first), species, p)
     if p.ambiguity:
         lost = dominated(first, cooccurrence(rows), p)
-        rows = corrected(rows.drop("n_qt", "is_first", "n_targets", "same", "species"), settle(lost))
+        rows = (corrected_in_order if p.exact_order else corrected)(rows.drop("n_qt", "is_first", "n_targets", "same", "species"), settle(lost))
         rows = annotated(rows, species, p.but(perfect=False, main_gap=None, top_n=0))
     t = targets_of(weighed_chunks(rows, p, None), sizes, p)
     return rows, t, existing(t, p)

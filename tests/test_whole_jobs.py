@@ -2,8 +2,10 @@
 
 import random
 
+from seqloom.operators import profile
 from seqloom.plans import catalog
 from seqloom.plans.inputs import K
+from seqloom.plans.modes import mode
 
 
 def letters(n, seed):
@@ -48,3 +50,19 @@ def test_sketch_similarity_lists_equal_texts_and_single_shared_hashes(spark, tmp
     assert 0 < want[6, 10][0] < 3
     got = catalog.QUERIES["sketch_similarity"](spark, str(tmp_path)).collect()
     assert {(r.a, r.b): (r.m, r.jacc) for r in got} == want and len(got) == len(want)
+
+
+def test_exact_order_of_ambiguity_correction(spark):
+    data = [(t, 0.9) for t, n in (("a", 20), ("b", 16), ("c", 12)) for _ in range(n)]
+    found = [(i, t, c) for i, (t, c) in enumerate(data)]
+    found += [(100 + i, t, c) for i in range(4) for t, c in (("a", 0.9), ("c", 0.7))]
+    found += [(200, t, c) for t, c in (("a", 0.9), ("b", 0.8), ("c", 0.7))]
+    df = spark.createDataFrame([(q, t, 0, 1, 100, c, 0.0, i) for i, (q, t, c) in enumerate(found)], "query long, target string, chunk_idx int, chunks int, q_len int, q_cov double, fpr double, line int")
+    sizes = spark.createDataFrame([(t, 1000) for t in "abc"], "target string, size long")
+
+    def kept(**changes):
+        p = mode(3, dominance=0.9, mismatch=0.9, **changes)
+        return {r.target for r in profile.before_em(df, None, sizes, p)[0].filter("query = 200").collect()}
+
+    assert kept() == {"a"}
+    assert kept(exact_order=True) == {"a", "c"}
