@@ -6,8 +6,8 @@ passage, the neighbouring word and the whole text, and by hashed byte pairs; an
 encoder maps this to ``HIDDEN`` values, gated attention weighs the passages, and
 a linear layer scores the weighted sum. Encoder, attention and scorer are
 learned together, from labels of whole documents only, on a bounded sample
-(``PER_CLASS`` of each class, chosen by a hash of the id; at most ``BAG``
-passages, evenly spread, of a learning text). Scoring takes every passage.
+(``PER_CLASS`` of each class, chosen by a hash of the id). Learning and scoring
+take every passage of a text.
 
 Defined results: null and empty texts are one empty passage; several labels of a
 document count as one, the lowest; with no labelled rows every score is 0.5;
@@ -28,9 +28,8 @@ from seqloom.llm.batches import byte_blocks, fold, map_columns, texts
 PASSAGE = 64
 HIDDEN = 24
 PAIRS = 256
-#: Bounds of the learning sample: rows of each class, passages of each row.
+#: Bound of the learning sample: rows of each class.
 PER_CLASS = 1200
-BAG = 24
 THRESHOLD = 0.5
 
 _SPACE = np.zeros(256, bool)
@@ -186,11 +185,11 @@ class Model:
         return out
 
 
-def bag(values: list[str | None], most: int = BAG) -> Iterator[np.ndarray]:
-    """Passages of each text, at most so many, evenly spread; only learning uses this."""
+def bag(values: list[str | None]) -> Iterator[np.ndarray]:
+    """All passages of each text; only learning uses this."""
     for x, firsts in passages(values):
         for a, b in zip(firsts[:-1].tolist(), firsts[1:].tolist(), strict=True):
-            yield x[a:b] if b - a <= most else x[np.linspace(a, b - 1, most).astype(int)]
+            yield x[a:b]
 
 
 def learn(docs: DataFrame, labels: DataFrame, held_out: int = 1, modulus: int = 3, per_class: int = PER_CLASS) -> Model:

@@ -2,6 +2,7 @@
 
 import random
 
+from seqloom.llm import quality_mil
 from seqloom.operators import profile
 from seqloom.plans import catalog
 from seqloom.plans.inputs import K
@@ -66,3 +67,11 @@ def test_exact_order_of_ambiguity_correction(spark):
 
     assert kept() == {"a"}
     assert kept(exact_order=True) == {"a", "c"}
+
+
+def test_quality_learns_from_every_passage():
+    text = " ".join(letters(5, i) for i in range(quality_mil.PASSAGE * 40 + 1))
+    (x, firsts), = quality_mil.passages(["short text", text])
+    got = list(quality_mil.bag(["short text", text]))
+    assert [len(b) for b in got] == [1, 41] and firsts[-1] == 42
+    assert (got[1] == x[1:]).all()
