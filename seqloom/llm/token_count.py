@@ -1,7 +1,7 @@
 """Token counts with the whole-token shortcut.
 
-Offline, once for each vocabulary, every vocabulary string is merged alone;
-those that come out as one token are proven whole tokens. A pre-token among them
+Offline, once for each vocabulary, every vocabulary string is merged alone, from its
+bytes by the file's merge pairs; those that come out as one token are proven whole tokens. A pre-token among them
 counts as one without any merging; only the rest is merged, by its ranks, and
 remembered in a cache of bounded size. Special strings in a text count as their
 one token and split it, which is the library's default.
@@ -69,15 +69,29 @@ class Counter:
         self.special = regex.compile("|".join(regex.escape(x) for x in sorted(names, key=len, reverse=True))) if names else None
         # Ranks: single bytes first, then in the order of the merges, which need not be that of the ids.
         ranks = {bytes([b]): i for i, b in enumerate(sorted(alphabet.values()))}
+        self.pairs: dict[tuple[str, str], int] = {}
         for merge in model["merges"]:
             a, b = merge.split(" ") if isinstance(merge, str) else merge
+            self.pairs.setdefault((a, b), len(self.pairs))
             ranks.setdefault(bytes(alphabet[c] for c in a + b), len(ranks))
         self.encoding = tiktoken.Encoding("merges", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.split = regex.compile(PATTERN).findall
+        #: Vocabulary strings that no merges lead to, which the library would still take for one token.
+        self.unreached: dict[str, int] = {}
         self.sizes = Cache(self.proven(model["vocab"], alphabet), self.merged)
 
     def merged(self, piece: str) -> int:
-        return len(self.encoding._encode_single_piece(piece.encode()))
+        return self.unreached.get(piece) or len(self.encoding._encode_single_piece(piece.encode()))
+
+    def plainly(self, name: str) -> int:
+        """Tokens of a vocabulary string by the merge pairs alone, without a look at the table of whole tokens."""
+        parts = list(name)
+        while len(parts) > 1:
+            rank, at = min((self.pairs.get(p, len(self.pairs)), i) for i, p in enumerate(zip(parts, parts[1:], strict=False)))
+            if rank == len(self.pairs):
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return len(parts)
 
     def proven(self, vocab: dict[str, int], alphabet: dict[str, int]) -> list[str]:
         """Vocabulary strings that are UTF-8 texts and, merged alone, come out as one token."""
@@ -88,8 +102,11 @@ class Counter:
                     text = bytes(alphabet[c] for c in name).decode()
                 except UnicodeDecodeError:
                     continue
-                if self.merged(text) == 1:
+                n = self.plainly(name)
+                if n == 1:
                     out.append(text)
+                else:
+                    self.unreached[text] = n
         return out
 
     def count(self, text: str) -> int:
