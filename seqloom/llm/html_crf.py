@@ -11,7 +11,9 @@ Scripts, styles, comments and other markup never become blocks. Character
 references are decoded, white space inside a block becomes one space, blocks are
 joined by one space in page order. Defined results: null or empty html and pages
 without main text give the empty text; cut-off pages are read as far as they go;
-repeated rows keep a row each; other columns are ignored.
+blocks and pages of any length are read whole; of two equally good sequences of labels
+the one with less main text is taken; repeated rows keep a row each; an empty table gives
+an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +30,10 @@ from pyspark.sql import functions as F
 
 from seqloom.llm.batches import map_columns, strings
 
-#: Elements whose content isn't text of the page.
-RAW = frozenset("script style noscript template textarea title iframe object svg math select option button audio video canvas".split())
+#: Elements whose content isn't text of the page: those that only their own end tag ends, and those of parsed
+#: content, which may nest; one of these without an end tag is skipped as a tag alone.
+RAW = frozenset("script style noscript textarea title iframe".split())
+HIDDEN = frozenset("template object svg select datalist button audio video canvas".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "html head body address article aside blockquote center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -42,8 +46,8 @@ HINTS = (
     "article post entry content story text main body blog page hentry"
 ).split()
 
-_COMMENT = re.compile(r"<!--.*?-->|<!--.*", re.S)
-_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(>|$)|<[!?/][^>]*(?:>|$)""", re.S)
+_COMMENT = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))", re.S)
+_TAG = re.compile(r"""(?P<comment><!--)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(>|$)|<[!?/][^>]*(?:>|$)""", re.S)
 _ATTR = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _PART = re.compile(r"[a-z]+")
 _TAG_BIT = {t: 1 << i for i, t in enumerate(TAGS)}
@@ -54,15 +58,15 @@ _HOLDS = _TAG_BIT["article"] | _TAG_BIT["main"] | sum(_HINT_BIT[h] for h in "art
 _ASIDE = sum(_TAG_BIT[t] for t in "nav footer aside form dialog menu".split()) | sum(_HINT_BIT[h] for h in HINTS[: HINTS.index("article")] if h not in ("header", "head", "top", "meta", "byline", "more"))
 #: Bits of the text: length steps, links, marks.
 _LENGTHS = (15, 40, 90, 200, 500)
-TEXT_BITS = [*(f"longer{n}" for n in _LENGTHS), "mostly_link", "some_link", "ends_sentence", "has_comma", "copyright", "rights", "digits", "parent_li", "cookie_word", "short_caps", "plainly_main"]
+TEXT_BITS = [*(f"longer{n}" for n in _LENGTHS), "mostly_link", "some_link", "ends_sentence", "has_comma", "copyright", "rights_in_short", "rights_in_long", "digits", "parent_li", "cookie_word_in_short", "cookie_word_in_long", "short_caps", "plainly_main"]
 N_FEATURES = _N_ABOVE + len(TEXT_BITS)
 _COOKIE = re.compile(r"\b(?:cookies?|consent|subscribe|newsletter|sign up|log ?in|advertis\w+|sponsored)\b", re.I)
+_DIGITS = re.compile(r"\d")
 _RIGHTS = re.compile(r"©|\(c\)|all rights reserved|copyright", re.I)
 
 
 def leaf_blocks(page: str) -> list[tuple[str, int, int]]:
     """(text, ancestor bits, text bits) of each leaf block in page order."""
-    page = _COMMENT.sub("", page) if "<!--" in page else page
     out: list[tuple[str, int, int]] = []
     stack: list[tuple[str, int]] = []  # tag, bits of it and of all above
     text: list[str] = []
@@ -71,7 +75,7 @@ def leaf_blocks(page: str) -> list[tuple[str, int, int]]:
     def flush() -> None:
         nonlocal linked
         if text:
-            words = " ".join(html.unescape("".join(text)).split())
+            words = " ".join("".join(text).split())
             if words:
                 above = stack[-1][1] if stack else 0
                 plainly = bool(above & _HOLDS) and not above & _ASIDE
@@ -83,31 +87,39 @@ def leaf_blocks(page: str) -> list[tuple[str, int, int]]:
         m = _TAG.search(page, at)
         piece = page[at : m.start() if m else n]
         if piece:
+            piece = html.unescape(piece) if "&" in piece else piece  # a reference never goes on behind a tag
             text.append(piece)
             if link:
                 linked += len(piece)
         if m is None:
             break
+        if m["comment"]:
+            at = _COMMENT.match(page, m.start()).end()
+            continue
         at = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag or m[7] == "":
+        tag = (m[3] or m[6] or "").lower()
+        if not tag or m[8] == "":
             continue  # a declaration, or a tag that the end of the page cuts off
-        closing = m[1] or m[4]
+        closing, attributes = m[2] or m[5], m[4] or m[7] or ""
         if tag == "a":
             link = 0 if closing else 1
             continue
         if closing:
             if tag in BLOCK:
                 depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
-                if depth >= 0:
+                if depth >= 0 or tag == "p":  # a lone </p> is an empty paragraph
                     flush()
-                    del stack[depth:]
                     link = 0
+                if depth >= 0:
+                    del stack[depth:]
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
             at = end.end() if end else n
             continue
+        if tag in HIDDEN:
+            at = at if attributes.endswith("/") and tag == "svg" else _behind(page, tag, at)
+            continue
         if tag == "br":
             text.append(" ")
         if tag not in BLOCK:
@@ -122,7 +134,7 @@ def leaf_blocks(page: str) -> list[tuple[str, int, int]]:
         if tag in ("li", "dt", "dd", "tr", "td", "th") and stack and stack[-1][0] == tag:
             stack.pop()
         bits = (stack[-1][1] if stack else 0) | _TAG_BIT.get(tag, 0)
-        for v in _ATTR.findall(m[3] or m[6] or ""):
+        for v in _ATTR.findall(attributes):
             for part in _PART.findall("".join(v).lower()):
                 bits |= _HINT_BIT.get(part, 0)
         stack.append((tag, bits))
@@ -130,11 +142,30 @@ def leaf_blocks(page: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def _behind(page: str, tag: str, at: int) -> int:
+    """Where an element whose start tag ends at ``at`` is over; ``at`` itself if nothing ends it."""
+    depth = 1
+    for m in _within(tag).finditer(page, at):
+        if m[0][1] == "/":
+            depth -= 1
+        elif m[0][-2:] != "/>":
+            depth += 1
+        if depth == 0:
+            return m.end()
+    return at
+
+
+@lru_cache(maxsize=64)
+def _within(tag: str) -> re.Pattern:
+    return re.compile(rf"""</?{re.escape(tag)}(?=[\s/>])(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""", re.I)
+
+
 def _text_bits(words: str, linked: int, in_item: bool, plainly: bool) -> int:
     size = len(words)
+    rights, cookie, short = _RIGHTS.search(words) is not None, _COOKIE.search(words) is not None, size <= _LENGTHS[3]
     flags = [size > n for n in _LENGTHS]
-    short = size <= 200
-    flags += [linked * 2 > size, linked * 5 > size, words[-1] in ".!?\"”»:", "," in words, "©" in words, short and _RIGHTS.search(words) is not None, sum(c.isdigit() for c in words[:200]) * 4 > min(size, 200), in_item, short and _COOKIE.search(words) is not None, size < 40 and words.isupper(), plainly]
+    flags += [linked * 2 > size, linked * 5 > size, words[-1] in ".!?\"”»:", "," in words, "©" in words, rights and short, rights and not short, len(_DIGITS.findall(words)) * 4 > size]
+    flags += [in_item, cookie and short, cookie and not short, size < 40 and words.isupper(), plainly]
     return sum(1 << i for i, f in enumerate(flags) if f)
 
 

@@ -1,4 +1,5 @@
 import hashlib
+from html.parser import HTMLParser
 
 import public_tokenizers as P
 from hypothesis import given, settings
@@ -6,6 +7,7 @@ from hypothesis import strategies as st
 
 from seqloom.llm import chat_format as C
 from seqloom.llm import html_crf as H
+from seqloom.llm.bpe_monoid import Codec
 
 PATH = P.path("byte_bpe_50k.tiktoken")
 PIECES = st.sampled_from(["<", "/s>", "[", "INST]", "\\", "s>", "|turn|>", "|end|>", *C.CONTROL, " x", "é"])
@@ -21,7 +23,7 @@ def test_escapes_are_exact_and_complete(text):
 @settings(max_examples=150, deadline=None)
 @given(st.lists(PIECES, max_size=5).map("".join), st.sampled_from(["user", "assistant", "", "</s>"]))
 def test_turns_read_back(text, role):
-    a = C.assembler(PATH, P.PATTERN)
+    a = C.assembler(Codec.of(PATH, P.PATTERN))
     ids, mask = a.turn(role, text)
     assert a.read(ids) == [(role, text)]
     assert a.learned_text(ids, mask) == (text if role == "assistant" else "")
@@ -52,6 +54,69 @@ def test_a_page():
     assert f.extract("") == "" and f.extract("<script>only()") == ""
 
 
+class Plain(HTMLParser):
+    """All text that isn't hidden, by another parser."""
+
+    VOID = {"br", "img", "hr", "input", "meta", "link"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.hidden = [], []
+
+    def handle_starttag(self, tag, attrs):
+        if self.hidden and tag == self.hidden[-1]:
+            self.hidden.append(tag)
+        elif not self.hidden and tag in H.RAW | H.HIDDEN:
+            self.hidden.append(tag)
+        elif not self.hidden and (tag in H.BLOCK or tag == "br"):
+            self.out.append(" ")
+
+    def handle_startendtag(self, tag, attrs):
+        if tag != "svg":
+            self.handle_starttag(tag, attrs)
+
+    def handle_endtag(self, tag):
+        if self.hidden and tag == self.hidden[-1]:
+            self.hidden.pop()
+        elif not self.hidden and tag in H.BLOCK:
+            self.out.append(" ")
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.out.append(data)
+
+
+def plainly(page):
+    p = Plain()
+    p.feed(page)
+    p.close()
+    return "".join(p.out).split()
+
+
+PARTS = ["<p>", "</p>", "<b>", "</b>", "one &amp; two ", "x&lt;y", "<div class='a>b'>d</div>", "<svg width='1'/>", "<svg><g><svg></svg></g> no </svg>", "<datalist id=d><option value='a'><option>no</datalist>", '<script>if (a < b) "<!-- x";</script>', "<!-- no <p> -->", "<!---->", "<br>", "<ul><li>i<li>j</ul>", "<math><mi>x</mi></math>", "&eacute;", "<select><option>no</select>", "<style>p{}</style>", "word ", " <i>in</i>line ", "<template><p>no</p></template>"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(PARTS), max_size=12).map("".join))
+def test_blocks_hold_the_text_that_another_parser_finds(page):
+    assert " ".join(t for t, _, _ in H.leaf_blocks(page)).split() == plainly(page)
+
+
+def test_nothing_behind_odd_markup_is_lost():
+    f, rest = H.trained(), "<p>This is the rest of it, long enough to be read.</p></article>"
+    for odd in ("<svg width=1/>", "<svg>", "<datalist><option value='a'></datalist>", "<option value='a'>", '<script>var x = "<!-- x";</script>', "<button>", "<!-->", "<video src=x>", "<object>"):
+        assert f.extract(f"<article><h1>Title</h1><p>First part of it, here.</p>{odd}{rest}") == "Title First part of it, here. This is the rest of it, long enough to be read.", odd
+    assert f.extract("<article><p>Fish &<b>amp;</b> chips, as they say.</p></article>") == "Fish &amp; chips, as they say."
+    assert "<p>" not in f.extract("<article><p>One <!-- <p>x</p> --> two, and more of it.</p></article>")
+
+
+def test_features_read_whole_blocks():
+    page = lambda t: H.leaf_blocks(f"<p>{t}</p>")[0][2]
+    bit = lambda name: 1 << H.TEXT_BITS.index(name)
+    assert page("word " * 100 + "7 " * 900) & bit("digits") and not page("7 " * 100 + "word " * 900) & bit("digits")
+    assert page("word " * 100 + "all rights reserved") & bit("rights_in_long") and page("all rights reserved") & bit("rights_in_short")
+
+
 def test_field_generalises_to_unseen_layouts():
     f, wrong, n = H.trained(), 0, 0
     for page, labels in H.labelled_pages(150, 99):
