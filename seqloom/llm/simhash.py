@@ -10,7 +10,8 @@ A bucket yields one link from each member to the smallest member it reaches
 inside the bucket, never all pairs; components join these links.
 
 Defined results: null, empty and white-space texts have fingerprint zero and
-link like any other; repeated rows keep one output row each; a null id is never
+link like any other; texts of any length are hashed whole, their words held in memory;
+bits set in exactly half of the shingles are 0; repeated rows keep one output row each; a null id is never
 the smallest; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -212,8 +213,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     # Plain keys without nulls: the window below then finds its rows where the join has put them.
     name = F.concat(F.col("doc_id").isNull().cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     first = F.min(F.struct("doc_id", "text_hash")).alias("k")
-    stay = found.groupBy("root").agg(first).select(F.col("k.doc_id").alias("doc_id"), F.col("k.text_hash").alias("__hash")).select(name.alias("__id"), "__hash").distinct()
-    keyed = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col("text"), F.lit("")))).withColumn("__id", name)
-    joined = keyed.join(stay, ["__id", "__hash"], "left_semi")
-    one = joined.withColumn("__n", F.row_number().over(Window.partitionBy("__id", "__hash").orderBy(F.lit(1))))
-    return one.filter("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    stay = found.groupBy("root").agg(first).select(F.col("k.doc_id").alias("doc_id"), F.col("k.text_hash").alias("hash")).select(name.alias("id"), "hash").distinct()
+    # The row as one struct, so that no column of the caller's can clash.
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(name.alias("id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("hash"), row)
+    joined = keyed.join(stay, ["id", "hash"], "left_semi")
+    one = joined.withColumn("n", F.row_number().over(Window.partitionBy("id", "hash").orderBy(F.lit(1))))
+    return one.filter("n = 1").select("row.*")
