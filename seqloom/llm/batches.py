@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that vectorised kernels look at together; bounds their temporaries.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
+#: Longest text, in bytes, of a learning sample's row; longer texts are scored, not learned from.
+LEARN_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +31,18 @@ def fold(salt_of: str, modulus: int):
     return F.crc32(F.coalesce(F.col(salt_of).cast("string"), F.lit(""))) % modulus
 
 
+def sampled(rows: DataFrame, by: str, n: dict, each: int, salt: str, ties: tuple[str, ...] = ()) -> DataFrame:
+    """At most ``each`` rows of each value of ``by``, those of the least hash of doc_id; n: rows by value.
+
+    A threshold on the hash thins the rows first, to about twice the bound, so that the
+    ranking sorts few. Rows of equal hash are ordered by id, then by the hash of ``ties``."""
+    rank = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(salt))
+    chance = F.pmod(rank, F.lit(1 << 30)) / F.lit(float(1 << 30))
+    share = F.element_at(F.create_map(*[F.lit(v) for k, c in n.items() for v in (k, min(1.0, 2 * each / c + 64 / c))]), F.col(by))
+    place = F.row_number().over(Window.partitionBy(by).orderBy(chance, F.col("doc_id").cast("string"), F.xxhash64(*ties) if ties else F.lit(0)))
+    return rows.filter(chance < share).withColumn("_place", place).filter(F.col("_place") <= each).drop("_place")
+
+
 def map_columns(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, pa.Array | list]], schema: str) -> DataFrame:
     """mapInArrow for a function from one batch to columns by name, in the order of the schema."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -62,19 +78,81 @@ def strings(col: pa.Array) -> list[str]:
     return [x or "" for x in col.to_pylist()]
 
 
-def byte_blocks(values: list[bytes], limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Whole values in blocks of about ``limit`` bytes: (first, end, bytes, offsets).
-
-    A value over the limit makes a block of its own, so no text is cut."""
-    first, size, n = 0, 0, len(values)
-    for i in range(n + 1):
-        if i == n or (size and size + len(values[i]) > limit):
-            if i > first:
-                lens = np.fromiter((len(v) for v in values[first:i]), np.int64, i - first)
-                yield first, i, np.frombuffer(b"".join(values[first:i]), np.uint8), np.concatenate(([0], np.cumsum(lens)))
-            first, size = i, 0
-        if i < n:
-            size += len(values[i])
+class Block(NamedTuple):
+    """Consecutive rows: first, end, their bytes one after the other, and where each begins (and the last ends)."""
+
+    first: int
+    end: int
+    data: np.ndarray
+    offsets: np.ndarray
+
+    def texts(self) -> Iterator[bytes]:
+        for a, b in zip(self.offsets[:-1].tolist(), self.offsets[1:].tolist(), strict=True):
+            yield self.data[a:b].tobytes()
+
+
+def joined(values: list[bytes], first: int = 0) -> Block:
+    lens = np.fromiter((len(v) for v in values), np.int64, len(values))
+    return Block(first, first + len(values), np.frombuffer(b"".join(values), np.uint8), np.concatenate(([0], np.cumsum(lens))))
+
+
+def blocks(values: pa.Array | list, limit: int = BLOCK_BYTES) -> Iterator[Block]:
+    """Rows in blocks of at most ``limit`` bytes, nulls as empty; a longer text is a block of its own.
+
+    Blocks are views of the column's buffer. Kernels whose temporaries are many times
+    their input walk a longer text by pieces()."""
+    if isinstance(values, list):
+        kind = pa.binary() if any(isinstance(v, bytes) for v in values) else pa.string()
+        values = pa.array(values, kind)
+    if isinstance(values, pa.ChunkedArray):
+        values = values.combine_chunks()
+    if values.null_count:
+        values = pc.fill_null(values, pa.scalar(b"" if pa.types.is_binary(values.type) or pa.types.is_large_binary(values.type) else "", values.type))
+    n = len(values)
+    if n == 0:
+        return
+    _, ends, chars = values.buffers()
+    wide = pa.types.is_large_string(values.type) or pa.types.is_large_binary(values.type)
+    at = np.frombuffer(ends, np.int64 if wide else np.int32)[values.offset : values.offset + n + 1].astype(np.int64)
+    data = np.frombuffer(chars, np.uint8) if chars is not None else np.empty(0, np.uint8)
+    i = 0
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(at, at[i] + limit, side="right")) - 1)
+        yield Block(i, j, data[at[i] : at[j]], at[i : j + 1] - at[i])
+        i = j
+
+
+_WHITE = np.zeros(256, bool)
+_WHITE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def pieces(data: np.ndarray, limit: int = BLOCK_BYTES) -> list[tuple[int, int]]:
+    """Where a long text is cut into pieces of at most ``limit`` bytes: after white space, or, where
+    half a piece has none, between characters. The cuts depend on the text alone."""
+    out, at, n = [], 0, len(data)
+    while n - at > limit:
+        low = at + limit // 2
+        white = np.flatnonzero(_WHITE[data[low : at + limit]])
+        if len(white):
+            stop = low + int(white[-1]) + 1
+        else:
+            stop = at + limit
+            while stop > low and data[stop] & 0xC0 == 0x80:
+                stop -= 1
+        out.append((at, stop))
+        at = stop
+    return [*out, (at, n)]
+
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def lowered(block: Block) -> Block:
+    """The block with each text in lower case."""
+    if len(block.data) == 0 or block.data.max() < 128:
+        return block._replace(data=_LOWER[block.data])
+    return joined([t.decode("utf-8", "replace").lower().encode() for t in block.texts()], block.first)
 
 
 def reduce_rows(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:

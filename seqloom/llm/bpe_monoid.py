@@ -13,7 +13,8 @@ halves up the same kind of tree.
 Defined results: null counts as empty, which has no tokens; texts of any length
 are encoded whole; runs that overflow the library's own pattern engine (it stops
 on about a million spaces) are split here by an equal pattern and merged by the
-same ranks; repeated rows keep a row each; other columns are ignored.
+same ranks; of equally ranked merges the first is done, as there; repeated rows keep a row
+each; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,14 +22,16 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from collections.abc import Callable
 
 import pyarrow as pa
 import tiktoken
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from seqloom.llm.batches import map_columns, strings, texts
 
-LEAF = 8192
+#: Longest leaf in characters: short enough that ordinary texts are joined from several.
+LEAF = 256
 _WINDOW = 32
 #: The library's engine is trusted with pieces of so many characters; beyond, see _encode_long.
 _ENGINE = 1 << 16
@@ -51,12 +54,17 @@ class Codec:
 
     @classmethod
     def of(cls, path: str, pattern: str) -> Codec:
-        """One codec for each file and process."""
-        if (path, pattern) not in _CODECS:
-            with open(path, "rb") as f:
-                ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-            _CODECS[path, pattern] = cls(ranks, pattern)
-        return _CODECS[path, pattern]
+        """The codec of a rank file that this process can open."""
+        with open(path, "rb") as f:
+            return cls.load(path, f.read(), pattern)
+
+    @classmethod
+    def load(cls, name: str, content: bytes, pattern: str) -> Codec:
+        """One codec for each file and process, from the file's content."""
+        if (name, pattern) not in _CODECS:
+            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in content.splitlines() if line.strip())}
+            _CODECS[name, pattern] = cls(ranks, pattern)
+        return _CODECS[name, pattern]
 
     def piece(self, text: str) -> list[int]:
         """Tokens of a piece encoded alone."""
@@ -118,18 +126,26 @@ class Codec:
                 return hi
             size *= 2
 
-    def decode(self, ids: list[int], leaf: int = LEAF) -> bytes:
+    def decode(self, ids: list[int], leaf: int = 8 * LEAF) -> bytes:
         if len(ids) <= leaf:
             return b"".join(map(self.pieces.__getitem__, ids))
         mid = len(ids) // 2
         return self.decode(ids[:mid], leaf) + self.decode(ids[mid:], leaf)
 
 
+def shared_codec(spark: SparkSession, path: str, pattern: str) -> Callable[[], Codec]:
+    """What gives the codec on an executor: the file, a vocabulary, is read by the driver and sent along."""
+    with open(path, "rb") as f:
+        content = spark.sparkContext.broadcast(f.read())
+    return lambda: Codec.load(path, content.value, pattern)
+
+
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids) for each row."""
+    codec_of = shared_codec(docs.sparkSession, path, pattern)
 
     def run(batch: pa.RecordBatch) -> dict:
-        codec = Codec.of(path, pattern)
+        codec = codec_of()
         return {"doc_id": batch["doc_id"], "ids": [codec.encode(t) for t in strings(batch["text"])]}
 
     rows = texts(docs, id_col, text_col)
@@ -138,9 +154,10 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, bytes) for each row of (doc_id, ids)."""
+    codec_of = shared_codec(encoded.sparkSession, path, pattern)
 
     def run(batch: pa.RecordBatch) -> dict:
-        codec = Codec.of(path, pattern)
+        codec = codec_of()
         return {"doc_id": batch["doc_id"], "bytes": [codec.decode(x or []) for x in batch["ids"].to_pylist()]}
 
     return map_columns(encoded.select("doc_id", "ids"), run, f"doc_id {dict(encoded.dtypes)['doc_id']}, bytes binary")
@@ -148,9 +165,10 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encoded, decoded again from the ids, digested."""
+    codec_of = shared_codec(docs.sparkSession, path, pattern)
 
     def run(batch: pa.RecordBatch) -> dict:
-        codec = Codec.of(path, pattern)
+        codec = codec_of()
         n, sent, back = [], [], []
         for t in strings(batch["text"]):
             ids = codec.encode(t)

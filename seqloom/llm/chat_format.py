@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from seqloom.llm.batches import map_columns, strings
-from seqloom.llm.bpe_monoid import Codec
+from seqloom.llm.bpe_monoid import Codec, shared_codec
 
 #: Written forms of the reserved tokens, in the order of their ids after the vocabulary.
 RESERVED = ("<s>", "</s>", "<|turn|>", "<|text|>", "<|end|>")
@@ -119,13 +119,14 @@ class Assembler:
         return "".join(out)
 
 
-_ASSEMBLERS: dict[tuple[str, str], Assembler] = {}
+_ASSEMBLERS: dict[int, Assembler] = {}
 
 
-def assembler(path: str, pattern: str) -> Assembler:
-    if (path, pattern) not in _ASSEMBLERS:
-        _ASSEMBLERS[path, pattern] = Assembler(Codec.of(path, pattern))
-    return _ASSEMBLERS[path, pattern]
+def assembler(codec: Codec) -> Assembler:
+    """One for each codec and process."""
+    if id(codec) not in _ASSEMBLERS:
+        _ASSEMBLERS[id(codec)] = Assembler(codec)
+    return _ASSEMBLERS[id(codec)]
 
 
 def format_turns(turns: DataFrame, path: str, pattern: str, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", learned: tuple[str, ...] = LEARNED) -> DataFrame:
@@ -133,8 +134,10 @@ def format_turns(turns: DataFrame, path: str, pattern: str, conv_col: str = "con
     rows = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
     kinds = dict(rows.dtypes)
 
+    codec_of = shared_codec(turns.sparkSession, path, pattern)
+
     def run(batch: pa.RecordBatch) -> dict:
-        a = assembler(path, pattern)
+        a = assembler(codec_of())
         out = [a.turn(r, t, learned) for r, t in zip(strings(batch["role"]), strings(batch["text"]), strict=True)]
         return {"conv_id": batch["conv_id"], "turn": batch["turn"], "role": batch["role"], "text": batch["text"], "ids": [x[0] for x in out], "loss_mask": [x[1] for x in out]}
 
@@ -148,9 +151,11 @@ def digest_conversations(formatted: DataFrame, path: str, pattern: str) -> DataF
     """One row for each conversation, read back from ids and loss masks alone."""
     kinds = dict(formatted.dtypes)
 
+    codec_of = shared_codec(formatted.sparkSession, path, pattern)
+
     # What a turn reads back as, computed where the row lies, before anything is ordered.
     def back(batch: pa.RecordBatch) -> dict:
-        a = assembler(path, pattern)
+        a = assembler(codec_of())
         cols: dict[str, list] = {c: [] for c in ("said", "loss", "chars")}
         for ids, mask in zip(batch["ids"].to_pylist(), batch["loss_mask"].to_pylist(), strict=True):
             cols["said"].append("".join(f"{r}\n{t}\n" for r, t in a.read(ids)))

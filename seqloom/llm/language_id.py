@@ -2,29 +2,31 @@
 
 Every language has a codeword; a binary classifier for each bit is a linear
 model over hashed byte trigrams of the lower-cased text, learned from a bounded
-sample (``PER_LANGUAGE`` rows of each language, chosen by a hash of the id).
-Decoding sums a loss for each codeword over the margins of all bits, weighted by
-how well each bit's classifier separates, and takes the nearest codeword; two
-codewords that come out close flag the text as ambiguous. Up to five languages
-get the exhaustive code, more of them a code of greatest distance among seeded
+sample (``PER_LANGUAGE`` rows of each language, those of the least hash of the id, of
+at most ``LEARN_BYTES`` bytes). Decoding sums a loss for each codeword over the margins
+of all bits, weighted by how well each bit's classifier separates, and takes the nearest
+codeword; two codewords that come out close flag the text as ambiguous. Up to five
+languages get the exhaustive code, more of them a code of greatest distance among seeded
 random ones.
 
-Defined results: null texts and texts without a letter are ``und`` with score 0;
-rows of null language are never learned from; with nothing to learn from every
-text is ``und``; repeated rows keep a row each; other columns are ignored.
+Defined results: null texts and texts without a letter (Unicode category L) are ``und``
+with score 0; rows of null language are never learned from; with nothing to learn from
+every text is ``und``; texts of any length are read whole, piece by piece; of equally
+near codewords the first language by name is taken, and the text is ambiguous; repeated
+rows keep a row each; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.batches import byte_blocks, fold, map_columns, texts
+from seqloom.llm.batches import LEARN_BYTES, blocks, fold, joined, lowered, map_columns, pieces, sampled, texts
 
 UNKNOWN = "und"
 DIMS = 1 << 13
@@ -32,7 +34,11 @@ DIMS = 1 << 13
 PER_LANGUAGE = 400
 #: Share of the second-best language's probability in the best's above which a text is ambiguous.
 AMBIGUOUS = 0.8
-_LETTER = re.compile(r"[^\W\d_]")
+#: Bytes of text that are scored together; their trigrams have a row of weights each.
+BLOCK = 1 << 16
+_LETTER = regex.compile(r"\p{L}")
+_ASCII_LETTER = np.zeros(256, bool)
+_ASCII_LETTER[65:91] = _ASCII_LETTER[97:123] = True
 _TABLE = np.full(256, 32, np.uint8)
 _TABLE[97:123] = np.arange(97, 123)
 _TABLE[128:] = np.arange(128, 256)
@@ -105,53 +111,79 @@ class Model:
         good = 1 / (1 + (np.log1p(np.exp(-margin)) * weight).sum(0) * 4)
         return cls(names, code, (w / scale[:, None]).astype(np.float32), b, (good / good.sum() * len(good)).astype(np.float32))
 
-    def margins(self, values: list[str | None]) -> Iterator[np.ndarray]:
-        """Margins of the bits for each text, from all of its trigrams."""
-        sent = [prepared(v) for v in values]
-        for first, end, data, offsets in byte_blocks(sent):
-            got = self.weights[trigram_codes(data)]
-            for back in (1, 2):
-                got[offsets[1:-1] - back] = 0  # reaches into the next text
-            total = np.add.reduceat(np.concatenate((got, np.zeros((2, got.shape[1]), np.float32))), offsets[:-1], axis=0, dtype=np.float64)
-            yield total / np.maximum(np.diff(offsets) - 2, 1)[:, None] + self.bias
-            del first, end
-
-    def predict(self, values: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
-        if not self.names or not values:
+    def margins(self, values) -> tuple[np.ndarray, np.ndarray]:
+        """Margins of the bits for each text, from all of its trigrams, and which texts have a letter."""
+        n = len(values)
+        total, size, known = np.zeros((n, len(self.bias))), np.zeros(n), np.zeros(n, bool)
+        for b in blocks(values, BLOCK):
+            own = slice(b.first, b.end)
+            if len(b.data) <= BLOCK:
+                self._add(joined([b" " + t + b" " for t in lowered(b).texts()]), total[own], size[own])
+                known[own] = _with_letter(b)
+                continue
+            before = b" "
+            for s, e in pieces(b.data, BLOCK):
+                piece = joined([b.data[s:e].tobytes()])
+                known[own] |= _with_letter(piece)
+                text = before + lowered(piece).data.tobytes() + (b" " if e == len(b.data) else b"")
+                self._add(joined([text]), total[own], size[own])
+                before = text[-2:]  # the trigrams that begin here end in the next piece
+        return total / np.maximum(size, 1)[:, None] + self.bias, known
+
+    def _add(self, block, total: np.ndarray, size: np.ndarray) -> None:
+        got = np.zeros((len(block.data), total.shape[1]), np.float32)
+        if len(block.data) > 2:
+            got[:-2] = self.weights[trigram_codes(block.data)]
+        for back in (1, 2):
+            got[np.maximum(block.offsets[1:] - back, 0)] = 0  # reaches into the next text
+        total += np.add.reduceat(got, block.offsets[:-1], axis=0, dtype=np.float64)
+        size += np.maximum(np.diff(block.offsets) - 2, 0)
+
+    def predict(self, values) -> tuple[list[str], list[float], list[bool]]:
+        if not self.names or len(values) == 0:
             return [UNKNOWN] * len(values), [0.0] * len(values), [False] * len(values)
-        m = np.clip(np.concatenate(list(self.margins(values))), -8, 8)
+        margins, known = self.margins(values)
+        best, scores, unsure = self.decoded(margins)
+        names = [self.names[i] if k else UNKNOWN for i, k in zip(best.tolist(), known.tolist(), strict=True)]
+        return names, np.where(known, scores, 0.0).tolist(), (known & unsure).tolist()
+
+    def decoded(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Loss-weighted decoding: the nearest codeword, its probability, whether the second is close to it."""
+        m = np.clip(margins, -8, 8)
         loss = (np.log1p(np.exp(-m[:, None, :] * self.code[None])) * self.trust).sum(2)
         p = np.exp(loss.min(1, keepdims=True) - loss)
         p /= p.sum(1, keepdims=True)
-        best = p.argmax(1)
         top = np.sort(p, axis=1)
         second = top[:, -2] if p.shape[1] > 1 else np.zeros(len(p))
-        names, scores, unsure = [], [], []
-        for v, i, s, t in zip(values, best.tolist(), top[:, -1].tolist(), second.tolist(), strict=True):
-            known = v is not None and _LETTER.search(v) is not None
-            names.append(self.names[i] if known else UNKNOWN)
-            scores.append(min(1.0, s) if known else 0.0)
-            unsure.append(known and t > AMBIGUOUS * s)
-        return names, scores, unsure
+        return p.argmax(1), np.minimum(top[:, -1], 1.0), second > AMBIGUOUS * top[:, -1]
+
+
+def _with_letter(block) -> np.ndarray:
+    """Which texts of the block have a letter of any script."""
+    counts = np.concatenate(([0], np.cumsum(_ASCII_LETTER[block.data])))
+    known = counts[block.offsets[1:]] > counts[block.offsets[:-1]]
+    for i in np.flatnonzero(~known).tolist():
+        part = block.data[block.offsets[i] : block.offsets[i + 1]]
+        if len(part) and part.max() > 127:
+            known[i] = _LETTER.search(part.tobytes().decode("utf-8", "replace")) is not None
+    return known
 
 
 def learn(docs: DataFrame, held_out: int = 2, modulus: int = 4, per_language: int = PER_LANGUAGE) -> Model:
-    """Fits on at most about ``per_language`` rows of each language outside the held-out fold."""
+    """Fits on at most ``per_language`` rows of each language outside the held-out fold."""
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", modulus) != held_out))
     n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not n:
         return Model.fit(np.zeros((0, DIMS), np.float32), [])
-    # A hash of the id picks each language's share; the bound holds in expectation, and exactly below.
-    chance = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("lang")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    share = F.element_at(F.create_map(*[F.lit(v) for k, c in n.items() for v in (k, min(1.0, per_language / c))]), F.col("lang"))
+    chosen = sampled(rows.filter(F.octet_length("text") <= LEARN_BYTES), "lang", n, per_language, "lang", ("text",))
 
     def run(batch: pa.RecordBatch) -> dict:
         p = [profile(t) for t in batch["text"].to_pylist()]
         at = [np.flatnonzero(x) for x in p]
         return {"lang": batch["lang"], "at": [a.tolist() for a in at], "n": [x[a].tolist() for x, a in zip(p, at, strict=True)]}
 
-    got = map_columns(rows.filter(chance < share).select("lang", "text"), run, "lang string, at array<int>, n array<float>").limit(2 * per_language * len(n)).collect()
+    got = map_columns(chosen.select("lang", "text"), run, "lang string, at array<int>, n array<float>").collect()
     counts = np.zeros((len(got), DIMS), np.float32)
     for i, r in enumerate(got):
         counts[i, r["at"]] = r["n"]
@@ -163,7 +195,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> dict:
-        names, scores, unsure = shared.value.predict(batch["text"].to_pylist())
+        names, scores, unsure = shared.value.predict(batch["text"])
         return {"doc_id": batch["doc_id"], "lang_pred": names, "score": scores, "ambiguous": unsure}
 
     rows = texts(docs, id_col, text_col)
@@ -176,7 +208,7 @@ def accept(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            names, _, unsure = shared.value.predict(batch["text"].to_pylist())
+            names, _, unsure = shared.value.predict(batch["text"])
             yield batch.filter(pa.array([n != UNKNOWN and not u for n, u in zip(names, unsure, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -15,8 +15,10 @@ of) and verifies candidates.
 
 Defined results: null counts as empty; a text without words has the empty
 fingerprint, alike (1) only to the empty one; rows of equal ids are ordered by a
-hash of their texts, null ids first; a sole row is its own next; repeated rows
-keep a row each; other columns are ignored.
+hash of their texts, null ids first; a sole row is its own next; texts of any length
+are read whole, piece by piece (a word of more than half a piece without white space
+counts as several); one anchored chain is enough for a text to have no others; repeated
+rows keep a row each; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,10 +35,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from seqloom.llm.batches import byte_blocks, map_columns, strings, texts
+from seqloom.llm.batches import BLOCK_BYTES, blocks, joined, lowered, map_columns, pieces, raw, texts
 from seqloom.llm.winnowing import word_hashes, word_spans
 
 CHAIN = 3
+_STEP = 1 << 20
 
 #: Common words that serve as anchors.
 ANCHORS = (
@@ -61,30 +64,53 @@ def _hash_words(words: list[str]) -> np.ndarray:
 _ANCHOR_HASHES = _hash_words(ANCHORS)
 
 
-def signatures(values: list[str], anchors: np.ndarray = _ANCHOR_HASHES, chain: int = CHAIN) -> Iterator[np.ndarray]:
+def signatures(values, anchors: np.ndarray = _ANCHOR_HASHES, chain: int = CHAIN, limit: int = BLOCK_BYTES) -> Iterator[np.ndarray]:
     """Sorted distinct 32-bit signatures of each text."""
-    for first, end, data, offsets in byte_blocks([v.lower().encode() for v in values]):
-        starts, ends, bounds = word_spans(data, offsets)
-        h = word_hashes(data, starts, ends)
+    for b in blocks(values, limit):
+        if len(b.data) > limit:
+            yield _of_long(b.data, anchors, chain, limit)
+            continue
+        low, n = lowered(b), b.end - b.first
+        starts, ends, bounds = word_spans(low.data, low.offsets)
+        h = word_hashes(low.data, starts, ends)
         if len(h) == 0:
-            yield from (np.empty(0, np.uint32) for _ in range(end - first))
+            yield from (np.empty(0, np.uint32) for _ in range(n))
             continue
-        owner = np.repeat(np.arange(end - first), np.diff(bounds))
+        owner = np.repeat(np.arange(n), np.diff(bounds))
         anchor = _member(h, anchors)
         content = np.flatnonzero(~anchor)
         spots = np.flatnonzero(anchor)
         sig, has = _chains(h, spots, content, owner, chain)
         spots, sig = spots[has], sig[has]
-        bare = np.flatnonzero(np.bincount(owner[spots], minlength=end - first) == 0)
+        bare = np.flatnonzero(np.bincount(owner[spots], minlength=n) == 0)
         if len(bare):  # every word of such a text is an anchor of the words after it
             own = np.flatnonzero(np.isin(owner, bare))
             more, _ = _chains(h, own, np.arange(len(h)), owner, chain)
             spots, sig = np.concatenate((spots, own)), np.concatenate((sig, more))
         keys = np.unique(owner[spots].astype(np.uint64) << np.uint64(32) | sig)
-        cut = np.searchsorted(keys, np.arange(end - first + 1).astype(np.uint64) << np.uint64(32))
-        low = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        for i in range(end - first):
-            yield low[cut[i] : cut[i + 1]]
+        cut = np.searchsorted(keys, np.arange(n + 1).astype(np.uint64) << np.uint64(32))
+        small = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        for i in range(n):
+            yield small[cut[i] : cut[i + 1]]
+
+
+def _of_long(data: np.ndarray, anchors: np.ndarray, chain: int, limit: int) -> np.ndarray:
+    """As signatures(), of one text, from its last piece to its first, with the words that follow a piece at hand."""
+    for bare in (False, True):
+        found, after = np.empty(0, np.uint64), np.empty(0, np.uint64)
+        for s, e in reversed(pieces(data, limit)):
+            low = lowered(joined([data[s:e].tobytes()]))
+            h = word_hashes(low.data, *word_spans(low.data, low.offsets)[:2])
+            anchor = np.full(len(h), bare) | _member(h, anchors)
+            here = np.concatenate((h, after))
+            content = np.concatenate((np.arange(len(h)) if bare else np.flatnonzero(~anchor), np.arange(len(h), len(here))))
+            spots = np.arange(len(h)) if bare else np.flatnonzero(anchor)
+            sig, has = _chains(here, spots, content, np.zeros(len(here), np.int64), chain)
+            found = np.union1d(found, sig if bare else sig[has])
+            after = here[content[:chain]]
+        if len(found):
+            break
+    return found.astype(np.uint32)
 
 
 def _member(h: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -121,17 +147,31 @@ def as_text(sig: np.ndarray) -> str:
     return base64.b64encode(np.ascontiguousarray(sig, "<u4").tobytes()).decode()
 
 
-def edited(text: str, following: str) -> str:
-    """The last half of the text replaced by as much of the beginning of the following one."""
-    half = len(text) // 2
-    return text[: len(text) - half] + following[:half]
+def _characters(text: bytes) -> int:
+    return sum(int(np.count_nonzero((np.frombuffer(text, np.uint8, min(_STEP, len(text) - at), at) & 0xC0) != 0x80)) for at in range(0, len(text), _STEP))
+
+
+def _place(text: bytes, k: int) -> int:
+    """The byte at which the k-th character (from 0) begins, or the end."""
+    for at in range(0, len(text), _STEP):
+        begins = np.flatnonzero((np.frombuffer(text, np.uint8, min(_STEP, len(text) - at), at) & 0xC0) != 0x80)
+        if k < len(begins):
+            return at + int(begins[k])
+        k -= len(begins)
+    return len(text)
+
+
+def edited(text: bytes, following: bytes) -> bytes:
+    """The last half of the text's characters replaced by as many of the beginning of the following one."""
+    n = _characters(text)
+    return text[: _place(text, n - n // 2)] + following[: _place(following, n // 2)]
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, signatures) for each row."""
 
     def run(batch: pa.RecordBatch) -> dict:
-        return {"doc_id": batch["doc_id"], "signatures": [s.astype(np.int64).tolist() for s in signatures(strings(batch["text"]))]}
+        return {"doc_id": batch["doc_id"], "signatures": [s.astype(np.int64).tolist() for s in signatures(batch["text"])]}
 
     rows = texts(docs, id_col, text_col)
     return map_columns(rows, run, f"doc_id {dict(rows.dtypes)['doc_id']}, signatures array<long>")
@@ -140,6 +180,24 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 _NEXT = "doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
+def _quantiles(ids: DataFrame, parts: int) -> list:
+    """Ids that deal the rows into about equal ranges; they decide where rows are compared, not how.
+
+    Numbers have quantiles of their own; strings (as bytes) those of some thousand chosen by
+    hash. Ids of other types make one range."""
+    kind, at = ids.dtypes[0][1], [i / parts for i in range(1, parts)]
+    if parts < 2:
+        return []
+    if kind in ("bigint", "int", "smallint", "tinyint", "double", "float"):
+        return sorted(set(ids.select(F.col("doc_id").cast("double").alias("d")).approxQuantile("d", at, 0.1 / parts)))
+    if kind != "string":
+        return []
+    n = ids.count()
+    share = min(1.0, 40 * parts / max(n, 1))
+    some = sorted(r[0].encode() for r in ids.filter(F.pmod(F.xxhash64("doc_id", F.lit("range")), F.lit(1 << 30)) < share * (1 << 30)).filter("doc_id is not null").distinct().limit(200 * parts).collect())
+    return sorted({some[int(q * len(some))] for q in at}) if some else []
+
+
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of each text and of its half-replaced version, and their likeness, by ascending id.
 
@@ -152,19 +210,17 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     kind = dict(rows.dtypes)["doc_id"]
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = sorted({int(x) for x in rows.select(F.col("doc_id").cast("double").alias("d")).approxQuantile("d", [i / parts for i in range(1, parts)], 0.1 / parts)}) if parts > 1 else []
-    limits = np.array(cuts, np.int64)
+    cuts = _quantiles(rows.select("doc_id"), parts)
+    limits = np.array(cuts, object if kind == "string" else np.float64)
 
     @F.pandas_udf("int")
     def range_of(ids):
         import pandas as pd
 
-        return pd.Series(np.searchsorted(limits, ids.astype("float64").fillna(-np.inf).to_numpy(), side="right").astype(np.int32))
+        found = ids.fillna("").str.encode("utf-8").to_numpy() if kind == "string" else ids.astype("float64").fillna(-np.inf).to_numpy()
+        return pd.Series(np.searchsorted(limits, found, side="right").astype(np.int32))
 
-    if kind in ("bigint", "int", "smallint", "tinyint") and cuts:
-        rows = rows.withColumn("range", range_of("doc_id"))
-    else:
-        rows = rows.withColumn("range", F.lit(0))
+    rows = rows.withColumn("range", range_of("doc_id") if cuts else F.lit(0))
     heads = rows.groupBy("range").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "h")).alias("k")).select("range", "k.doc_id", "k.h").orderBy("range").collect()
     before = [heads[i - 1]["range"] for i in range(len(heads))]
     schema = T.StructType([T.StructField("hid", rows.schema["doc_id"].dataType), T.StructField("hh", T.LongType()), T.StructField("before", T.IntegerType())])
@@ -182,7 +238,7 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 found = []
-                for row in zip(part["range"].to_pylist(), part["guest"].to_pylist(), part["doc_id"].to_pylist(), strings(part["text"]), strict=True):
+                for row in zip(part["range"].to_pylist(), part["guest"].to_pylist(), part["doc_id"].to_pylist(), raw(part["text"]), strict=True):
                     if held is not None and held[0] == row[0]:
                         found.append((held, row))
                     held = row if row[1] == 0 else None
@@ -202,7 +258,7 @@ def _compared(found: list[tuple[tuple, tuple]]) -> list[list]:
     out: list[list] = [[] for _ in range(7)]
     for i, (a, b) in enumerate(found):
         follows = own[i + 1] if i + 1 == len(found) or found[i + 1][0] is b else next(signatures([b[3]]))
-        row = (a[2], len(a[3]), hashlib.sha256(changed[i].encode()).hexdigest(), as_text(own[i]), as_text(new[i]), jaccard(own[i], new[i]), jaccard(own[i], follows))
+        row = (a[2], _characters(a[3]), hashlib.sha256(changed[i]).hexdigest(), as_text(own[i]), as_text(new[i]), jaccard(own[i], new[i]), jaccard(own[i], follows))
         for c, v in zip(out, row, strict=True):
             c.append(v)
     return out

@@ -7,7 +7,8 @@ remembered in a cache of bounded size. Special strings in a text count as their
 one token and split it, which is the library's default.
 
 Defined results: null and empty texts have zero bytes and tokens; texts of any
-length are counted whole; repeated rows keep a row each; other columns are ignored.
+length are counted whole; of equally ranked merges the first is done, as the library does;
+repeated rows keep a row each; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from seqloom.llm.batches import map_columns, raw, texts
 
 #: Splitting pattern of byte-level BPE pre-tokenisation.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE = 1 << 18
+#: Merged pre-tokens that are remembered, in number and in characters; a longer one than REMEMBERED never is.
+CACHE, CACHE_CHARS, REMEMBERED = 1 << 18, 1 << 24, 1 << 8
 
 _COUNTERS: dict[str, Counter] = {}
 
@@ -40,24 +42,26 @@ class Cache(dict):
 
     def __init__(self, whole: list[str], merge):
         super().__init__(dict.fromkeys(whole, 1))
-        self.whole, self.merge, self.limit = whole, merge, len(whole) + CACHE
+        self.whole, self.merge, self.limit, self.chars = whole, merge, len(whole) + CACHE, 0
 
     def __missing__(self, piece: str) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-            self.update(dict.fromkeys(self.whole, 1))
-        n = self[piece] = self.merge(piece)
+        n = self.merge(piece)
+        if len(piece) <= REMEMBERED:
+            if len(self) >= self.limit or self.chars > CACHE_CHARS:
+                self.clear()
+                self.update(dict.fromkeys(self.whole, 1))
+                self.chars = 0
+            self[piece] = n
+            self.chars += len(piece)
         return n
 
 
 class Counter:
     """Counts tokens by a tokenizer file of byte-level BPE."""
 
-    def __init__(self, path: str):
+    def __init__(self, spec: dict):
         import tiktoken
 
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
         pre, model = spec["pre_tokenizer"], spec["model"]
         if pre["type"] != "ByteLevel" or pre["add_prefix_space"] or not pre.get("use_regex", True) or spec["normalizer"] or model["type"] != "BPE":
             raise ValueError("not a plain byte-level BPE file")
@@ -117,16 +121,25 @@ class Counter:
 
     @classmethod
     def of(cls, path: str) -> Counter:
-        if path not in _COUNTERS:
-            _COUNTERS[path] = cls(path)
-        return _COUNTERS[path]
+        """The counter of a tokenizer file that this process can open."""
+        with open(path, encoding="utf-8") as f:
+            return cls.load(path, f.read())
+
+    @classmethod
+    def load(cls, name: str, content: str) -> Counter:
+        """One counter for each file and process, from the file's content."""
+        if name not in _COUNTERS:
+            _COUNTERS[name] = cls(json.loads(content))
+        return _COUNTERS[name]
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, over_limit) for each row."""
+    """(doc_id, n_bytes, n_tokens, over_limit) for each row; the driver reads the file and sends it along."""
+    with open(path, encoding="utf-8") as f:
+        content = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batch: pa.RecordBatch) -> dict:
-        count = Counter.of(path).count
+        count = Counter.load(path, content.value).count
         values = raw(batch["text"])
         n = [count(v.decode()) for v in values]
         return {"doc_id": batch["doc_id"], "n_bytes": [len(v) for v in values], "n_tokens": n, "over_limit": [x > limit for x in n]}

@@ -2,20 +2,32 @@
 
 A logistic model over hashed words, word beginnings of four and five letters
 and their presence in the text is learned from a bounded sample of labelled rows
-(``PER_CLASS`` of each class, chosen by a hash of the id). Every learning text
-that names a group is rewritten with its identity terms swapped for those of
-another group; the squared change of the score between the two is penalised with
-weight ``PENALTY``, so that the mere mention of a group doesn't move the score.
+(``PER_CLASS`` of each class, those of the least hash of the id, of at most
+``LEARN_BYTES`` bytes). Every learning text that has identity terms is rewritten with
+each of them swapped for another of its group; the squared change of the score between
+the two is penalised with weight ``PENALTY``, so that a mere mention doesn't move the
+score.
+
+Which terms: groups that the caller gives (``IDENTITY_TERMS``, words for groups of
+people), and neutral terms found in the learning texts themselves: words of at least
+``TERM_LETTERS`` letters in ``TERM_SHARE`` of the clean texts that the classes don't
+differ in. Two of them that stand in the same texts most often are interchangeable,
+and a pair. The features of all terms are in the model, so that the penalty has
+weights to hold.
 
 Scores are probabilities at the share of toxic rows among the labelled. Defined
 results: null and empty texts get the score of a text without any feature;
-several labels of one document count as one, toxic if any is; with no labelled
-rows every score is 0; repeated rows keep a row each; other columns are ignored.
+several labels of one document count as one, toxic if any is; of several texts of
+one id the one of the least hash is learned from; with no labelled
+rows every score is 0; a text of any length is scored whole, piece by piece (a word of
+more than a piece without white space counts as several); terms of equal frequency go by
+their spelling, features of equal association by their number; repeated rows keep a row
+each; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.batches import byte_blocks, fold, map_columns, texts
+from seqloom.llm.batches import BLOCK_BYTES, LEARN_BYTES, Block, blocks, fold, joined, lowered, map_columns, pieces, sampled, texts
+from seqloom.llm.durable import settle
 from seqloom.llm.winnowing import word_hashes, word_spans
 
 BITS = 20
@@ -33,8 +46,11 @@ PENALTY = 4.0
 THRESHOLD = 0.3
 #: Features kept for the model, those that tell the classes apart best.
 FEATURES = 20000
+#: Neutral terms: letters at least, share of clean learning texts at least, how many at most,
+#: and the most by which the classes may differ in them (G statistic; chance exceeds it once in a thousand).
+TERM_LETTERS, TERM_SHARE, TERMS, TERM_G = 4, 0.02, 200, 10.83
 
-#: Identity terms by kind; each is swapped for the next of its own row.
+#: Words for groups of people by kind; each is swapped for the next of its own row.
 IDENTITY_TERMS = (
     ("women", "men"), ("woman", "man"), ("girls", "boys"), ("female", "male"),
     ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"), ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
@@ -44,29 +60,12 @@ IDENTITY_TERMS = (
     ("frauen", "männer"), ("muslime", "christen", "juden"), ("femmes", "hommes"), ("musulmans", "chrétiens", "juifs"),
     ("mujeres", "hombres"), ("musulmanes", "cristianos", "judíos"),
 )
-_WORD = re.compile(r"[^\W\d_]+")
 
 
 def swaps(groups=IDENTITY_TERMS) -> dict[str, str]:
     return {a: b for g in groups for a, b in zip(g, (*g[1:], g[0]), strict=True)}
 
 
-def counterfactual(text: str, table: dict[str, str]) -> str | None:
-    """The text with its identity terms swapped; None if it has none."""
-    n = 0
-
-    def swap(m: re.Match) -> str:
-        nonlocal n
-        to = table.get(m.group().lower())
-        if to is None:
-            return m.group()
-        n += 1
-        return to
-
-    out = _WORD.sub(swap, text)
-    return out if n else None
-
-
 def _word_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Three hashed features for each word: itself, and its beginnings (of the word where it is shorter)."""
     cols = []
@@ -77,13 +76,47 @@ def _word_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
     return np.stack(cols, axis=1)
 
 
-def features(values: list[str | None]) -> Iterator[np.ndarray]:
-    """Distinct features of each text."""
-    for first, end, data, offsets in byte_blocks([(v or "").lower().encode() for v in values]):
-        starts, ends, bounds = word_spans(data, offsets)
-        f = _word_features(data, starts, ends) if len(starts) else np.empty((0, 3), np.int64)
-        for i in range(end - first):
-            yield np.unique(f[bounds[i] : bounds[i + 1]])
+def term_features(terms: list[str]) -> np.ndarray:
+    """The three features of each term, a word each."""
+    b = joined([t.encode() for t in terms])
+    return _word_features(b.data, *word_spans(b.data, b.offsets)[:2]) if terms else np.empty((0, 3), np.int64)
+
+
+def term_keys(terms: list[str]) -> np.ndarray:
+    b = joined([t.encode() for t in terms])
+    return word_hashes(b.data, *word_spans(b.data, b.offsets)[:2])
+
+
+def bags(values, terms: list[str] | tuple[str, ...] = ()) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each text: the distinct features of its words that are no terms, and the terms it has, by number."""
+    keys = term_keys(list(terms))
+    order = np.argsort(keys)
+    for b in blocks(values, LEARN_BYTES):
+        b = lowered(b)
+        starts, ends, bounds = word_spans(b.data, b.offsets)
+        f = _word_features(b.data, starts, ends) if len(starts) else np.empty((0, 3), np.int64)
+        number = np.full(len(starts), -1)
+        if len(keys) and len(starts):
+            h = word_hashes(b.data, starts, ends)
+            at = order[np.minimum(np.searchsorted(keys, h, sorter=order), len(keys) - 1)]
+            number = np.where(keys[at] == h, at, -1)
+        for i in range(b.end - b.first):
+            own = slice(bounds[i], bounds[i + 1])
+            yield np.unique(f[own][number[own] < 0]), np.unique(number[own][number[own] >= 0])
+
+
+def with_terms(base: np.ndarray, named: np.ndarray, features: np.ndarray) -> np.ndarray:
+    """A bag of features with those of its terms."""
+    return np.union1d(base, features[named].ravel())
+
+
+def words_of(block: Block) -> Iterator[list[str]]:
+    """The distinct words of each text of a lower-cased block."""
+    starts, ends, bounds = word_spans(block.data, block.offsets)
+    low = block.data.tobytes()
+    for i in range(block.end - block.first):
+        own = slice(bounds[i], bounds[i + 1])
+        yield list({low[s:e].decode("utf-8", "replace") for s, e in zip(starts[own].tolist(), ends[own].tolist(), strict=True)})
 
 
 def likelihood_ratio(pos: np.ndarray, neg: np.ndarray, n_pos: float, n_neg: float) -> np.ndarray:
@@ -95,15 +128,38 @@ def likelihood_ratio(pos: np.ndarray, neg: np.ndarray, n_pos: float, n_neg: floa
     return out
 
 
+def pairs_of(have: np.ndarray) -> np.ndarray:
+    """The partner of each term by a matrix (texts, terms) of what occurs where: from the most
+    frequent down, each free term takes the free one most alike in its texts (cosine). A term
+    left over is its own partner."""
+    x = have.astype(np.float64)
+    size = np.sqrt(np.maximum(x.sum(0), 1))
+    like = x.T @ x / np.outer(size, size)
+    partner, free = np.arange(have.shape[1]), np.ones(have.shape[1], bool)
+    for i in np.argsort(-x.sum(0), kind="stable").tolist():
+        if not free[i]:
+            continue
+        free[i] = False
+        if free.any():
+            j = int(np.where(free, like[i], -1).argmax())
+            free[j], partner[i], partner[j] = False, j, i
+    return partner
+
+
+_NONE = np.empty(0, np.int64)
+
+
 class Model:
-    """Weights by feature bucket; most are zero."""
+    """Weights by feature bucket; most are zero. twins: how many learning texts had a counterfactual."""
+
+    twins = 0
 
     def __init__(self, weights: np.ndarray, bias: float):
         self.weights, self.bias = weights, bias
 
     @classmethod
-    def fit(cls, bags: list[np.ndarray], labels: list[int], twins: list[np.ndarray | None], share: float, penalty: float = PENALTY, rounds: int = 400) -> Model:
-        """bags: features of each text; twins: those of its counterfactual; share: of toxic rows among all."""
+    def fit(cls, bags: list[np.ndarray], labels: list[int], twins: list[np.ndarray | None], share: float, penalty: float = PENALTY, rounds: int = 400, terms: np.ndarray = _NONE) -> Model:
+        """bags: features of each text; twins: those of its counterfactual; share: of toxic rows among all; terms: features that the model has in any case."""
         w = np.zeros(1 << BITS, np.float32)
         y = np.array(labels, np.float64)
         if len(y) == 0:
@@ -114,7 +170,7 @@ class Model:
         neg = np.bincount(np.concatenate([b for b, t in zip(bags, labels, strict=True) if not t]), minlength=1 << BITS).astype(np.float64)
         z = likelihood_ratio(pos, neg, y.sum(), len(y) - y.sum())
         chosen = np.flatnonzero(z > 2 * np.log(max(2, np.count_nonzero(pos + neg))))  # above what chance gives among so many
-        chosen = chosen[np.argsort(-z[chosen], kind="stable")[:FEATURES]]
+        chosen = np.union1d(chosen[np.argsort(-z[chosen], kind="stable")[:FEATURES]], terms)
         slot = np.full(1 << BITS, -1, np.int64)
         slot[chosen] = np.arange(len(chosen))
 
@@ -149,45 +205,99 @@ class Model:
         w[chosen] = np.where(np.abs(theta) > 0.02, theta, 0)
         return cls(w, b)
 
-    def score(self, values: list[str | None]) -> list[float]:
+    def score(self, values) -> list[float]:
         """Probability of each text, from all of its words."""
         out: list[float] = []
-        for first, end, data, offsets in byte_blocks([(v or "").lower().encode() for v in values]):
-            total = np.zeros(end - first)
-            starts, ends, bounds = word_spans(data, offsets)
-            if len(starts):
-                f = _word_features(data, starts, ends)
-                at, k = np.nonzero(self.weights[f])
-                owner = np.searchsorted(bounds, at, side="right") - 1
-                pairs = np.unique(owner * (1 << BITS) + f[at, k])
-                total += np.bincount(pairs >> BITS, self.weights[pairs & ((1 << BITS) - 1)], end - first)
+        for b in blocks(values):
+            total = np.zeros(b.end - b.first)
+            if len(b.data) > BLOCK_BYTES:
+                found = _NONE  # features with a weight, at most as many as the model has
+                for s, e in pieces(b.data):
+                    found = np.union1d(found, self._pairs(joined([b.data[s:e].tobytes()])))
+                total[0] = np.bincount(np.zeros(len(found), np.int64), self.weights[found], 1)[0]
+            else:
+                found = self._pairs(b)
+                total += np.bincount(found >> BITS, self.weights[found & ((1 << BITS) - 1)], b.end - b.first)
             out += (1 / (1 + np.exp(-np.clip(total + self.bias, -30, 30)))).tolist()
         return out
 
+    def _pairs(self, b: Block) -> np.ndarray:
+        """Number of the text times 2^BITS plus the feature, for the features with a weight, each once."""
+        b = lowered(b)
+        starts, ends, bounds = word_spans(b.data, b.offsets)
+        if len(starts) == 0:
+            return _NONE
+        f = _word_features(b.data, starts, ends)
+        at, k = np.nonzero(self.weights[f])
+        return np.unique((np.searchsorted(bounds, at, side="right") - 1) * (1 << BITS) + f[at, k])
+
 
 def learn(docs: DataFrame, labels: DataFrame, held_out: int = 2, modulus: int = 4, per_class: int = PER_CLASS, groups=IDENTITY_TERMS, penalty: float = PENALTY) -> Model:
-    """Fits on at most about ``per_class`` labelled rows of each class outside the held-out fold."""
+    """Fits on at most ``per_class`` labelled rows of each class outside the held-out fold."""
     marks = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("y"))
     marks = marks.filter(fold("doc_id", modulus) != held_out)
     n = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not n:
         return Model.fit([], [], [], 0.0)
-    chance = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxic")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    share = F.element_at(F.create_map(*[F.lit(v) for k, c in n.items() for v in (k, min(1.0, per_class / c))]), F.col("y"))
+    # The sample is bounded, 2 * per_class ids, so it goes to the texts and not they to it.
+    ids = F.broadcast(sampled(marks, "y", n, per_class, "toxic"))
+    rows = texts(docs).filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= LEARN_BYTES).join(ids, "doc_id")
+    text = F.coalesce("text", F.lit(""))
+    rows = settle(rows.groupBy("doc_id", "y").agg(F.min_by(text, F.xxhash64(text)).alias("text")).select("y", "text"))
     table = swaps(groups)
+    terms = [*table, *(t for t in neutral_terms(rows) if t not in table)]
 
     def run(batch: pa.RecordBatch) -> dict:
-        values = batch["text"].to_pylist()
-        others = [counterfactual(v or "", table) for v in values]
-        twins = iter(features([o for o in others if o is not None]))
-        return {"y": batch["y"], "bag": [b.tolist() for b in features(values)], "twin": [next(twins).tolist() if o is not None else None for o in others]}
+        got = list(bags(batch["text"], terms))
+        return {"y": batch["y"], "bag": [b.tolist() for b, _ in got], "named": [t.tolist() for _, t in got]}
+
+    got = map_columns(rows, run, "y int, bag array<int>, named array<int>").toArrow()
+    lists = {c: [np.asarray(x.values.to_numpy(zero_copy_only=False), np.int64) for x in got[c]] for c in ("bag", "named")}
+    return fit_named(lists["bag"], lists["named"], got["y"].to_pylist(), terms, table, n.get(1, 0) / sum(n.values()), penalty)
+
+
+def fit_named(base: list[np.ndarray], named: list[np.ndarray], labels: list[int], terms: list[str], table: dict[str, str], share: float, penalty: float = PENALTY) -> Model:
+    """Fits on bags and terms of bags(): terms of the table are swapped by it, the others by pairs_of()."""
+    have = np.zeros((len(base), len(terms)), bool)
+    for i, t in enumerate(named):
+        have[i, t] = True
+    partner = np.arange(len(terms))
+    at = {t: i for i, t in enumerate(terms)}
+    found = np.array([i for i, t in enumerate(terms) if t not in table], np.int64)
+    partner[found] = found[pairs_of(have[:, found])]
+    for a, b in table.items():
+        partner[at[a]] = at[b]
+    features = term_features(terms)
+    whole = [with_terms(b, t, features) for b, t in zip(base, named, strict=True)]
+    twins = [with_terms(b, partner[t], features) if (partner[t] != t).any() else None for b, t in zip(base, named, strict=True)]
+    used = np.flatnonzero(have.any(0) | have.any(0)[partner])
+    model = Model.fit(whole, labels, twins, share, penalty, terms=np.unique(features[used]))
+    model.twins = sum(t is not None for t in twins)
+    return model
+
+
+def neutral_terms(rows: DataFrame) -> list[str]:
+    """Terms of the learning rows (y, text) that both classes use alike, the most frequent first."""
+    size = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if 0 not in size or 1 not in size:
+        return []
 
-    # The sample is bounded, about 2 * per_class ids, so it goes to the texts and not they to it.
-    rows = texts(docs).join(F.broadcast(marks.filter(chance < share)), "doc_id").select("y", "text")
-    got = map_columns(rows, run, "y int, bag array<int>, twin array<int>").limit(4 * per_class).toArrow()
-    bags = [np.asarray(x.values.to_numpy(zero_copy_only=False), np.int64) for x in got["bag"]] if got.num_rows else []
-    twins = [np.asarray(x.values.to_numpy(zero_copy_only=False), np.int64) if x.is_valid else None for x in got["twin"]] if got.num_rows else []
-    return Model.fit(bags, got["y"].to_pylist(), twins, n.get(1, 0) / sum(n.values()), penalty)
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            seen = (Counter(), Counter())
+            y = batch["y"].to_pylist()
+            for b in blocks(batch["text"], LEARN_BYTES):
+                for label, words in zip(y[b.first : b.end], words_of(lowered(b)), strict=True):
+                    seen[label > 0].update(w for w in words if len(w) >= TERM_LETTERS and w.isalpha())
+            words = list(seen[0])
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([seen[0][w] for w in words], pa.int64()), pa.array([seen[1][w] for w in words], pa.int64())], names=["word", "clean", "toxic"])
+
+    counts = rows.mapInArrow(run, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    common = counts.filter(F.col("clean") >= TERM_SHARE * size[0]).orderBy(F.col("clean").desc(), "word").limit(2 * TERMS).collect()
+    if not common:
+        return []
+    g = likelihood_ratio(np.array([r["toxic"] for r in common], np.float64), np.array([r["clean"] for r in common], np.float64), size[1], size[0])
+    return [r["word"] for r, x in zip(common, g, strict=True) if x < TERM_G][:TERMS]
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -195,7 +305,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: s
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> dict:
-        s = shared.value.score(batch["text"].to_pylist())
+        s = shared.value.score(batch["text"])
         return {"doc_id": batch["doc_id"], "score": s, "predicted": [int(x >= threshold) for x in s]}
 
     rows = texts(docs, id_col, text_col)
@@ -208,7 +318,7 @@ def accept(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            s = shared.value.score(batch["text"].to_pylist())
+            s = shared.value.score(batch["text"])
             yield batch.filter(pa.array([x < threshold for x in s], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

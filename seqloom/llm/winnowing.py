@@ -1,37 +1,45 @@
 """Benchmark decontamination by winnowing.
 
-Words are runs of letters and digits of the text with A-Z lower-cased. Hashes of
-``GRAM`` = 5 consecutive words are winnowed: the least of every ``SPAN`` = 4
-neighbouring hashes is kept, in documents and in benchmark items alike. A shared
-run of 5 + 4 - 1 = 8 words therefore keeps a shared fingerprint, always. Each
-fingerprint that meets one of the benchmark is extended word by word to both
-sides; a run of at least ``WINDOW`` = 8 equal words marks its words and its item.
-An item of fewer words has one window, the whole item, looked up by the hash of
-so many words. Runs are compared word by word as bytes, so no hash decides alone.
-
-The benchmark side is split into shards of at most ``SHARD_BYTES`` of text, and
-only one shard is ever sent to the executors at once; with several shards the
-marked runs of a row are merged after. Defined results: null and word-less texts
-have zero counts, items without words never hit, items of equal text all count,
-repeated rows keep one output row each, other columns are ignored.
+Words are runs of letters and digits of the text with A-Z lower-cased. Of the hashes of
+``GRAM`` = 5 consecutive words the least of every ``SPAN`` = 4 neighbouring ones is the
+fingerprint of the 5 + 4 - 1 = ``WINDOW`` = 8 words they cover, in documents and in
+benchmark items alike, so a shared run of 8 words always shares a fingerprint. An item of
+fewer words has one window, the whole item, with the hash of so many words. Documents keep
+the windows whose fingerprint is in a bitmap of all the benchmark's (``BITMAP_BITS``, the
+same size for any benchmark); these are joined to the benchmark's by fingerprint and words,
+compared as bytes, so no hash decides alone. Neighbouring hits are one run.
+
+The documents are read once, whatever the size of the benchmark. Its windows are sent to
+all executors if there are at most ``BROADCAST_WINDOWS``; beyond, both sides are shuffled
+by fingerprint, each fingerprint dealt over ``SALTS`` parts. Defined results: null and
+word-less texts have zero counts; items without words never hit, items without an id are
+left out; items of equal text all count; repeated rows keep one output row each; texts and
+words of any length are taken whole, piece by piece (a word of over ``LONG`` bytes is
+compared by its 128-bit digest); an empty table gives an empty result, an empty benchmark
+no hits; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.batches import byte_blocks, map_columns, raw, texts
+from seqloom.llm.batches import BLOCK_BYTES, Block, blocks, map_columns, pieces, texts
+from seqloom.llm.durable import settle
 
 WINDOW = 8
 GRAM = 5
 SPAN = WINDOW - GRAM + 1
-SHARD_BYTES = 8 << 20
+BITMAP_BITS = 26
+BROADCAST_WINDOWS = 200_000
+SALTS = 8
+LONG = 1024
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -102,187 +110,232 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return _mix(out)
 
 
-def winnow(hashes: np.ndarray, span: int = SPAN) -> np.ndarray:
-    """Positions of hashes that are least in some window of ``span``; ties all stay."""
-    m = len(hashes) - span + 1
+def window_fingerprints(words: np.ndarray, size: int) -> np.ndarray:
+    """Fingerprint of each window of ``size`` words, by its first word: the least gram hash, or the hash of a shorter window."""
+    if size < WINDOW:
+        return gram_hashes(words, size)
+    grams = gram_hashes(words, GRAM)
+    m = len(grams) - SPAN + 1
     if m <= 0:
-        return np.arange(len(hashes))
-    low = hashes[:m].copy()
-    for j in range(1, span):
-        np.minimum(low, hashes[j : j + m], out=low)
-    keep = np.zeros(len(hashes), bool)
-    for j in range(span):
-        keep[j : j + m] |= hashes[j : j + m] == low
-    return np.flatnonzero(keep)
-
-
-class Index:
-    """Fingerprints of one benchmark shard: texts by item, with those of equal words together."""
-
-    def __init__(self, items: list[tuple[str, bytes]]):
-        by_words: dict[tuple[bytes, ...], list[str]] = defaultdict(list)
-        for item, text in items:
-            words = split(text)
-            if words:
-                by_words[tuple(words)].append(item)
-        self.words = list(by_words)
-        self.names = [sorted(set(v)) for v in by_words.values()]
-        grams: dict[int, dict[int, list[tuple[int, int]]]] = {}
-        for n, words in enumerate(self.words):
-            data, offsets = np.frombuffer(b" ".join(words), np.uint8), np.array([0, len(b" ".join(words))])
-            s, e, _ = word_spans(data, offsets)
-            hashes = word_hashes(data, s, e)
-            if len(words) < WINDOW:
-                found, size = [(int(gram_hashes(hashes, len(words))[0]), 0)], len(words)
-            else:
-                g = gram_hashes(hashes, GRAM)
-                found, size = [(int(g[p]), int(p)) for p in winnow(g)], 0
-            table = grams.setdefault(size, {})
-            for h, p in found:
-                table.setdefault(h, []).append((n, p))
-        #: By length: 0 for winnowed grams, else of short items; sorted hashes, a bitmap, occurrences.
-        self.tables = {}
-        for size, table in grams.items():
-            keys = np.array(sorted(table), np.uint64)
-            bitmap = np.zeros(1 << 20, bool)
-            bitmap[(keys >> np.uint64(44)).astype(np.int64)] = True
-            self.tables[size] = (keys, bitmap, table)
-
-    def candidates(self, size: int, hashes: np.ndarray) -> np.ndarray:
-        keys, bitmap, _ = self.tables[size]
-        at = np.flatnonzero(bitmap[(hashes >> np.uint64(44)).astype(np.int64)])
-        if len(at):
-            near = np.searchsorted(keys, hashes[at])
-            at = at[keys[np.minimum(near, len(keys) - 1)] == hashes[at]]
-        return at
-
-
-def split(text: bytes) -> list[bytes]:
-    data = np.frombuffer(text, np.uint8)
-    starts, ends, _ = word_spans(data, np.array([0, len(data)]))
-    low = _LOWER[data].tobytes()
-    return [low[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-
-
-def _extend(doc: list[bytes], item: tuple[bytes, ...], p: int, q: int, size: int) -> tuple[int, int]:
-    """The longest run around doc[p:p+size] = item[q:q+size] in which both agree; (0, 0) if they don't."""
-    if doc[p : p + size] != list(item[q : q + size]):
-        return 0, 0
-    a, b = p, p + size
-    i, j = q - 1, q + size
-    while a > 0 and i >= 0 and doc[a - 1] == item[i]:
-        a, i = a - 1, i - 1
-    while b < len(doc) and j < len(item) and doc[b] == item[j]:
-        b, j = b + 1, j + 1
-    return a, b
-
-
-def hits(index: Index, values: list[bytes]) -> Iterator[tuple[int, list[tuple[int, int]], list[str]]]:
-    """For each text: number of words, disjoint sorted runs of hit words, items that occur."""
-    for first, end, data, offsets in byte_blocks(values):
-        starts, ends, bounds = word_spans(data, offsets)
-        hashes = word_hashes(data, starts, ends)
-        owner = np.repeat(np.arange(end - first), np.diff(bounds))
-        found: dict[int, list[tuple[int, int, int]]] = defaultdict(list)  # text: (position, size, hash)
-        for size in index.tables:
-            n = size or GRAM
-            grams = gram_hashes(hashes, n)
-            if len(grams) == 0:
+        return np.empty(0, np.uint64)
+    least = grams[:m].copy()
+    for j in range(1, SPAN):
+        np.minimum(least, grams[j : j + m], out=least)
+    return least
+
+
+class Window(NamedTuple):
+    at: int  # its first word
+    size: int
+    begin: int  # its bytes
+    stop: int
+    fp: int  # signed
+    words: bytes  # with one space between
+
+
+def _digest(state, size: int) -> bytes:
+    return b"\xff" + state.digest() + size.to_bytes(8, "big")
+
+
+def _short(word: bytes) -> bytes:
+    """A word, or the digest of a long one, which no UTF-8 text equals."""
+    return word if len(word) <= LONG else _digest(hashlib.blake2b(word, digest_size=16), len(word))
+
+
+def _hash_of(word: bytes) -> np.uint64:
+    data = np.frombuffer(word, np.uint8)
+    return word_hashes(data, np.array([0]), np.array([len(data)]))[0]
+
+
+class _Words:
+    """The words of the texts of a block, after the words (word, begin, stop) of ``front``; base: bytes before the block."""
+
+    def __init__(self, block: Block, front: list[tuple[bytes, int, int]] = (), base: int = 0, drop: tuple[int, int] = (0, 0)):
+        """drop: how many words at both ends of a sole text are fragments and left out."""
+        self.low = _LOWER[block.data]
+        starts, ends, bounds = word_spans(self.low, block.offsets)
+        if any(drop):
+            keep = slice(drop[0], len(starts) - drop[1])
+            starts, ends = starts[keep], ends[keep]
+            bounds = np.array([0, len(starts)])
+        hashes = word_hashes(self.low, starts, ends)
+        for i in np.flatnonzero(ends - starts > LONG).tolist():
+            hashes[i] = _hash_of(_short(self.low[starts[i] : ends[i]].tobytes()))
+        self.front, self.starts, self.ends = list(front), starts, ends
+        self.hashes = np.concatenate((np.array([_hash_of(w) for w, _, _ in front], np.uint64), hashes))
+        offset = np.repeat(block.offsets[:-1], np.diff(bounds)) - base
+        self.begin = np.concatenate((np.array([b for _, b, _ in front], np.int64), starts - offset))
+        self.stop = np.concatenate((np.array([e for _, _, e in front], np.int64), ends - offset))
+        self.bounds = bounds + len(self.front)
+        self.bounds[0] = 0
+
+    def word(self, i: int) -> bytes:
+        i -= len(self.front)
+        return self.front[i][0] if i < 0 else _short(self.low[self.starts[i] : self.ends[i]].tobytes())
+
+    def windows(self, sizes: list[int], bitmap: np.ndarray | None) -> Iterator[tuple[int, Window]]:
+        """(text, window) of the windows whose fingerprint may be in the bitmap, or of all."""
+        owner = np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
+        for size in sizes:
+            fps = window_fingerprints(self.hashes, size)
+            if len(fps) == 0:
                 continue
-            whole = owner[: len(grams)] == owner[n - 1 :]
-            if size == 0:
-                picked = _winnowed(grams, whole)
-                at = picked[index.candidates(0, grams[picked])]
-            else:
-                at = np.flatnonzero(whole)
-                at = at[index.candidates(size, grams[at])]
-            for p in at.tolist():
-                o = int(owner[p])
-                found[o].append((p - int(bounds[o]), size, int(grams[p])))
-        low = _LOWER[data].tobytes() if found else b""
-        for o in range(end - first):
-            n_words = int(bounds[o + 1] - bounds[o])
-            if o not in found:
-                yield n_words, [], []
+            ok = owner[: len(fps)] == owner[size - 1 :]
+            if bitmap is not None:
+                bit = (fps >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
+                ok &= (bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
+            for i in np.flatnonzero(ok).tolist():
+                o = int(owner[i])
+                yield o, Window(i - int(self.bounds[o]), size, int(self.begin[i]), int(self.stop[i + size - 1]), int(fps[i].astype(np.int64)), b" ".join(map(self.word, range(i, i + size))))
+
+
+def windows(values, sizes: list[int], bitmap: np.ndarray | None = None, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, list[Window]]]:
+    """For each text: its number of words, and its windows of the sizes (all, or those the bitmap may know)."""
+    for b in blocks(values, limit):
+        if len(b.data) > limit:
+            yield _of_long(b.data, sizes, bitmap, limit)
+            continue
+        words = _Words(b)
+        out: list[list[Window]] = [[] for _ in range(b.end - b.first)]
+        for o, w in words.windows(sizes, bitmap):
+            out[o].append(w)
+        yield from zip(np.diff(words.bounds).tolist(), out, strict=True)
+
+
+class _Open:
+    """A word that goes on beyond its piece."""
+
+    def __init__(self, begin: int):
+        self.begin, self.size, self.head, self.state = begin, 0, b"", hashlib.blake2b(digest_size=16)
+
+    def add(self, part: np.ndarray) -> None:
+        low = _LOWER[part].tobytes()
+        self.state.update(low)
+        self.size += len(low)
+        self.head = (self.head + low)[: LONG + 1]
+
+    def close(self) -> tuple[bytes, int, int]:
+        return self.head if self.size <= LONG else _digest(self.state, self.size), self.begin, self.begin + self.size
+
+
+def _of_long(data: np.ndarray, sizes: list[int], bitmap: np.ndarray | None, limit: int) -> tuple[int, list[Window]]:
+    """As windows(), of one text, piece by piece: the last words of a piece stand before the next one's."""
+    total, out, front, word = 0, [], [], None
+    cuts = pieces(data, limit)
+    for n, (s, e) in enumerate(cuts):
+        part = data[s:e]
+        inside = _IS_WORD[_LOWER[part]]
+        goes_on = n + 1 < len(cuts) and bool(inside[-1]) and bool(_IS_WORD[_LOWER[data[e]]])
+        carried, begun = len(front), word is not None
+        if begun:
+            stop = len(part) if inside.all() else int(np.argmin(inside))
+            word.add(part[:stop])
+            if stop == len(part) and goes_on:
                 continue
-            words = [low[s:e] for s, e in zip(starts[bounds[o] : bounds[o + 1]].tolist(), ends[bounds[o] : bounds[o + 1]].tolist(), strict=True)]
-            runs, items, seen = [], set(), {}
-            for p, size, h in sorted(found[o]):
-                for n, q in index.tables[size][2][h]:
-                    if seen.get((n, p - q, size), -1) >= p + (size or GRAM):
-                        continue  # inside a run that is extended already
-                    a, b = _extend(words, index.words[n], p, q, size or GRAM)
-                    seen[n, p - q, size] = b
-                    if b - a >= (size or WINDOW):
-                        runs.append((a, b))
-                        items.update(index.names[n])
-            yield n_words, merged(runs), sorted(items)
-
-
-def _winnowed(grams: np.ndarray, whole: np.ndarray) -> np.ndarray:
-    """winnow() over many texts at once: a gram that crosses two texts never counts as least."""
-    high = np.where(whole, grams, np.uint64(0xFFFFFFFFFFFFFFFF))
-    at = winnow(high)
-    return at[whole[at]]
-
-
-def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(runs):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+            front, word = [*front, word.close()], None
+        if goes_on:
+            start = 0 if inside.all() else len(part) - int(np.argmin(inside[::-1]))
+            word = _Open(s + start)
+            word.add(part[start:])
+        words = _Words(Block(0, 1, part, np.array([0, len(part)])), front, s, (int(begun), int(goes_on)))
+        out += [w._replace(at=w.at + total - carried) for _, w in words.windows(sizes, bitmap) if w.at + w.size > carried]
+        count = len(words.hashes)
+        total += count - carried
+        front = [(words.word(i), int(words.begin[i]), int(words.stop[i])) for i in range(max(0, count - WINDOW + 1), count)]
+    return total, out
+
+
+class Index(NamedTuple):
+    """The benchmark's windows (size, fp, words, item), the sizes there are, a bitmap of fingerprints, whether to broadcast."""
+
+    rows: DataFrame
+    sizes: list[int]
+    bitmap: np.ndarray
+    small: bool
+
 
+def index(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> Index:
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).filter("item is not null and text is not null")
 
-def shards(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> list[list[tuple[str, bytes]]]:
-    """The benchmark in pieces of at most ``limit`` bytes of text (one item at least)."""
-    out: list[list[tuple[str, bytes]]] = [[]]
-    size = 0
-    rows = benchmark.select(F.col(id_col).cast("string"), F.col(text_col).cast("string")).filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    for item, text in rows.toLocalIterator():
-        if out[-1] and size + len(text) > limit:
-            out.append([])
-            size = 0
-        out[-1].append((item, text.encode()))
-        size += len(text)
-    return [s for s in out if s]
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            names = batch["item"].to_pylist()
+            found = []
+            for i, (n, ws) in enumerate(windows(batch["text"], [WINDOW])):
+                # An item of fewer words than a window has the one window that is all of them.
+                found += [(i, w) for w in (next(windows([batch["text"][i].as_py()], [n]))[1] if 0 < n < WINDOW else ws)]
+            for at in range(0, max(1, len(found)), 8192):
+                some = found[at : at + 8192]
+                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i, _ in some], pa.string()), pa.array([w.size for _, w in some], pa.int32()), pa.array([w.fp for _, w in some], pa.int64()), pa.array([w.words for _, w in some], pa.binary())], names=["item", "size", "fp", "words"])
 
+    rows = settle(items.mapInArrow(run, "item string, size int, fp long, words binary").distinct())
+    per = rows.groupBy("size").agg(F.count("*").alias("n")).collect()
+    bit = F.shiftrightunsigned("fp", 64 - BITMAP_BITS)
+    # At most 2^(BITMAP_BITS - 6) rows, whatever the benchmark.
+    masks = rows.select(F.shiftright(bit, 6).alias("at"), F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(fp, {64 - BITMAP_BITS}) & 63 AS INT))").alias("mask")).groupBy("at").agg(F.bit_or("mask").alias("mask")).toArrow()
+    bitmap = np.zeros(1 << (BITMAP_BITS - 6), "<i8")
+    bitmap[masks["at"].to_numpy()] = masks["mask"].to_numpy()
+    return Index(rows, sorted(r["size"] for r in per), bitmap.view(np.uint8), sum(r["n"] for r in per) <= broadcast_windows)
 
-_SPAN_TYPE = "doc_id {kind}, n_words long, runs array<array<int>>, items array<string>"
 
+_AT = "array<struct<at:int,size:int,begin:bigint,stop:bigint,fp:bigint,words:binary>>"
 
-def _mark(docs: DataFrame, items: list[tuple[str, bytes]]) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(Index(items))
+
+def _found(rows: DataFrame, idx: Index, keys: tuple[str, ...]) -> DataFrame:
+    """keys, n_words and at, the windows that the bitmap may know, of each row (keys, text)."""
+    shared = rows.sparkSession.sparkContext.broadcast(idx.bitmap)
+    kinds, sizes = dict(rows.dtypes), idx.sizes
 
     def run(batch: pa.RecordBatch) -> dict:
-        out = list(hits(shared.value, raw(batch["text"])))
-        return {"doc_id": batch["doc_id"], "n_words": [x[0] for x in out], "runs": [[list(r) for r in x[1]] for x in out], "items": [x[2] for x in out]}
-
-    return map_columns(docs, run, _SPAN_TYPE.format(kind=dict(docs.dtypes)["doc_id"]))
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(doc_id, n_words, runs, items) for each row: hit word runs [from, to) and the items that occur."""
-    rows = texts(docs, id_col, text_col)
-    parts = shards(benchmark, item_col, "text", shard_bytes)
-    if len(parts) <= 1:
-        return _mark(rows, parts[0] if parts else [])
-    # Several shards: rows meet again by id and text, repeated rows by their number among equals.
-    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    kind = dict(rows.dtypes)["doc_id"]
-    total = None
-    for part in parts:
-        one = _mark(rows.select(F.struct("doc_id", key.alias("h")).alias("doc_id"), "text"), part)
-        total = one if total is None else total.unionByName(one)
+        got = list(windows(batch["text"], sizes, shared.value))
+        return {k: batch[k] for k in keys} | {"n_words": [n for n, _ in got], "at": [[w._asdict() for w in ws] for _, ws in got]}
+
+    return map_columns(rows.select(*keys, "text"), run, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", n_words long, at {_AT}")
+
+
+_PLACE = ("at", "size", "begin", "stop")
+
+
+def _hits(found: DataFrame, idx: Index, keys: tuple[str, ...]) -> DataFrame:
+    """keys, at, size, begin, stop, item of the windows that the benchmark has indeed."""
+    flat = found.select(*keys, F.explode("at").alias("w")).select(*keys, "w.*")
+    on = ["size", "fp", "words"]
+    if idx.small:
+        return flat.join(F.broadcast(idx.rows), on).select(*keys, *_PLACE, "item")
+    salt = F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int")
+    return flat.withColumn("_salt", salt).join(idx.rows.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*on, "_salt"]).select(*keys, *_PLACE, "item")
+
+
+def merged(hits: list[dict]) -> list[list[int]]:
+    """Runs [first word, end, first byte, end] of windows that overlap or follow one another."""
+    out: list[list[int]] = []
+    for h in sorted(hits, key=lambda h: (h["at"], h["size"])):
+        end = h["at"] + h["size"]
+        if out and h["at"] <= out[-1][1]:
+            if end > out[-1][1]:
+                out[-1][1], out[-1][3] = end, h["stop"]
+        else:
+            out.append([h["at"], end, h["begin"], h["stop"]])
+    return out
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+    """(doc_id, n_words, runs, items) for each row: hit word runs [from, to) and the items that occur.
+
+    Rows are known by id and hash of the text; repeated rows are counted and written out again."""
+    rows = texts(docs, id_col, text_col).withColumn("h", F.xxhash64(F.coalesce("text", F.lit("")), F.length("text")))
+    kind, keys = dict(rows.dtypes)["doc_id"], ("doc_id", "h")
+    idx = index(benchmark, item_col, "text", broadcast_windows)
+    found = settle(_found(rows, idx, keys))
+    none = F.lit(None)
+    base = found.select(*keys, "n_words", none.cast("struct<at:int,size:int,begin:bigint,stop:bigint>").alias("hit"), none.cast("string").alias("item"))
+    hits = _hits(found, idx, keys).select(*keys, none.cast("long").alias("n_words"), F.struct(*_PLACE).alias("hit"), "item")
+    grouped = base.unionByName(hits).groupBy(*keys).agg(F.count("n_words").alias("n"), F.max("n_words").alias("n_words"), F.collect_set("hit").alias("runs"), F.collect_set("item").alias("items"))
 
     def merge(batch: pa.RecordBatch) -> dict:
-        runs = [[list(r) for r in merged([tuple(r) for rs in x for r in rs])] for x in batch["runs"].to_pylist()]
-        return {"doc_id": batch["doc_id"], "n": batch["n"], "n_words": batch["n_words"], "runs": runs, "items": [sorted({i for xs in x for i in xs}) for x in batch["items"].to_pylist()]}
+        return {"doc_id": batch["doc_id"], "n": batch["n"], "n_words": batch["n_words"], "runs": [[r[:2] for r in merged(x)] for x in batch["runs"].to_pylist()], "items": [sorted(x) for x in batch["items"].to_pylist()]}
 
-    grouped = total.groupBy("doc_id").agg((F.count("*") / len(parts)).cast("long").alias("n"), F.max("n_words").alias("n_words"), F.collect_set("runs").alias("runs"), F.collect_set("items").alias("items"))
-    flat = map_columns(grouped.select(F.col("doc_id.doc_id").alias("doc_id"), "n", "n_words", "runs", "items"), merge, f"doc_id {kind}, n long, n_words long, runs array<array<int>>, items array<string>")
+    flat = map_columns(grouped.drop("h"), merge, f"doc_id {kind}, n long, n_words long, runs array<array<int>>, items array<string>")
     return flat.select("doc_id", F.explode(F.sequence(F.lit(1), F.col("n"))), "n_words", "runs", "items").drop("col")
 
 
@@ -292,57 +345,63 @@ def report(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (F.size("items") >= 2).alias("contaminated"))
 
 
-def cut(text: bytes, runs: list[tuple[int, int]]) -> bytes:
-    """The text without the words of the runs and what stands between them."""
-    data = np.frombuffer(text, np.uint8)
-    starts, ends, _ = word_spans(data, np.array([0, len(data)]))
+def cut(text: bytes, runs: list[list[int]]) -> bytes:
+    """The text without the bytes of the runs."""
     keep, at = [], 0
-    for a, b in runs:
-        keep.append(text[at : starts[a]])
-        at = int(ends[b - 1])
+    for _, _, begin, stop in runs:
+        keep.append(text[at:begin])
+        at = stop
     return b"".join([*keep, text[at:]])
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, at_least: int = 2, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, at_least: int = 2, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """docs, all columns, without leaks: rows in which ``at_least`` items occur go, and
     from the others the hit runs are cut, again until none is left; n_chars, if there, follows.
 
-    Batches are treated in place, without a shuffle; each shard's index is built
-    once and held by the executors one beside the other, so benchmarks of more than
-    a few shards are better marked with contamination() and joined."""
-    shared = [docs.sparkSession.sparkContext.broadcast(Index(p)) for p in shards(benchmark, "item_id", "text", shard_bytes)]
+    Rows without a window that the bitmap may know stay where they lie; only the others,
+    about as many as have leaks, are settled, numbered and joined."""
+    idx = index(benchmark, broadcast_windows=broadcast_windows)
+    shared, sizes = docs.sparkSession.sparkContext.broadcast(idx.bitmap), idx.sizes
+
+    def part(known: bool) -> DataFrame:
+        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in it:
+                text = batch["text"]
+                may = [len(ws) > 0 for _, ws in windows(text if pa.types.is_string(text.type) or pa.types.is_large_string(text.type) else text.cast(pa.string()), sizes, shared.value)]
+                yield batch.filter(pa.array([m == known for m in may], pa.bool_()))
+
+        return docs.mapInArrow(run, docs.schema)
+
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    left = settle(settle(part(True).select(row.alias("row"))).select(F.monotonically_increasing_id().alias("key"), "row", F.col("row.text").cast("string").alias("text"), F.lit(False).alias("changed")))
+    out, first = [part(False)], True
+    while not left.isEmpty():
+        hits = _hits(_found(left, idx, ("key",)), idx, ("key",)).groupBy("key").agg(F.collect_set(F.struct(*_PLACE)).alias("runs"), F.count_distinct("item").alias("n"))
+        marked = settle(left.join(hits, "key", "left"))
+        out.append(_restored(marked.filter("runs is null"), docs))
+        some = marked.filter("runs is not null" + (f" and n < {int(at_least)}" if first else ""))
+        left, first = settle(_cut_rows(some)), False
+    whole = out[0]
+    for other in out[1:]:
+        whole = whole.unionByName(other)
+    return whole
+
+
+def _cut_rows(rows: DataFrame) -> DataFrame:
+    def run(batch: pa.RecordBatch) -> dict:
+        texts_ = [cut(t.encode(), merged(r)).decode() for t, r in zip(batch["text"].to_pylist(), batch["runs"].to_pylist(), strict=True)]
+        return {"key": batch["key"], "text": texts_}
 
-    def leaks(value: bytes) -> tuple[list[tuple[int, int]], set[str]]:
-        found = [x for s in shared for x in hits(s.value, [value])]
-        return merged([r for x in found for r in x[1]]), {i for x in found for i in x[2]}
+    new = map_columns(rows.select("key", "text", "runs"), run, "key long, text string")
+    return rows.select("key", "row").join(new, "key").select("key", "row", "text", F.lit(True).alias("changed"))
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            values = raw(batch["text"])
-            hit = sorted({i for s in shared for i, x in enumerate(hits(s.value, values)) if x[1]})
-            gone, changed = set(), {}
-            for i in hit:
-                value, (runs, items) = values[i], leaks(values[i])
-                if len(items) >= at_least:
-                    gone.add(i)
-                    continue
-                while runs:
-                    value = cut(value, runs)
-                    runs, _ = leaks(value)
-                changed[i] = value.decode()
-            if changed:
-                batch = _replaced(batch, changed)
-            yield batch.filter(pa.array([i not in gone for i in range(batch.num_rows)], pa.bool_())) if gone else batch
-
-    return docs.mapInArrow(run, docs.schema)
-
-
-def _replaced(batch: pa.RecordBatch, changed: dict[int, str]) -> pa.RecordBatch:
-    cols = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-    for name, value in (("text", lambda t: t), ("n_chars", len)):
-        if name in cols:
-            old = cols[name].to_pylist()
-            for i, t in changed.items():
-                old[i] = value(t)
-            cols[name] = pa.array(old, cols[name].type)
-    return pa.RecordBatch.from_arrays(list(cols.values()), schema=batch.schema)
+
+def _restored(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    kinds = dict(docs.dtypes)
+
+    def value(c: str) -> Column:
+        own = F.col("row").getField(c)
+        new = {"text": F.col("text"), "n_chars": F.length("text")}.get(c)
+        return (own if new is None else F.when(F.col("changed"), new.cast(kinds[c])).otherwise(own)).alias(c)
+
+    return rows.select(*[value(c) for c in docs.columns])

@@ -33,6 +33,15 @@ def test_every_character_class_splits_like_the_library(codec):
             assert codec._encode_long(text) == codec.encoding.encode_ordinary(text), hex(at)
 
 
+def test_shipped_leaf_joins_ordinary_texts(spark, codec):
+    """Equal to the library at the leaf size that the query uses; most rows of the table meet a join."""
+    rows = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    assert sum(len(t) > M.LEAF for t in rows) > 0.9 * len(rows)
+    for t in rows[:400]:
+        ids = codec.encode(t)
+        assert ids == codec.encoding.encode_ordinary(t) and codec.decode(ids) == t.encode()
+
+
 def test_rows(spark, edges, edge_rows, empty, codec):
     got = M.round_trip(edges, PATH, P.PATTERN).collect()
     want = []

@@ -1,6 +1,9 @@
 import random
 import re
 
+import numpy as np
+import pytest
+
 from seqloom.llm import winnowing as W
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -28,20 +31,19 @@ def cases(seed, n_docs=25):
     return items, [" ".join(rng.choice(v) for _ in range(rng.randint(0, 60))) for _ in range(n_docs)]
 
 
-def test_equal_to_brute_force():
-    for seed in range(120):
+def test_windows_of_shared_runs_share_fingerprints():
+    for seed in range(60):
         items, docs = cases(seed)
-        index = W.Index([(i, t.encode()) for i, t in items])
-        for t, x in zip(docs, W.hits(index, [d.encode() for d in docs]), strict=True):
-            assert (x[0], sum(b - a for a, b in x[1]), x[2]) == brute(items, t)
-
+        every = [list(W.windows([t], [8]))[0][1] for t in [*docs, *(t for _, t in items)]]
+        names = {}
+        for w in (w for ws in every for w in ws):
+            assert names.setdefault(w.words, w.fp) == w.fp
 
-def test_winnowing_keeps_a_gram_of_each_window():
-    import numpy as np
 
+def test_fingerprints_are_least_gram_hashes():
     h = np.random.default_rng(0).integers(0, 9, 500).astype(np.uint64)
-    kept = set(W.winnow(h).tolist())
-    assert all(kept & set(range(i, i + W.SPAN)) for i in range(len(h) - W.SPAN + 1))
+    grams = [int(W.gram_hashes(h[i : i + 5], 5)[0]) for i in range(496)]
+    assert W.window_fingerprints(h, 8).tolist() == [min(grams[i : i + 4]) for i in range(493)]
 
 
 def run(docs, bench, **options):
@@ -49,12 +51,13 @@ def run(docs, bench, **options):
     return sorted([(r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in W.report(found).collect()], key=str)
 
 
-def test_one_shard_or_many(spark, edges):
-    items, docs = cases(77)
+@pytest.mark.parametrize("seed", [77, 78])
+def test_broadcast_or_shuffled(spark, edges, seed):
+    items, docs = cases(seed, 80)
     bench = spark.createDataFrame([*[(int(i), t) for i, t in items], (90, None), (91, "")], "item_id long, text string")
     df = spark.createDataFrame([*enumerate(docs), (3, docs[3]), (900, None)], "doc_id long, text string")
     whole = run(df, bench)
-    assert whole == run(df, bench, shard_bytes=10) and len(whole) == len(docs) + 2
+    assert whole == run(df, bench, broadcast_windows=0) and len(whole) == len(docs) + 2
     by = {r[0]: r for r in whole}
     assert [by[i][1:4] for i in range(len(docs))] == [(n, h, len(s)) for n, h, s in (brute(items, t) for t in docs)]
     assert by[900][1:4] == (0, 0, 0)
@@ -76,4 +79,40 @@ def test_clean_cuts_single_leaks_and_drops_double_ones(spark, edges):
     df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
     got = {r.doc_id: (r.text, r.n_chars) for r in W.clean(df, bench).collect()}
     assert got == {1: ("Before , after.", 15), 3: ("nothing here", 12), 4: (None, 0)}
+    assert {r.doc_id: (r.text, r.n_chars) for r in W.clean(df, bench, broadcast_windows=0).collect()} == got
     assert W.clean(edges, bench).columns == edges.columns
+
+
+def test_clean_until_nothing_is_left(spark):
+    """A cut may bring words together that are a leak again; what is left has none, and columns of any name stay."""
+    a = "alpha beta gamma delta epsilon zeta eta theta"
+    bench = spark.createDataFrame([(1, a)], "item_id long, text string")
+    nested = f"alpha beta gamma {a} delta epsilon zeta eta theta end"
+    df = spark.createDataFrame([(1, nested, 5, 7, "k"), (1, nested, 5, 7, "k"), (None, a, 0, 0, None)], "doc_id long, text string, key int, at int, runs string")
+    got = W.clean(df, bench).collect()
+    assert sorted((str(r.doc_id), r.text.split(), r.key, r.at, r.runs) for r in got) == [("1", ["end"], 5, 7, "k")] * 2 + [("None", [], 0, 0, None)]
+
+
+def test_large_benchmarks_read_documents_once(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(3000)]
+    items = [" ".join(rng.choice(words) for _ in range(40)) for _ in range(400)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = [" ".join([rng.choice(words), *items[i].split()[k : k + 9], rng.choice(words)]) for i, k in ((rng.randrange(400), rng.randrange(31)) for _ in range(60))]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    by = {r[0]: r for r in run(df, bench, broadcast_windows=10)}
+    known = {}
+    for i, t in enumerate(items):
+        w = t.split()
+        for k in range(len(w) - 7):
+            known.setdefault(tuple(w[k : k + 8]), set()).add(i)
+    for i, t in enumerate(docs):
+        w = t.split()
+        hit = [(k, known[tuple(w[k : k + 8])]) for k in range(len(w) - 7) if tuple(w[k : k + 8]) in known]
+        assert by[i][2:4] == (len({x for k, _ in hit for x in range(k, k + 8)}), len({x for _, s in hit for x in s}))
+
+
+def test_repetitive_texts_take_linear_time(spark):
+    bench = spark.createDataFrame([(1, "word " * 300)], "item_id long, text string")
+    df = spark.createDataFrame([(1, "word " * 100_000)], "doc_id long, text string")
+    assert run(df, bench)[0][1:4] == (100_000, 100_000, 1)

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import xxhash
@@ -113,6 +114,50 @@ def test_chains_follow_anchors():
     assert [set(s.tolist()) for s in G.signatures(many)] == [sig(t) for t in many]
 
 
+def brute_signatures(text):
+    """Chains word by word, without arrays."""
+    full = 1 << 64
+    factors = [int(f) for f in G._FACTORS]
+
+    def word_hash(w):
+        h = (sum((b + 1) * 0x9E3779B97F4A7C15 * pow(0x100000001B3, i, full) for i, b in enumerate(w)) + len(w)) % full
+        h = (h ^ (h >> 33)) * 0xFF51AFD7ED558CCD % full
+        return h ^ (h >> 29)
+
+    anchors = {a.encode() for a in G.ANCHORS}
+    words = re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").lower().encode())
+
+    def chain(i, follow):
+        h = (word_hash(words[i]) * factors[0] + sum(word_hash(w) * factors[1 + j] for j, w in enumerate(follow))) % full
+        return (h ^ (h >> 29)) * factors[2] % full >> 32
+
+    out = set()
+    for i, w in enumerate(words):
+        follow = [x for x in words[i + 1 :] if x not in anchors][: G.CHAIN]
+        if w in anchors and follow:
+            out.add(chain(i, follow))
+    return out or {chain(i, words[i + 1 : i + 1 + G.CHAIN]) for i in range(len(words))}
+
+
+def test_chains_equal_brute_force():
+    rng = random.Random(4)
+    words = ["the", "of", "und", "fox", "Haus", "élan", "x1", "A", "größe", "in"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 30))) for _ in range(150)] + ["the", "the of", "fox", "fox hat house", "zzz the"]
+    assert [sig(t) for t in texts] == [brute_signatures(t) for t in texts]
+    # One anchored chain is enough for a text to have no others; none, and every word has one.
+    assert len(sig("a1 b1 c1 d1 the e1")) == 1 and len(sig("a1 b1 c1 d1 e1")) == 5
+
+
+def test_ids_of_other_types_are_dealt_out(spark):
+    texts = [f"the cat {i} sat of mats {i}" for i in range(200)]
+    df = spark.createDataFrame([(f"k{i:04}", t) for i, t in enumerate(texts)], "doc_id string, text string")
+    got = {r.doc_id: r.near_next for r in G.compare_with_next(df).collect()}
+    assert got == {f"k{i:04}": alike(sig(t), sig(texts[(i + 1) % 200])) for i, t in enumerate(texts)}
+    assert len(G._quantiles(df.select("doc_id"), 4)) == 3
+    days = df.selectExpr("date_add(date'2020-01-01', CAST(substr(doc_id, 2) AS INT)) AS doc_id", "text")
+    assert [r.near_next for r in G.compare_with_next(days).orderBy("doc_id").collect()] == [got[k] for k in sorted(got)]
+
+
 def test_compare_with_next(spark, edges, edge_rows, empty):
     import hashlib
 
