@@ -1,9 +1,7 @@
 """Registered queries do the whole job: small tables of their own against brute force."""
 
-import json
 import random
 
-from seqloom.llm import quality_mil, token_count
 from seqloom.operators import profile
 from seqloom.plans import catalog
 from seqloom.plans.inputs import K
@@ -68,20 +66,3 @@ def test_exact_order_of_ambiguity_correction(spark):
 
     assert kept() == {"a"}
     assert kept(exact_order=True) == {"a", "c"}
-
-
-def test_quality_learns_from_every_passage():
-    text = " ".join(letters(5, i) for i in range(quality_mil.PASSAGE * 40 + 1))
-    (x, firsts), = quality_mil.passages(["short text", text])
-    got = list(quality_mil.bag(["short text", text]))
-    assert [len(b) for b in got] == [1, 41] and firsts[-1] == 42
-    assert (got[1] == x[1:]).all()
-
-
-def test_whole_tokens_are_proven_by_the_merges(tmp_path):
-    names = [*token_count.byte_alphabet(), "abc", "de"]
-    spec = {"added_tokens": [], "normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False}, "model": {"type": "BPE", "vocab": {n: i for i, n in enumerate(names)}, "merges": ["ab c", "d e"]}}
-    path = tmp_path / "tokenizer.json"
-    path.write_text(json.dumps(spec))
-    counter = token_count.Counter(str(path))
-    assert counter.count("de") == 1 and counter.count("abc") == 3
