@@ -7,18 +7,19 @@ one row of the matrix answers a k-mer for all of them. The matrix is kept sparse
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from seqloom.functions.rates import bloom_fpr, signature_size
 from seqloom.operators import sketch
 from seqloom.session import settle
 
-#: Blocks whose lengths go with a query at once; more are visited in turns of so many.
-BLOCKS_AT_ONCE = 4096
-
 
 def base_block_size(sets: int, threads: int) -> int:
     """Block size where none is given: sets spread over threads, in eights."""
@@ -68,26 +69,103 @@ def dense_rows(matrix: DataFrame) -> DataFrame:
     return matrix.groupBy("block", "loc", F.floor(F.col("slot") / 64).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits"))
 
 
-def search(queries: DataFrame, matrix: DataFrame, packed: DataFrame, num_hash: int = 1, ref: tuple[str, ...] = ("target", "chunk_idx")) -> DataFrame:
+#: K-mers of queries that go to the index together; more are dealt into groups, each of which passes over the index once.
+QUERY_KMERS = 8_000_000
+#: K-mers of a query in one piece, and of several queries looked up at once.
+_PIECE, _AT_ONCE = 1 << 20, 1 << 16
+
+
+def search(queries: DataFrame, matrix: DataFrame, packed: DataFrame, num_hash: int = 1, ref: tuple[str, ...] = ("target", "chunk_idx"), min_kmers: int = 1, min_q_cov: float = 0.0, query_kmers: int = QUERY_KMERS) -> DataFrame:
     """(query, q_len, q_kmers, *ref, t_kmers, m_kmers) by the index: exact matches, and false ones at its rate.
 
-    A k-mer counts for a slot if all its positions are set; positions of one k-mer
-    that coincide count separately, as each must be found."""
-    lengths = [(r["block"], r["num_sigs"]) for r in packed.select("block", "num_sigs").distinct().collect()]
-    q = queries.select("query", "q_len", "q_kmers", F.explode("kmers").alias("kmer")).groupBy("query", "q_len", "q_kmers", "kmer").agg(F.count("*").alias("times"))
-    parts = []
-    for at in range(0, max(len(lengths), 1), BLOCKS_AT_ONCE):
-        blocks = F.array(*[F.struct(F.lit(b).alias("block"), F.lit(n).cast("long").alias("num_sigs")) for b, n in lengths[at : at + BLOCKS_AT_ONCE]]) if lengths else F.array().cast("array<struct<block:string,num_sigs:bigint>>")
-        look = q.select("*", F.explode(blocks).alias("b")).select("query", "q_len", "q_kmers", "kmer", "times", F.col("b.block").alias("block"), F.posexplode(F.array(*locations(F.col("kmer"), F.col("b.num_sigs"), num_hash))).alias("i", "loc"))
-        hit = look.join(matrix, ["block", "loc"])
-        if num_hash > 1:
-            hit = hit.groupBy("query", "q_len", "q_kmers", "kmer", "times", "block", "slot").agg(F.count("*").alias("_n")).filter(F.col("_n") == num_hash)
-        parts.append(hit.groupBy("query", "q_len", "q_kmers", "block", "slot").agg(F.sum("times").cast("int").alias("m_kmers")))
+    A k-mer counts for a slot if all its positions are set. The matrix, rows (block, loc,
+    slot) or dense_rows(), is dealt by block and word of 64 slots; a task fills the table of
+    one word, then looks all k-mers up in it, so that no row is made for a k-mer and a block.
+    Matches below min_kmers or not above min_q_cov of a query's k-mers never leave the task."""
+    q = queries.select("query", "q_len", "q_kmers", F.explode(F.sequence(F.lit(0), F.greatest(F.floor((F.size("kmers") - 1) / _PIECE), F.lit(0)).cast("int"))).alias("piece"), "kmers").filter("size(kmers) > 0")
+    q = settle(q.select("query", "q_len", "q_kmers", "piece", (F.size("kmers") <= _PIECE).alias("whole"), F.slice("kmers", F.col("piece") * _PIECE + 1, F.lit(_PIECE)).alias("kmers")))
+    total = q.agg(F.sum(F.size("kmers"))).first()[0] or 0
+    groups = -(-total // query_kmers)
+    word = F.floor(F.col("slot") / 64).cast("int") if "slot" in matrix.columns else F.col("word")
+    bits = F.expr("shiftleft(1L, slot % 64)") if "slot" in matrix.columns else F.col("bits")
+    width = packed.groupBy("block", "num_sigs").agg(F.max("slot").alias("_last"))
+    units = matrix.select("block", word.alias("word"), "loc", bits.alias("bits")).join(width, "block")
+    units = units.select("block", "word", "num_sigs", F.least(F.lit(64), F.col("_last") + 1 - 64 * F.col("word")).alias("slots"), "loc", "bits")
+    units = units.repartition("block", "word").sortWithinPartitions("block", "word")
+    units = settle(units) if groups > 1 else units
+    parts = [_looked_up(q if groups == 1 else q.filter(F.pmod(F.xxhash64("query", "piece"), F.lit(groups)) == g), units, num_hash, min_kmers, min_q_cov) for g in range(max(1, groups))]
     found = reduce(lambda a, b: a.unionByName(b), parts)
+    found = found.groupBy("query", "q_len", "q_kmers", "block", "slot").agg(F.sum("m_kmers").cast("int").alias("m_kmers"))
+    found = found.filter((F.col("m_kmers") >= min_kmers) & (F.col("m_kmers") > F.col("q_kmers") * min_q_cov))
     named = packed.select(*ref, F.col("n_kmers").alias("t_kmers"), "block", "slot")
     return found.join(named, ["block", "slot"]).select("query", "q_len", "q_kmers", *ref, "t_kmers", "m_kmers")
 
 
+def _places(kmers: np.ndarray, num_sigs: int, num_hash: int) -> list[np.ndarray]:
+    """As locations()."""
+    if num_hash == 1:
+        return [kmers % num_sigs]
+    low = np.uint64((1 << 32) - 1)
+    x = kmers.view(np.uint64)
+    return [(((x >> np.uint64(32)) + (x & low) * np.uint64(i)) & low).astype(np.int64) % num_sigs for i in range(num_hash)]
+
+
+def _looked_up(queries: DataFrame, units: DataFrame, num_hash: int, min_kmers: int, min_q_cov: float) -> DataFrame:
+    """(query, q_len, q_kmers, block, slot, m_kmers) of a group of query pieces, which is sent to all tasks."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = StructType([*(queries.schema[c] for c in ("query", "q_len", "q_kmers")), units.schema["block"], StructField("slot", IntegerType()), StructField("m_kmers", IntegerType())])
+    got = queries.select("query", "q_len", "q_kmers", "whole", "kmers").toArrow().combine_chunks()
+    lists = got["kmers"].combine_chunks() if got.num_rows else None
+    kmers = lists.flatten().to_numpy() if lists is not None else np.empty(0, np.int64)
+    ends = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy()))) if lists is not None else np.zeros(1, np.int64)
+    floor = np.where(got["whole"].to_numpy(), np.maximum(min_kmers, np.floor(got["q_kmers"].to_numpy() * min_q_cov)), 1)
+    shared = queries.sparkSession.sparkContext.broadcast((got.select(["query", "q_len", "q_kmers"]), kmers, ends, floor))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kmers, ends, floor = shared.value
+        arrow = to_arrow_schema(schema)
+        unit, table = None, None
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if unit is None:
+                return
+            block, word, num_sigs, slots = unit
+            at = 0
+            while at + 1 < len(ends):
+                end = max(at + 1, int(np.searchsorted(ends, ends[at] + _AT_ONCE, side="right")) - 1)
+                some = kmers[ends[at] : ends[end]]
+                hit = reduce(np.bitwise_and, (table[p] for p in _places(some, num_sigs, num_hash)))
+                each = np.unpackbits(hit.view(np.uint8).reshape(len(some), -1), axis=1, bitorder="little")[:, :slots]
+                counts = np.add.reduceat(each, ends[at:end] - ends[at], axis=0, dtype=np.int32)
+                row, slot = np.nonzero(counts >= np.maximum(floor[at:end], 1)[:, None])
+                if len(row):
+                    take = names.take(pa.array(row + at)).combine_chunks()
+                    cols = [*(take[c].combine_chunks() for c in take.column_names), pa.array([block] * len(row)), pa.array(slot + 64 * word), pa.array(counts[row, slot])]
+                    yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
+                at = end
+
+        for batch in it:
+            loc, bits = batch["loc"].to_numpy(), batch["bits"].to_numpy().view(np.uint64)
+            keys = list(zip(*(batch[c].to_pylist() for c in ("block", "word", "num_sigs", "slots")), strict=True))
+            new = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]]
+            for a, b in zip(new, [*new[1:], len(keys)], strict=True):
+                if keys[a] != unit:
+                    yield from close()
+                    unit = keys[a]
+                    table = np.zeros(unit[2], next(t for n, t in ((8, np.uint8), (16, np.uint16), (32, np.uint32), (64, np.uint64)) if unit[3] <= n))
+                np.bitwise_or.at(table, loc[a:b], bits[a:b].astype(table.dtype))
+        yield from close()
+
+    return units.mapInArrow(run, schema)
+
+
+def bits_of(dense: DataFrame) -> DataFrame:
+    """dense_rows() as (block, loc, slot) again."""
+    slots = F.expr("transform(filter(sequence(0, 63), i -> (shiftrightunsigned(bits, i) & 1) = 1), i -> CAST(word * 64 + i AS INT))")
+    return dense.select("block", "loc", F.explode(slots).alias("slot"))
+
+
 def density(matrix: DataFrame, packed: DataFrame, bins: int = 1024, bin_size: int = 0, ref: tuple[str, ...] = ("target", "chunk_idx")) -> DataFrame:
     """(*ref, bin, bits, gray): set bits of each bin of each filter, and its shade."""
     size = F.lit(bin_size).cast("long") if bin_size else F.greatest(F.lit(1), F.ceil(F.col("num_sigs") / bins)).cast("long")

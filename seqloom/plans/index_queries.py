@@ -98,7 +98,7 @@ def _search(h):
     def run(spark, d):
         q = sketch.query_kmers(I.queries(spark, d), K, "md5", min_len=30)
         p = packed(spark, d, h)
-        found = bloom.search(q, bloom.bit_matrix(sets(spark, d), p, h), p, h)
+        found = bloom.search(q, bloom.bit_matrix(sets(spark, d), p, h), p, h, min_kmers=10, min_q_cov=0.55)
         return shaped(search.with_hits(search.filtered(found)))
 
     return run

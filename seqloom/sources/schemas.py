@@ -24,4 +24,4 @@ MANIFEST = _fields(
 )
 
 #: Version of the database layout; others are refused.
-DB_VERSION = 4
+DB_VERSION = 5

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqloom.operators import bloom
 from seqloom.operators.matches import latest
 from seqloom.sources import schemas as S
 
@@ -78,12 +79,13 @@ def read_taxdump(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 def write_database(path: str, sets: DataFrame, matrix: DataFrame | None, packed: DataFrame | None, manifest: dict) -> None:
-    """A database folder: sets, and, where there is an index, its slots and bits by block; the manifest last."""
+    """A database folder: sets, and, where there is an index, its slots and words of bits by block; the manifest last."""
     spark = sets.sparkSession
     sets.write.mode("overwrite").parquet(f"{path}/sets")
     if matrix is not None and packed is not None:
         packed.write.mode("overwrite").parquet(f"{path}/slots")
-        matrix.repartition("block").write.mode("overwrite").partitionBy("block").parquet(f"{path}/bits")
+        matrix = bloom.dense_rows(matrix) if "slot" in matrix.columns else matrix
+        matrix.repartition("block", "word").sortWithinPartitions("word", "loc").write.mode("overwrite").partitionBy("block").parquet(f"{path}/bits")
     row = {f.name: manifest.get(f.name) for f in S.MANIFEST.fields} | {"version": S.DB_VERSION}
     spark.createDataFrame([tuple(row[f.name] for f in S.MANIFEST.fields)], S.MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
 
@@ -103,6 +105,25 @@ def read_database(spark: SparkSession, path: str) -> dict:
     return out
 
 
+def discover(spark: SparkSession, path: str) -> list[str]:
+    """The folder itself if it is a database, else the databases in it, by name; an error if there is none."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    here = lambda p: fs.exists(jvm.org.apache.hadoop.fs.Path(p, "manifest"))
+    if here(at):
+        return [path]
+    inside = sorted(s.getPath().toString() for s in (fs.listStatus(at) if fs.exists(at) else []) if s.isDirectory() and here(s.getPath()))
+    if not inside:
+        raise ValueError(f"no database in {path}")
+    return inside
+
+
+def read_list(spark: SparkSession, path: str) -> list[str]:
+    """The paths that a list file names, one a line, blank lines left out; a list of inputs is small."""
+    return [r.value.strip() for r in spark.read.text(path).collect() if r.value.strip()]
+
+
 def check_same_settings(databases: list[dict]) -> None:
     """Databases that are searched together must agree in what makes their k-mers."""
     keys = ("k", "canonical", "hashed", "scaled", "scale", "minimizer_w", "syncmer_s", "hash")
