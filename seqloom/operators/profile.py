@@ -1,13 +1,15 @@
 """From matches to a profile: existence tests, ambiguity correction, abundances by expectation-maximisation.
 
-Rows of a query are shuffled together once; every pass then works in that layout.
-Between passes what stays is settled in the shared checkpoint folder, as the loop
-of the last stage would otherwise repeat all before it.
+Rows of a query are shuffled together and written once (``keyed``); every stage works
+in that layout, and tables of targets, far fewer, are sent to it while their number is
+at most ``BROADCAST_TARGETS``. Between passes what stays is settled in the shared
+checkpoint folder, as the loop of the last stage would otherwise repeat all before it.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,27 +39,45 @@ class Params:
     max_iters: int = 10
     pct_threshold: float = 0.01
     ambiguity: bool = True
-    exact_order: bool = False  # ambiguity correction target by target instead of as sets
 
     def but(self, **changes) -> Params:
         return replace(self, **changes)
 
 
+#: Targets up to which a table of them is broadcast; beyond, rows are shuffled to it.
+BROADCAST_TARGETS = 500_000
+
+
+def to_all(t: DataFrame) -> DataFrame:
+    """A settled table of targets, broadcast if it is small enough."""
+    return F.broadcast(t) if t.limit(BROADCAST_TARGETS + 1).count() <= BROADCAST_TARGETS else t
+
+
+def keyed(found: DataFrame, species: DataFrame | None, p: Params) -> DataFrame:
+    """found with the species of each target (null: none), rows of a query together."""
+    if species is not None and p.level == "species":
+        rows = found.join(species.select("target", F.col("species").cast("long").alias("species")), "target", "left")
+    else:
+        rows = found.withColumn("species", F.lit(None).cast("long"))
+    return rows.repartition("query")
+
+
 def annotated(found: DataFrame, species: DataFrame | None, p: Params) -> DataFrame:
     """Rows that the prefix filters keep, with n_qt, n_targets, is_first and same (one species holds all targets).
 
     species: (target, species), null where there is none."""
-    rows = M.prefix(found, p.perfect, p.main_gap, p.top_n)
+    return marked(keyed(found, species, p), species is not None and p.level == "species", p)
+
+
+def marked(rows: DataFrame, by_species: bool, p: Params) -> DataFrame:
+    """annotated() of rows that are keyed() already; its windows need no further shuffle."""
+    rows = M.prefix(rows, p.perfect, p.main_gap, p.top_n)
     pair, q = Window.partitionBy("query", "target"), Window.partitionBy("query")
     order = [F.col("q_cov").desc(), *(F.col(c) for c in ("chunk_idx", "line") if c in rows.columns)]
-    if species is not None and p.level == "species":
-        rows = rows.join(species, "target", "left")
-    else:
-        rows = rows.withColumn("species", F.lit(None).cast("long"))
     rows = rows.withColumn("n_qt", F.count("*").over(pair)).withColumn("is_first", F.row_number().over(pair.orderBy(*order)) == 1)
-    rows = rows.withColumn("n_targets", F.sum(F.col("is_first").cast("int")).over(q))
     known = F.count("species").over(q) == F.count("*").over(q)
-    return rows.withColumn("same", known & (F.min("species").over(q) == F.max("species").over(q)) & F.lit(species is not None and p.level == "species"))
+    same = known & (F.min("species").over(q) == F.max("species").over(q)) & F.lit(by_species)
+    return rows.withColumns({"n_targets": F.sum(F.col("is_first").cast("int")).over(q), "same": same})
 
 
 def stage1_chunks(rows: DataFrame, p: Params) -> DataFrame:
@@ -79,10 +99,14 @@ def stage1(rows: DataFrame, p: Params) -> DataFrame:
 
 
 def cooccurrence(rows: DataFrame) -> DataFrame:
-    """(a, b, shared), a < b: queries that hold both targets."""
-    t = rows.filter("is_first").select("query", "target")
-    pairs = t.withColumnRenamed("target", "a").join(t.withColumnRenamed("target", "b"), "query").filter("a < b")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("shared"))
+    """(a, b, shared), a < b: queries that hold both targets.
+
+    Queries of the same targets are counted as one before pairs are made, so a group of
+    copies costs the pairs of one query."""
+    held = rows.filter("is_first and n_targets > 1").groupBy("query").agg(F.sort_array(F.collect_list("target")).alias("t"))
+    kinds = held.groupBy("t").agg(F.count("*").alias("n")).select("t", "n", F.posexplode("t").alias("i", "a"))
+    pairs = kinds.select("a", "n", F.explode(F.expr("slice(t, i + 2, size(t))")).alias("b"))
+    return pairs.groupBy("a", "b").agg(F.sum("n").alias("shared"))
 
 
 def dominated(totals: DataFrame, pairs: DataFrame, p: Params) -> DataFrame:
@@ -98,46 +122,36 @@ def dominated(totals: DataFrame, pairs: DataFrame, p: Params) -> DataFrame:
 
 
 def corrected(rows: DataFrame, lost: DataFrame) -> DataFrame:
-    """Rows without those whose target loses to another target of the same query."""
-    have = rows.select("query", "target").distinct()
-    gone = have.join(lost.withColumnRenamed("loser", "target"), "target").join(have.withColumnRenamed("target", "winner"), ["query", "winner"], "left_semi").select("query", "target").distinct()
-    return rows.join(gone, ["query", "target"], "left_anti")
-
-
-def corrected_in_order(rows: DataFrame, lost: DataFrame) -> DataFrame:
-    """As corrected(), by the sequential rule: a target that is gone already doesn't remove others.
-
-    A query's targets are visited by their best coverage; the fold runs over the query's own array."""
-    from pyspark.sql.types import StructType
-
-    best = rows.groupBy("query", "target").agg(F.max("q_cov").alias("c"))
-    pairs = best.select("query", "target", "c").join(lost.withColumnRenamed("loser", "target"), "target", "left").groupBy("query", "target", "c").agg(F.collect_set("winner").alias("beaten_by"))
-    lists = pairs.groupBy("query").agg(F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("c"), "target", "beaten_by"))).alias("t"))
-    schema = StructType([f for f in rows.schema.fields if f.name in ("query", "target")])
-
-    def fold(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            out = []
-            for query, targets in zip(pdf["query"], pdf["t"], strict=True):
-                names = [t["target"] for t in targets]
-                beaten = [set(t["beaten_by"]) for t in targets]
-                gone = [False] * len(names)
-                for i in range(len(names)):
-                    if gone[i]:
-                        continue
-                    for j in range(i + 1, len(names)):
-                        if gone[j]:
-                            continue
-                        if names[i] in beaten[j]:
-                            gone[j] = True
-                        elif names[j] in beaten[i]:
-                            gone[i] = True
-                out += [(query, n) for n, g in zip(names, gone, strict=True) if g]
-            yield pd.DataFrame(out, columns=["query", "target"])
-
-    return rows.join(lists.mapInPandas(fold, schema.simpleString()[7:-1].replace(":", " ")), ["query", "target"], "left_anti")
+    """Rows without those whose target loses to another of the same query.
+
+    A query's targets meet in the order of their best coverage: each in its turn, unless it
+    is gone by then, with all later ones that aren't. What a meeting removes is gone for all
+    that follow, so a target that is gone removes no other. Only targets that win or lose
+    anywhere take part; the meetings of a query are folded in order over its own array."""
+    sides = settle(lost.select(F.least("loser", "winner").alias("x"), F.greatest("loser", "winner").alias("y"), (F.col("winner") < F.col("loser")).alias("x_wins")).groupBy("x", "y").agg(F.max("x_wins").alias("x_wins"), F.min("x_wins").alias("x_only")))
+    concerned = sides.select(F.col("x").alias("target")).unionByName(sides.select(F.col("y").alias("target"))).distinct()
+    best = rows.join(to_all(settle(concerned)), "target", "left_semi").groupBy("query", "target").agg(F.max("q_cov").alias("c"))
+    line = best.groupBy("query").agg(F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("c"), "target"))).alias("t")).filter("size(t) > 1")
+    line = line.select("query", F.transform("t", lambda x: x["target"]).alias("t"))
+    # Meetings (i, j) of a place with a later one; queries with the same line have the same.
+    kinds = line.select("t").distinct()
+    meet = kinds.select("t", F.posexplode("t").alias("i", "a")).select("t", "i", "a", F.posexplode(F.expr("slice(t, i + 2, size(t))")).alias("k", "b"))
+    meet = meet.select("t", "i", (F.col("i") + F.col("k") + 1).alias("j"), "a", "b", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+    # Where both would win, the one whose turn it is does.
+    first_wins = F.when(F.col("a") == F.col("x"), F.col("x_wins")).otherwise(~F.col("x_only"))
+    met = meet.join(to_all(sides), ["x", "y"]).groupBy("t").agg(F.array_sort(F.collect_list(F.struct("i", "j", first_wins.alias("w")))).alias("m"))
+
+    def step(state: Column, m: Column) -> Column:
+        turn = m["i"] == state["i"]
+        out = F.when(turn, state["out"]).otherwise(F.array_contains(state["gone"], m["i"]))  # gone when its turn came
+        removed = F.when(m["w"], m["j"]).otherwise(m["i"])
+        gone = F.when(out | F.array_contains(state["gone"], m["j"]), state["gone"]).otherwise(F.array_union(state["gone"], F.array(removed)))
+        return F.struct(m["i"].alias("i"), out.alias("out"), gone.alias("gone"))
+
+    start = F.struct(F.lit(-1).alias("i"), F.lit(False).alias("out"), F.array().cast("array<int>").alias("gone"))
+    gone = met.select("t", F.transform(F.aggregate("m", start, step)["gone"], lambda g: F.col("t")[g]).alias("gone"))
+    per_query = line.join(gone, "t").select("query", "gone")
+    return rows.join(per_query, "query", "left").filter("gone is null or not array_contains(gone, target)").drop("gone")
 
 
 def weighed_chunks(rows: DataFrame, p: Params, shares: Column | None) -> DataFrame:
@@ -190,18 +204,21 @@ def failures(t: DataFrame, p: Params, stage: str) -> DataFrame:
     return t.select("target", F.lit(stage).alias("stage"), F.explode(each).alias("_f")).filter("_f.bad").select("target", "stage", "_f.reason", "_f.value")
 
 
-def em_step(rows: DataFrame, coverage: DataFrame, sizes: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
-    """One pass: (targets with new coverage, the rows with each target's share of its query)."""
-    r = rows.join(coverage.select("target", F.col("coverage").alias("_cov")), "target")
+def em_step(rows: DataFrame, coverage: DataFrame, sizes: DataFrame, p: Params) -> DataFrame:
+    """One pass: targets with new coverage, each query divided by the coverage of its targets."""
+    r = rows.join(to_all(coverage.select("target", F.col("coverage").alias("_cov"))), "target")
     total = F.sum(F.when(F.col("is_first"), F.col("_cov")).otherwise(0.0)).over(Window.partitionBy("query"))
-    r = r.withColumn("_share", F.col("_cov") / total)
-    t = targets_of(weighed_chunks(r, p, F.col("_share")), sizes, p)
-    score = r.filter(F.col("is_first") & ((F.col("n_targets") == 1) | F.col("same"))).groupBy("target").agg((F.expr("percentile(q_cov, 0.9D)") * 100).alias("score"))
-    return t.join(score, "target", "left").withColumn("score", F.coalesce("score", F.lit(0.0))), r
+    return targets_of(weighed_chunks(r.withColumn("_share", F.col("_cov") / total), p, F.col("_share")), sizes, p)
+
+
+def scores(rows: DataFrame) -> DataFrame:
+    """(target, score): the 90th percentile of the coverage of queries that are the target's alone."""
+    own = rows.filter(F.col("is_first") & ((F.col("n_targets") == 1) | F.col("same")))
+    return own.groupBy("target").agg((F.expr("percentile(q_cov, 0.9D)") * 100).alias("score"))
 
 
 def restricted(found: DataFrame, targets: DataFrame) -> DataFrame:
-    return found.join(targets.select("target"), "target", "left_semi")
+    return found.join(to_all(targets.select("target")), "target", "left_semi")
 
 
 def with_percentage(t: DataFrame) -> DataFrame:
@@ -212,38 +229,71 @@ def with_percentage(t: DataFrame) -> DataFrame:
 
 def before_em(found: DataFrame, species: DataFrame | None, sizes: DataFrame, p: Params) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Stages 1 to 3: (rows after correction, targets of stage 3 untested, those that exist)."""
-    first = settle(stage1(annotated(found, species, p), p))
-    rows = annotated(restricted(found, first), species, p)
+    return _before_em(settle(keyed(found, species, p)), species is not None and p.level == "species", sizes, p)
+
+
+def _before_em(base: DataFrame, by_species: bool, sizes: DataFrame, p: Params) -> tuple[DataFrame, DataFrame, DataFrame]:
+    first = settle(stage1(marked(base, by_species, p), p))
+    rows = marked(restricted(base, first), by_species, p)
     if p.ambiguity:
-        lost = dominated(first, cooccurrence(rows), p)
-        rows = (corrected_in_order if p.exact_order else corrected)(rows.drop("n_qt", "is_first", "n_targets", "same", "species"), settle(lost))
-        rows = annotated(rows, species, p.but(perfect=False, main_gap=None, top_n=0))
+        lost = settle(dominated(first, cooccurrence(rows), p))
+        rows = marked(corrected(rows.drop("n_qt", "is_first", "n_targets", "same"), lost), by_species, p.but(perfect=False, main_gap=None, top_n=0))
     t = targets_of(weighed_chunks(rows, p, None), sizes, p)
     return rows, t, existing(t, p)
 
 
-def profile(found: DataFrame, species: DataFrame | None, sizes: DataFrame, p: Params, iters: int | None = None) -> DataFrame:
-    """(target, reads, uniq, hic, bases, chunks_frac, depth_sd, coverage, score, percentage) of the targets that exist.
+class Profiled(NamedTuple):
+    """The profile, what each target that didn't exist failed, and one row of statistics."""
+
+    profile: DataFrame
+    failures: DataFrame
+    stats: DataFrame
+
+
+def profiled(found: DataFrame, species: DataFrame | None, sizes: DataFrame, p: Params, iters: int | None = None) -> Profiled:
+    """profile (target, reads, uniq, hic, bases, chunks_frac, depth_sd, coverage, score, percentage) of the targets that exist.
 
     Passes repeat until the percentage of the most covered target moves less than
     the threshold, or max_iters times (exactly ``iters`` times if given)."""
-    _, _, t = before_em(found, species, sizes, p)
-    coverage = settle(t.select("target", "coverage"))
-    rows = settle(annotated(restricted(found, coverage), species, p))
-    last, result = None, None
+    by_species = species is not None and p.level == "species"
+    base = settle(keyed(found, species, p))
+    _, untested, _ = _before_em(base, by_species, sizes, p)
+    untested = settle(untested)
+    bad = failures(untested, p, "stage 3")
+    coverage = existing(untested, p).select("target", "coverage")
+    rows = settle(marked(restricted(base, coverage), by_species, p))
+    last, result, used = None, None, rows
     for i in range((iters if iters is not None else p.max_iters) + 1):
-        step, _ = em_step(rows, coverage, sizes, p)
+        step = em_step(rows, coverage, sizes, p)
+        used = rows
         if i == 0:
+            step = settle(step)
+            bad = bad.unionByName(failures(step, p, "abundance"))
             step = existing(step, p)
         result = settle(with_percentage(step))
-        if i == 0:
-            rows = settle(annotated(restricted(found, result), species, p))
         coverage = result.select("target", "coverage")
         top = result.orderBy(F.col("coverage").desc(), "target").select("percentage").first()
         if top is None or (iters is None and last is not None and abs(top[0] - last) < p.pct_threshold):
             break
         last = top[0]
-    return result
+        if i == 0:
+            rows = settle(marked(restricted(base, result), by_species, p))
+    out = result.join(scores(used), "target", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    out = out.select(*[c for c in out.columns if c not in ("score", "percentage")], "score", "percentage")
+    return Profiled(out, bad, statistics(base, result))
+
+
+def profile(found: DataFrame, species: DataFrame | None, sizes: DataFrame, p: Params, iters: int | None = None) -> DataFrame:
+    """The profile alone of profiled()."""
+    return profiled(found, species, sizes, p, iters).profile
+
+
+def statistics(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """One row: queries with matches, queries with a match in one of the targets, their share in percent."""
+    assigned = restricted(rows, targets).select("query").distinct().agg(F.count("*").alias("assigned_reads")).withColumn("_j", F.lit(1))
+    matched = rows.select("query").distinct().agg(F.count("*").alias("matched_reads")).withColumn("_j", F.lit(1))
+    out = matched.join(F.broadcast(assigned), "_j").drop("_j")
+    return out.withColumn("assigned_pct", F.when(F.col("matched_reads") > 0, F.col("assigned_reads") / F.col("matched_reads") * 100).otherwise(0.0))
 
 
 def tail_cut(t: DataFrame, pct: float, order: list[Column] | None = None) -> DataFrame:

@@ -18,22 +18,26 @@ def current(ids: DataFrame, merged: DataFrame | None = None, deleted: DataFrame
     return ids.join(deleted.select(F.col("taxid").alias(col)), col, "left_anti") if deleted is not None else ids
 
 
-def closure(nodes: DataFrame, max_height: int = 128) -> DataFrame:
+def closure(nodes: DataFrame) -> DataFrame:
     """(taxid, ancestor, rank, depth) of nodes (taxid, parent, rank): every node with itself and all above.
 
     depth is the ancestor's distance from the root (a node that is its own parent).
-    Paths double in length each round, so the rounds are the logarithm of the height."""
+    Paths double in length each round until none grows, so the rounds are the logarithm of
+    the height; a path as long as there are nodes is a cycle, and an error."""
     up = nodes.filter("taxid <> parent").select("taxid", F.col("parent").alias("ancestor"), F.lit(1).alias("steps"))
     paths = settle(nodes.select("taxid", F.col("taxid").alias("ancestor"), F.lit(0).alias("steps")).unionByName(up))
+    n = paths.filter("steps = 0").count()
     reach = 1
-    while reach < max_height:
+    while True:
         far = paths.filter(F.col("steps") == reach).select("taxid", F.col("ancestor").alias("_via"))
         more = far.join(paths.filter("steps > 0").select(F.col("taxid").alias("_via"), "ancestor", F.col("steps").alias("_s")), "_via").select("taxid", "ancestor", (F.col("_s") + reach).alias("steps"))
         more = settle(more)
         if more.isEmpty():
             break
-        paths = paths.unionByName(more)
         reach *= 2
+        if reach > 2 * n:
+            raise ValueError("the taxonomy has a cycle")
+        paths = paths.unionByName(more)
     height = paths.groupBy("taxid").agg(F.max("steps").alias("_h"))
     ranks = nodes.select(F.col("taxid").alias("ancestor"), "rank")
     return paths.join(height, "taxid").join(ranks, "ancestor").select("taxid", "ancestor", "rank", (F.col("_h") - F.col("steps")).cast("int").alias("depth"))

@@ -12,6 +12,7 @@ from seqloom.operators import taxonomy as T
 from seqloom.plans import inputs as I
 from seqloom.plans.modes import mode
 from seqloom.plans.search_queries import rounded
+from seqloom.session import settle
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -78,15 +79,14 @@ def keep_top_n(spark, d):
 
 @query(
     "name_map_latest",
-    f"WITH {I.MATCHES_SQL}, maps AS (SELECT s_suppkey AS key, s_name AS value, 0 AS file FROM supplier UNION ALL SELECT s_suppkey, n_name, 1 FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey % 3 = 0), m AS (SELECT key, arg_max(value, file) AS value FROM maps WHERE key % 7 <> 0 GROUP BY key) "
+    f"WITH {I.MATCHES_SQL}, maps AS (SELECT s_suppkey AS key, s_name AS value, 0 AS file FROM supplier UNION ALL SELECT n_nationkey, n_name, 1 FROM nation), m AS (SELECT key, arg_max(value, file) AS value FROM maps GROUP BY key) "
     "SELECT query, line, target, coalesce(value, CAST(target AS VARCHAR)) AS name FROM matches LEFT JOIN m ON key = target",
 )
 def name_map_latest(spark, d):
-    s, n = I.table(spark, d, "supplier"), I.table(spark, d, "nation")
-    a = s.select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("value"), F.lit(0).alias("file"), F.lit(0).alias("line"))
-    b = s.filter("s_suppkey % 3 = 0").join(n, F.col("n_nationkey") == F.col("s_nationkey")).select(F.col("s_suppkey").alias("key"), F.col("n_name").alias("value"), F.lit(1).alias("file"), F.lit(0).alias("line"))
-    m = M.latest(a.unionByName(b).filter("key % 7 <> 0"))
-    return M.named(I.matches(spark, d), m).select("query", "line", "target", "name")
+    """Two map files, suppliers and nations; where both have a key the second counts."""
+    a = I.table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("key"), F.col("s_name").alias("value"), F.lit(0).alias("file"), F.lit(0).alias("line"))
+    b = I.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("key"), F.col("n_name").alias("value"), F.lit(1).alias("file"), F.lit(0).alias("line"))
+    return M.named(I.matches(spark, d), M.latest(a.unionByName(b))).select("query", "line", "target", "name")
 
 
 TAX = f"{I.MATCHES_SQL}, {I.TAXONOMY_SQL}, {I.TAXIDS_SQL}"
@@ -128,13 +128,13 @@ def filter_specific_species(spark, d):
 PARAMS = mode(0, main_gap=None, min_reads=1, min_chunks_frac=0.2, min_uniq=1, min_hic=1, hic_cov=0.7, min_hic_prop=0.01, max_depth_sd=10, dominance=0.05, mismatch=0.9)
 
 
-def _species(spark, d):
-    at = T.at_or_below(T.closure(I.taxonomy(spark, d)))
+def _species(spark, d, closed=None):
+    at = T.at_or_below(closed if closed is not None else T.closure(I.taxonomy(spark, d)))
     return I.taxid_map(spark, d).join(at, "taxid", "left").select("target", F.col("at").alias("species"))
 
 
-def _inputs(spark, d):
-    return I.matches(spark, d), _species(spark, d), I.ref_sizes(spark, d)
+def _inputs(spark, d, closed=None):
+    return I.matches(spark, d), settle(_species(spark, d, closed)), I.ref_sizes(spark, d)
 
 
 SPECIES_SQL = "species AS (SELECT s_suppkey AS target, CAST(1000 + s_nationkey AS BIGINT) AS species FROM supplier)"
@@ -172,14 +172,22 @@ def profile_cooccurrence(spark, d):
     return P.cooccurrence(P.annotated(P.restricted(m, P.stage1(P.annotated(m, s, PARAMS), PARAMS)), s, PARAMS))
 
 
+#: Targets of a query in the order of coverage; each in its turn meets the later ones, and what is gone meets no more.
 DOM_SQL = (
     f"{CO_SQL}, pr AS (SELECT a, b, shared, x.sum_match AS ma, x.uniq AS ua, y.sum_match AS mb, y.uniq AS ub FROM co JOIN s1 x ON x.target = a JOIN s1 y ON y.target = b), "
     "dom AS (SELECT b AS loser, a AS winner FROM pr WHERE ma * 0.95::DOUBLE >= shared AND ub < ua * 0.9::DOUBLE UNION ALL SELECT a, b FROM pr WHERE mb * 0.95::DOUBLE >= shared AND ua < ub * 0.9::DOUBLE), "
-    "gone AS (SELECT DISTINCT t.query, t.target FROM t2 t JOIN dom ON loser = t.target JOIN t2 o ON o.query = t.query AND o.target = winner), r3 AS (SELECT * FROM r2 ANTI JOIN gone USING (query, target))"
+    "ord AS (SELECT query, target, row_number() OVER (PARTITION BY query ORDER BY max(q_cov) DESC, target) AS i FROM r2 GROUP BY query, target), "
+    "ed AS (SELECT query, i, j, bool_or(w) AS w FROM (SELECT x.query, x.i, y.i AS j, true AS w FROM ord x JOIN ord y ON x.query = y.query AND x.i < y.i JOIN dom ON winner = x.target AND loser = y.target "
+    "UNION ALL SELECT x.query, x.i, y.i, false FROM ord x JOIN ord y ON x.query = y.query AND x.i < y.i JOIN dom ON winner = y.target AND loser = x.target) GROUP BY ALL), "
+    "el AS (SELECT query, i, list(struct_pack(j := j, w := w)) AS es FROM ed GROUP BY query, i), last AS (SELECT coalesce(max(j), 0) AS n FROM ed), "
+    "st(query, i, gone) AS (SELECT DISTINCT query, 1::BIGINT, []::BIGINT[] FROM el UNION ALL "
+    "SELECT s.query, s.i + 1, CASE WHEN es IS NULL OR list_contains(gone, s.i) THEN gone ELSE list_concat(gone, list_transform(list_filter(es, lambda e: NOT list_contains(gone, e.j)), lambda e: CASE WHEN e.w THEN e.j ELSE s.i END)) END "
+    "FROM st s LEFT JOIN el ON el.query = s.query AND el.i = s.i WHERE s.i < (SELECT n FROM last)), "
+    "gone AS (SELECT o.query, o.target FROM ord o JOIN (SELECT query, arg_max(gone, i) AS g FROM st GROUP BY query) f ON f.query = o.query WHERE list_contains(g, o.i)), r3 AS (SELECT * FROM r2 ANTI JOIN gone USING (query, target))"
 )
 
 
-@query("profile_ambiguity_correction", f"WITH {DOM_SQL} SELECT {ROW_SQL} FROM r3")
+@query("profile_ambiguity_correction", f"WITH RECURSIVE {DOM_SQL} SELECT {ROW_SQL} FROM r3")
 def profile_ambiguity_correction(spark, d):
     m, s, z = _inputs(spark, d)
     return P.before_em(m, s, z, PARAMS)[0].select(*ROW)
@@ -216,7 +224,7 @@ def _stage3(norm):
 
 
 for _name, _norm in (("profile_stage3", "mean"), ("profile_norm_min", "min"), ("profile_norm_max", "max")):
-    QUERIES[_name], ORACLE_SQL[_name] = _stage3(_norm), f"WITH {s3_sql(_norm)} SELECT {TARGET_SQL} FROM s3"
+    QUERIES[_name], ORACLE_SQL[_name] = _stage3(_norm), f"WITH RECURSIVE {s3_sql(_norm)} SELECT {TARGET_SQL} FROM s3"
 
 
 def em_sql(iters: int) -> str:
@@ -236,8 +244,8 @@ def em_sql(iters: int) -> str:
 EM_SQL = f"{TARGET_SQL}, round(score, 6) AS score, round(percentage, 6) AS percentage"
 
 
-def _em(spark, d, iters):
-    m, s, z = _inputs(spark, d)
+def _em(spark, d, iters, closed=None):
+    m, s, z = _inputs(spark, d, closed)
     return P.profile(m, s, z, PARAMS, iters)
 
 
@@ -246,7 +254,28 @@ def _em_query(iters):
 
 
 for _name, _n in (("profile_em_step1", 0), ("profile_em_step3", 2)):
-    QUERIES[_name], ORACLE_SQL[_name] = _em_query(_n), f"WITH {em_sql(_n)} SELECT {EM_SQL} FROM em{_n}"
+    QUERIES[_name], ORACLE_SQL[_name] = _em_query(_n), f"WITH RECURSIVE {em_sql(_n)} SELECT {EM_SQL} FROM em{_n}"
+
+
+#: Thresholds that fail some of the targets of stage 3.
+STRICT = mode(3)
+TESTS = {"uniq": ("uniq < 20", "uniq"), "hic": ("hic < 5", "hic"), "hic_prop": ("hic < 0.1::DOUBLE * uniq", "hic"), "chunks_frac": ("chunks_frac < 0.8::DOUBLE", "chunks_frac"), "depth_sd": ("depth_sd > 2", "depth_sd")}
+
+
+@query("profile_failures", f"WITH RECURSIVE {s3_sql()} " + " UNION ALL ".join(f"SELECT target, 'stage 3' AS stage, '{r}' AS reason, round(CAST({v} AS DOUBLE), 6) AS value FROM t3 WHERE {c}" for r, (c, v) in TESTS.items()))
+def profile_failures(spark, d):
+    """What each target of stage 3 would fail in mode 3."""
+    m, s, z = _inputs(spark, d)
+    return rounded(P.failures(P.before_em(m, s, z, PARAMS)[1], STRICT, "stage 3"), "value")
+
+
+@query(
+    "profile_stats",
+    f"WITH RECURSIVE {em_sql(0)}, n AS (SELECT count(DISTINCT query) AS matched_reads, (SELECT count(DISTINCT query) FROM matches SEMI JOIN em0 USING (target)) AS assigned_reads FROM matches) SELECT *, round(assigned_reads / matched_reads * 100, 6) AS assigned_pct FROM n",
+)
+def profile_stats(spark, d):
+    m, s, z = _inputs(spark, d)
+    return rounded(P.profiled(m, s, z, PARAMS, 0).stats, "assigned_pct")
 
 
 @query("profile_converged", None)
@@ -257,7 +286,7 @@ def profile_converged(spark, d):
 
 @query(
     "profile_low_abundance_cut",
-    f"WITH {em_sql(0)}, tail AS (SELECT target, coverage, sum(percentage) OVER (ORDER BY coverage, chunks_frac, target DESC ROWS UNBOUNDED PRECEDING) AS t FROM em0) SELECT target, round(coverage / sum(coverage) OVER () * 100, 6) AS percentage FROM tail WHERE t > 10",
+    f"WITH RECURSIVE {em_sql(0)}, tail AS (SELECT target, coverage, sum(percentage) OVER (ORDER BY coverage, chunks_frac, target DESC ROWS UNBOUNDED PRECEDING) AS t FROM em0) SELECT target, round(coverage / sum(coverage) OVER () * 100, 6) AS percentage FROM tail WHERE t > 10",
 )
 def profile_low_abundance_cut(spark, d):
     return rounded(P.tail_cut(_em(spark, d, 0), 10).select("target", "percentage"), "percentage")
@@ -265,7 +294,7 @@ def profile_low_abundance_cut(spark, d):
 
 @query(
     "profile_mode0_order",
-    f"WITH {em_sql(0)} SELECT target, CAST(row_number() OVER (ORDER BY round(score * chunks_frac, 6) DESC, round(score, 6) DESC, chunks_frac DESC, round(reads, 6) DESC, target) AS INTEGER) AS place FROM em0",
+    f"WITH RECURSIVE {em_sql(0)} SELECT target, CAST(row_number() OVER (ORDER BY round(score * chunks_frac, 6) DESC, round(score, 6) DESC, chunks_frac DESC, round(reads, 6) DESC, target) AS INTEGER) AS place FROM em0",
 )
 def profile_mode0_order(spark, d):
     from pyspark.sql import Window
@@ -282,13 +311,13 @@ PATH_SQL = "path AS (SELECT taxid, string_agg({0}, '|' ORDER BY depth) AS p, str
 
 @query(
     "taxon_rollup_cami",
-    f"WITH {ROLL_SQL}, {PATH_SQL.format('CAST(id AS VARCHAR)', 'name')} SELECT taxid, rank, p AS taxpath, n AS taxpathsn, round(percentage, 6) AS percentage FROM roll JOIN path USING (taxid) WHERE rank IN ('phylum', 'species', 'strain')",
+    f"WITH RECURSIVE {ROLL_SQL}, {PATH_SQL.format('CAST(id AS VARCHAR)', 'name')} SELECT taxid, rank, p AS taxpath, n AS taxpathsn, round(percentage, 6) AS percentage FROM roll JOIN path USING (taxid) WHERE rank IN ('phylum', 'species', 'strain')",
 )
 def taxon_rollup_cami(spark, d):
     from seqloom.sources import reports
 
-    closed = T.closure(I.taxonomy(spark, d))
-    amounts = _em(spark, d, 0).join(I.taxid_map(spark, d), "target").select("taxid", "percentage")
+    closed = settle(T.closure(I.taxonomy(spark, d)))
+    amounts = _em(spark, d, 0, closed).join(I.taxid_map(spark, d), "target").select("taxid", "percentage")
     return rounded(reports.cami(amounts, closed, I.taxonomy(spark, d)).select("taxid", "rank", "taxpath", "taxpathsn", "percentage"), "percentage")
 
 
@@ -297,13 +326,13 @@ PREFIX_SQL = "CASE rank WHEN 'phylum' THEN 'p__' WHEN 'species' THEN 's__' ELSE
 
 @query(
     "taxon_rollup_metaphlan",
-    f"WITH {ROLL_SQL}, {PATH_SQL.format('CAST(id AS VARCHAR)', PREFIX_SQL)} SELECT n AS clade_name, p AS ncbi_tax_id, round(percentage, 6) AS relative_abundance, '' AS additional_species FROM roll JOIN path USING (taxid) WHERE rank IN ('phylum', 'species', 'strain')",
+    f"WITH RECURSIVE {ROLL_SQL}, {PATH_SQL.format('CAST(id AS VARCHAR)', PREFIX_SQL)} SELECT n AS clade_name, p AS ncbi_tax_id, round(percentage, 6) AS relative_abundance, '' AS additional_species FROM roll JOIN path USING (taxid) WHERE rank IN ('phylum', 'species', 'strain')",
 )
 def taxon_rollup_metaphlan(spark, d):
     from seqloom.sources import reports
 
-    closed = T.closure(I.taxonomy(spark, d))
-    amounts = _em(spark, d, 0).join(I.taxid_map(spark, d), "target").select("taxid", "percentage")
+    closed = settle(T.closure(I.taxonomy(spark, d)))
+    amounts = _em(spark, d, 0, closed).join(I.taxid_map(spark, d), "target").select("taxid", "percentage")
     return rounded(reports.metaphlan(amounts, closed, I.taxonomy(spark, d)).select("clade_name", "ncbi_tax_id", "relative_abundance", "additional_species"), "relative_abundance")
 
 

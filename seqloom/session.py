@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -33,9 +35,24 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
-def settle(df):
-    """Computes df once into the folder of spark.checkpoint.dir (a folder of our own where that is unset) and cuts its lineage there."""
-    sc = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; only where that is unset and all runs in one process (tests) one of our own."""
+    sc = spark.sparkContext
+    place = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not place and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    place = place or tempfile.mkdtemp(prefix="checkpoints-")
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        sc.setCheckpointDir(place)
+    return place
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """The path of a new folder there, for tables that are written and read again."""
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def settle(df):
+    """Computes df once into the folder of spark.checkpoint.dir and cuts its lineage there."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
