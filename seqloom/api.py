@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.functions.rates import byte_size
-from seqloom.operators import bloom, dna, regions, sketch, split, taxonomy
+from seqloom.operators import bloom, regions, sketch, split, taxonomy
 from seqloom.operators import matches as M
 from seqloom.operators import profile as P
 from seqloom.operators import search as S
 from seqloom.plans.modes import mode as preset
+from seqloom.session import settle
 from seqloom.sources import fastx, reports, tables
 
+#: Fixed value: the default pattern of reference names.
 REF_NAME = r"(?i)([^/]+)\.(f[aq](st[aq])?|fna)(.gz)?$"
 
 
@@ -36,39 +38,40 @@ def compute(
     ref_name_regexp: str = REF_NAME,
     seq_name_filter: tuple[str, ...] = (),
     kind: str = "md5",
+    canonical: bool = True,
 ) -> DataFrame:
     """(target, chunk_idx, chunks, genome_size, n_kmers, kmers): k-mer sets of files or of records (file, pos, seq_id, name, seq).
 
-    kind "nt" is the fast path for DNA; the others take any letters."""
-    ks = (k,) if isinstance(k, int) else tuple(k)
-    if minimizer_w and syncmer_s:
-        raise ValueError("minimizers or syncmers, not both")
-    if (minimizer_w or syncmer_s) and len(ks) > 1:
-        raise ValueError("one k only for minimizers and syncmers")
+    Sequences are DNA: of a k-mer and its reverse complement the lesser counts, windows with
+    other letters are skipped. With canonical=False they are texts of any letters. Circular
+    sequences have k-mers across their ends if they stay whole; chunks are linear, and
+    go round the end in genomes of one contig. settings_of() gives what index() is to know."""
+    made = settings_of(k, scale, minimizer_w, syncmer_s, kind, canonical)
+    ks = made.ks
     if isinstance(inputs, list) and len(set(inputs)) < len(inputs):
         raise ValueError("an input is given twice")
     records = inputs if isinstance(inputs, DataFrame) else fastx.read_fastx(spark, inputs, file_regexp)
     records = split.blacklist(records, "name", list(seq_name_filter))
     if by_seq:
-        refs = records.select(F.col("seq_id").alias("target"), "seq", F.lit(1).alias("contigs"), F.length("seq").cast("long").alias("genome_size"))
+        refs = records.select(F.col("seq_id").alias("target"), "seq", F.lit(1).cast("long").alias("contigs"), F.length("seq").cast("long").alias("genome_size"))
     else:
         named = records.withColumn("target", split.reference_name(F.col("file"), ref_name_regexp))
         whole = sketch.concatenated(named, "target", "pos", max(ks))
         refs = whole.withColumn("genome_size", (F.length("seq") - (F.col("contigs") - 1) * (max(ks) - 1)).cast("long"))
-    chunked = sketch.chunks(refs, max(ks), split_number, split_size, split_overlap, split_min_ref, circular and split_number > 1, id_col="target")
-    sizes = refs.select("target", "genome_size")
-    keys = ("target", "chunk_idx", "chunks")
-    if kind == "nt":
-        sets = dna.nucleotide_sets(chunked, ks[0], scale, keep=keys)
-    elif minimizer_w or syncmer_s:
-        rows = chunked.select(F.struct(*keys).alias("ref"), "seq")
-        found = sketch.minimizers(rows, ks[0], minimizer_w, kind, "ref") if minimizer_w else sketch.syncmers(rows, ks[0], syncmer_s, kind, "ref")
-        if scale > 1:
-            found = found.filter(F.col("kmer") <= sketch.max_hash(scale, kind))
-        sets = found.groupBy("ref").agg(F.collect_set("kmer").alias("kmers")).select("ref.*", F.size("kmers").cast("long").alias("n_kmers"), "kmers")
+    parts = split_number > 1 or split_size > 0
+    cut = lambda rows, round_: sketch.chunks(rows, max(ks), split_number, split_size, split_overlap, split_min_ref, round_, id_col="target")
+    if circular and split_number > 1:
+        chunked = cut(refs.filter("contigs = 1"), True).unionByName(cut(refs.filter("contigs > 1"), False))
     else:
-        sets = sketch.kmer_sets(chunked, list(ks), kind, scale, keys)
-    return sets.join(sizes, "target").select(*keys, "genome_size", "n_kmers", "kmers")
+        chunked = cut(refs, False)
+    keys = ("target", "chunk_idx", "chunks")
+    sets = sketch.sets_of(chunked, made, keys, circular=circular and not parts)
+    return sets.join(refs.select("target", "genome_size"), "target").select(*keys, "genome_size", "n_kmers", "kmers")
+
+
+def settings_of(k: int | tuple[int, ...] = 21, scale: int = 1, minimizer_w: int = 0, syncmer_s: int = 0, kind: str = "md5", canonical: bool = True) -> sketch.Settings:
+    """What compute() makes sets with; its manifest() goes to index()."""
+    return sketch.Settings((k,) if isinstance(k, int) else tuple(k), kind, canonical, scale, minimizer_w, syncmer_s)
 
 
 def index(
@@ -87,16 +90,16 @@ def index(
 ) -> DataFrame:
     """Writes a database folder and returns what index_info says of it; dry_run only estimates.
 
-    settings: what the sets were made with (k, scale, …), kept in the manifest."""
+    settings: what the sets were made with (settings_of(...).manifest(), and others), kept in the manifest."""
     names = sets.count()
     size = block_size or bloom.base_block_size(names, threads)
     regimes = ((byte_size(block_size_x_kmers_t), block_size_x), (byte_size(block_size_8_kmers_t), 8), (byte_size(block_size_1_kmers_t), 1))
     packed = bloom.pack(sets, size, regimes, fpr, num_hash)
     if dry_run:
         return bloom.index_info(packed, num_hash)
-    matrix = bloom.bit_matrix(sets, packed, num_hash)
+    matrix = bloom.dense_rows(bloom.bit_matrix(sets, packed, num_hash))
     total = sets.agg(F.sum("n_kmers")).first()[0] or 0
-    manifest = {"canonical": False, "hashed": True, "num_hash": num_hash, "fpr": fpr, "block_size": size, "kmers": total, "names": names} | settings
+    manifest = settings_of().manifest() | {"num_hash": num_hash, "fpr": fpr, "block_size": size, "kmers": total, "names": names} | settings
     tables.write_database(out_dir, sets, matrix, packed, manifest)
     return bloom.index_info(sets.sparkSession.read.parquet(f"{out_dir}/slots"), num_hash)
 
@@ -118,38 +121,69 @@ def search(
     name_map: DataFrame | None = None,
     try_se: bool = False,
     exact: bool = False,
+    whole_file: bool = False,
+    query_id: str | None = None,
+    use_filename: bool = False,
 ) -> DataFrame:
-    """Matches of queries (query, seq[, seq2]) in one database, or in all of several; exact counts k-mers without the index."""
-    dirs = [db_dirs] if isinstance(db_dirs, str) else db_dirs
+    """Matches of queries (query, seq[, seq2]) in one database, or in all of several; exact counts k-mers without the index.
+
+    A folder may be a database or hold databases. Queries are numbered by their column
+    query_idx, else by file and pos, else by query; equal names stay apart. Their k-mers are
+    made as the database's manifest says. whole_file: records (file, pos, seq_id, seq) are
+    one query a file, named after its first record, query_id or the file."""
+    dirs = [d for given in ([db_dirs] if isinstance(db_dirs, str) else db_dirs) for d in tables.discover(spark, given)]
     dbs = [tables.read_database(spark, d) for d in dirs]
     tables.check_same_settings(dbs)
+    made = sketch.Settings.of(dbs[0]["manifest"])
+    if whole_file:
+        queries = whole_files(queries, max(made.ks), query_id, use_filename)
+    elif "query" not in queries.columns:
+        queries = queries.withColumn("query", F.col("seq_id"))
+    if "query_idx" not in queries.columns:
+        queries = sketch.numbered(queries, [c for c in ("file", "pos") if c in queries.columns] or ["query"])
+    columns = [("seq", "seq2"), ("seq", None), ("seq2", None)] if "seq2" in queries.columns else [("seq", None)]
+    queries = settle(queries.select("query_idx", "query", *[c for c in ("seq", "seq2") if c in queries.columns]))
+    names = queries.select("query_idx", F.col("query").alias("_name"))
+    numbers = queries.withColumn("query", F.col("query_idx"))
+    made_of = lambda k, seq, seq2: sketch.query_sets(numbers, made, k, kmer_dedup_threshold, seq_col=seq, seq2_col=seq2, min_len=min_query_len)
     found = []
     for db in dbs:
         m = db["manifest"]
-        kind, ks = m["hash"] or "md5", sorted(m["k"] or [21], reverse=True)
         # An index knows false hits at its nominal rate; exact counts have none.
         rate = None if exact else m["fpr"]
+        info = db["sets"].select("target", "chunk_idx", "chunks", F.col("genome_size").alias("t_len"))
         tries = []
-        columns = [("seq", "seq2"), ("seq", None), ("seq2", None)] if "seq2" in queries.columns else [("seq", None)]
-        for k in ks:
+        for k in sorted(made.ks, reverse=True):
             for seq, seq2 in columns[: None if try_se else 1]:
-                q = sketch.query_kmers(queries, k, kind, kmer_dedup_threshold, seq_col=seq, seq2_col=seq2, scale=m["scale"] or 1, min_len=min_query_len)
-                hit = S.matches(q, db["sets"]) if exact else bloom.search(q, db["bits"], db["slots"], m["num_hash"] or 1)
+                q = made_of(k, seq, seq2)
+                hit = S.matches(q, db["sets"]) if exact else bloom.search(q, db["bits"], db["slots"], m["num_hash"] or 1, min_kmers=min_kmers, min_q_cov=min_query_cov)
                 tries.append(S.filtered(hit, min_kmers, min_query_cov, min_target_cov, rate, max_fpr).withColumn("k_size", F.lit(k)))
-        found.append(S.fall_back(tries).drop("attempt") if len(tries) > 1 else tries[0])
+        one = S.fall_back(tries).drop("attempt") if len(tries) > 1 else tries[0]
+        found.append(one.join(info, ["target", "chunk_idx"]))
     out = S.intersect_databases(found) if len(found) > 1 else found[0]
-    out = S.with_hits(S.top_scores(out, keep_top_scores, sort_by))
+    out = S.with_hits(out)
     if not do_not_sort:
-        out = S.ranked(out, sort_by)
+        out = S.ranked(S.top_scores(out, keep_top_scores, sort_by), sort_by)
     if name_map is not None:
         out = M.named(out, name_map).withColumn("target", F.col("name")).drop("name")
     if keep_unmatched:
-        out = S.keep_unmatched(sketch.query_kmers(queries, max(dbs[0]["manifest"]["k"] or [21]), min_len=min_query_len, dedup_above=kmer_dedup_threshold), out)
-    return out
+        seq, seq2 = columns[0]
+        out = S.keep_unmatched(made_of(max(made.ks), seq, seq2), out)
+    return out.withColumnRenamed("query", "query_idx").join(names, "query_idx").withColumnRenamed("_name", "query").select("query", *[c for c in out.columns if c != "query"], "query_idx")
+
+
+def whole_files(records: DataFrame, k: int, query_id: str | None = None, use_filename: bool = False) -> DataFrame:
+    """(file, query, seq): the records of each file as one query, with gaps of k - 1 letters N."""
+    first = records.groupBy("file").agg(F.min(F.struct("pos", "seq_id")).alias("_f"))
+    base = F.regexp_replace(F.regexp_extract("file", r"([^/]+)$", 1), r"(?i)(\.(f[aq](st[aq])?|fna))?(\.gz)?$", "")
+    name = base if use_filename else F.lit(query_id) if query_id is not None else F.col("_f.seq_id")
+    return sketch.concatenated(records, "file", "pos", k).join(first, "file").select("file", name.alias("query"), "seq")
 
 
 def merge(results: list[DataFrame], sort_by: str = "qcov") -> DataFrame:
-    """Results of the same queries from several databases as one."""
+    """Results of the same queries from several databases as one; the same result twice is an error."""
+    if len({id(r) for r in results}) < len(results):
+        raise ValueError("a result is given twice")
     return S.merge_databases(results, sort_by, check=True)
 
 
@@ -164,7 +198,9 @@ def profile(
     filter_low_pct: float = 0.0,
     **thresholds,
 ) -> dict[str, DataFrame]:
-    """profile, and with a taxonomy also cami, metaphlan and binning tables; thresholds override the mode's."""
+    """profile, failures and stats, and with a taxonomy also cami, metaphlan and binning tables; thresholds override the mode's.
+
+    failures: (target, stage, reason, value) of targets that didn't exist; stats: matched and assigned reads."""
     p = preset(mode, **thresholds)
     rows = M.refilter(found, min_query_cov, max_fpr)
     species = closed = None
@@ -174,10 +210,11 @@ def profile(
         taxonomy.with_taxids(rows.select("target").distinct(), taxid_map).agg(F.count("taxid")).collect()
         at = taxonomy.at_or_below(closed, "species")
         species = taxid_map.join(at, "taxid", "left").select("target", F.col("at").alias("species"))
-    result = P.profile(rows, species, sizes, p)
+    done = P.profiled(rows, species, sizes, p)
+    result = settle(done.profile)
     if filter_low_pct > 0:
         result = P.tail_cut(result, filter_low_pct, [c for c in _ascending(mode)])
-    out = {"profile": result}
+    out = {"profile": result, "failures": done.failures, "stats": done.stats}
     if closed is not None:
         amounts = result.join(taxid_map, "target").select("taxid", "percentage")
         out |= {"cami": reports.cami(amounts, closed, taxdump["names"]), "metaphlan": reports.metaphlan(amounts, closed, taxdump["names"])}

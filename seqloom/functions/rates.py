@@ -56,6 +56,17 @@ def query_fpr(n: Column, k: Column, p: float) -> Column:
     return F.when(first == 0, F.when(k > n * p, 0.0).otherwise(1.0)).otherwise(F.greatest(F.lit(0.0), 1 - fold))
 
 
+def query_fpr_value(n: int, k: int, p: float) -> float:
+    """query_fpr() of single values."""
+    term, odds, total = (1 - p) ** n, p / (1 - p), 0.0
+    if term == 0:
+        return 0.0 if k > n * p else 1.0
+    for i in range(k + 1):
+        total += term
+        term = term * (n - i) / (i + 1) * odds
+    return max(0.0, 1 - total)
+
+
 def binomial(n: int, k: int) -> int:
     return math.comb(n, k)
 

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.functions.rates import query_fpr
+from seqloom.functions.rates import query_fpr_value
 from seqloom.operators import sketch
 
 #: Distinct query k-mers up to which they are sent to every task to thin the reference
 #: side before it is shuffled; beyond it both sides are shuffled by k-mer.
-BROADCAST_KMERS = 4_000_000
+BROADCAST_KMERS = 1_000_000
 
 SORTS = {"qcov": ("q_cov", "t_cov"), "tcov": ("t_cov", "m_kmers"), "jacc": ("jacc", "m_kmers")}
 
@@ -43,7 +44,7 @@ def scored(found: DataFrame) -> DataFrame:
 def filtered(found: DataFrame, min_kmers: int = 10, min_q_cov: float = 0.55, min_t_cov: float = 0.0, db_fpr: float | None = None, max_fpr: float = 0.01) -> DataFrame:
     """Matches that pass every threshold (coverage strictly), with their false-positive rate.
 
-    The rate depends on (q_kmers, m_kmers) alone and is folded after all cheaper tests."""
+    The rate depends on (q_kmers, m_kmers) alone and is looked up after all cheaper tests."""
     if db_fpr is not None and min_q_cov <= db_fpr:
         raise ValueError("the query coverage threshold must exceed the false-positive rate of the database")
     kept = scored(found.filter((F.col("m_kmers") >= min_kmers) & (F.col("m_kmers") > F.col("q_kmers") * min_q_cov)))
@@ -51,7 +52,27 @@ def filtered(found: DataFrame, min_kmers: int = 10, min_q_cov: float = 0.55, min
         kept = kept.filter(F.col("t_cov") >= min_t_cov)
     if db_fpr is None:
         return kept.withColumn("fpr", F.lit(0.0))
-    return kept.withColumn("fpr", query_fpr(F.col("q_kmers"), F.col("m_kmers"), db_fpr)).filter(F.col("fpr") <= max_fpr)
+    return kept.withColumn("fpr", rate_of(db_fpr)("q_kmers", "m_kmers")).filter(F.col("fpr") <= max_fpr)
+
+
+_RATES: dict[tuple[int, int, float], float] = {}
+
+
+def rate_of(p: float):
+    """The false-positive rate of a match as a function of its numbers of k-mers; each pair of them is worked out once in a process."""
+
+    @F.pandas_udf("double")
+    def rate(n: pd.Series, k: pd.Series) -> pd.Series:
+        if len(_RATES) > 1 << 20:
+            _RATES.clear()
+        out = []
+        for key in zip(n.tolist(), k.tolist(), [p] * len(n), strict=True):
+            if key not in _RATES:
+                _RATES[key] = query_fpr_value(*key)
+            out.append(_RATES[key])
+        return pd.Series(out, dtype="float64")
+
+    return rate
 
 
 def with_hits(found: DataFrame, key: str = "query") -> DataFrame:

@@ -9,6 +9,7 @@ and box each value.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from seqloom.functions.hashing import hashed, kmer_hashes, max_hash
+from seqloom.functions.hashing import canonical_hashes, hashed, kmer_hashes, max_hash, segments, strands
 
 #: Rows that are turned to k-mers together, and the characters that end such a group earlier.
 GROUP_ROWS, GROUP_CHARS = 1024, 1 << 20
@@ -91,27 +92,70 @@ def _row_places(rows: DataFrame, id_col: str, seq_col: str, value: StructField,
     return rows.mapInArrow(run, out)
 
 
-_COMPLEMENT = str.maketrans("ACGT", "TGCA")
-
-
 def canonical_kmers(seqs: DataFrame, k: int, circular: bool = False, id_col: str = "ref_id", seq_col: str = "seq") -> DataFrame:
     """(id, pos, kmer): the smaller of each DNA k-mer and its reverse complement; windows with other letters are skipped."""
 
     def place(text: str) -> tuple[np.ndarray, pa.Array]:
-        s = text.upper()
-        n = len(s)
-        if circular and n >= k:
-            s += s[: k - 1]
-            n = len(s)
-        other = np.array([c not in "ACGT" for c in s], bool)
-        bad = np.concatenate(([0], np.cumsum(other)))
-        at = np.flatnonzero(bad[k:] == bad[:-k]) if n >= k else np.empty(0, np.int64)
-        back = s.translate(_COMPLEMENT)[::-1]
-        return at, pa.array([min(s[i : i + k], back[n - i - k : n - i]) for i in at.tolist()], pa.string())
+        spots, texts = [np.empty(0, np.int64)], [np.empty(0, np.uint8)]
+        for begin, run in segments(text + text[: k - 1] if circular and len(text) >= k else text):
+            data, starts = strands(run, k)
+            spots.append(begin + np.arange(len(starts)))
+            texts.append(np.frombuffer(data, np.uint8)[starts[:, None] + np.arange(k)].ravel() if len(starts) else texts[0])
+        at = np.concatenate(spots)
+        ends = np.arange(len(at) + 1, dtype=np.int32) * k
+        return at, pa.StringArray.from_buffers(len(at), pa.py_buffer(ends), pa.py_buffer(np.concatenate(texts)))
 
     return _row_places(seqs, id_col, seq_col, StructField("kmer", StringType()), lambda texts: [place(t) for t in texts])
 
 
+@dataclass(frozen=True)
+class Settings:
+    """What makes a sequence's k-mers: the same for databases and for queries, as a database's manifest says.
+
+    canonical: of DNA the lesser of a k-mer and its reverse complement, windows with other
+    letters skipped; otherwise any letters, one strand. kind "nt" is always canonical."""
+
+    ks: tuple[int, ...] = (21,)
+    kind: str = "md5"
+    canonical: bool = False
+    scale: float = 1
+    minimizer_w: int = 0
+    syncmer_s: int = 0
+
+    def __post_init__(self):
+        if self.minimizer_w and self.syncmer_s:
+            raise ValueError("minimizers or syncmers, not both")
+        if (self.minimizer_w or self.syncmer_s) and len(self.ks) > 1:
+            raise ValueError("one k only for minimizers and syncmers")
+
+    @classmethod
+    def of(cls, manifest: dict) -> Settings:
+        return cls(tuple(manifest["k"] or (21,)), manifest["hash"] or "md5", bool(manifest["canonical"]), manifest["scale"] or 1, manifest["minimizer_w"] or 0, manifest["syncmer_s"] or 0)
+
+    def manifest(self) -> dict:
+        return {"k": list(self.ks), "hash": self.kind, "canonical": self.canonical or self.kind == "nt", "hashed": True, "scaled": self.scale > 1, "scale": int(self.scale), "minimizer_w": self.minimizer_w, "syncmer_s": self.syncmer_s}
+
+    def runs(self, texts: list[str], k: int, circular: int = 0) -> list[list[tuple[int, np.ndarray]]]:
+        """For each text (begin, hashes) of its runs of letters that k-mers may have."""
+        texts = [t + t[:circular] if len(t) > circular else t for t in texts]
+        if self.canonical or self.kind == "nt":
+            return canonical_hashes(texts, k, self.kind)
+        return [[(0, h)] for h in kmer_hashes(texts, k, self.kind)]
+
+    def codes(self, texts: list[str], k: int, circular: bool = False) -> list[np.ndarray]:
+        """The hashes that stand for each text, in order and with repeats: of all k-mers, of minimizers or of
+        closed syncmers; not zeros, nor those beyond the sketch's largest."""
+        wrap = k - 1 if circular else 0
+        whole = self.runs(texts, k, wrap)
+        if self.minimizer_w:
+            whole = [[(b, h[minimizer_spots(h, self.minimizer_w)]) for b, h in runs] for runs in whole]
+        elif self.syncmer_s:
+            inner = self.runs(texts, self.syncmer_s, wrap)
+            whole = [[(b, h[syncmer_spots(h, s, k, self.syncmer_s)]) for (b, h), (_, s) in zip(runs, shorter, strict=True)] for runs, shorter in zip(whole, inner, strict=True)]
+        top = max_hash(self.scale, self.kind) if self.scale > 1 else None
+        return [_selected(np.concatenate([np.empty(0, np.int64), *(h for _, h in runs)]), top, self.kind == "nt") for runs in whole]
+
+
 def concatenated(records: DataFrame, key: str, order: str, k: int, seq_col: str = "seq", spacer: str = "N") -> DataFrame:
     """One sequence for each key: its records in order, with k-1 spacers between them."""
     parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(F.col(seq_col), F.lit("")).alias("s"))))
@@ -150,9 +194,11 @@ def chunks(seqs: DataFrame, k: int, number: int = 0, size: int = 0, overlap: int
     return out.select(id_col, "chunk_idx", "chunks", F.col("_p.begin").cast("int").alias("begin"), F.col("_p.seq").alias("seq"))
 
 
-def _selected(codes: np.ndarray, top: int | None) -> np.ndarray:
+def _selected(codes: np.ndarray, top: int | None, unsigned: bool = False) -> np.ndarray:
     """Without zeros and without those beyond the sketch's largest hash."""
-    return codes[codes != 0] if top is None else codes[(codes != 0) & (codes <= top)]
+    if top is None:
+        return codes[codes != 0]
+    return codes[(codes != 0) & ((codes.view(np.uint64) <= np.uint64(top)) if unsigned else (codes <= top))]
 
 
 def _distinct(codes: np.ndarray) -> np.ndarray:
@@ -165,12 +211,15 @@ def kmer_sets(chunked: DataFrame, k: int | list[int], kind: str = "roll", scale:
     Distinctness is settled inside the row, so building sets shuffles nothing.
     Several k give the union of their sets; a scale above 1 keeps the smallest
     hashes (FracMinHash); zero hashes are dropped."""
-    ks = [k] if isinstance(k, int) else list(k)
-    top = max_hash(scale, kind) if scale > 1 else None
+    return sets_of(chunked, Settings((k,) if isinstance(k, int) else tuple(k), kind, scale=scale), keep, seq_col)
+
+
+def sets_of(chunked: DataFrame, settings: Settings, keep: tuple[str, ...] = ("ref_id", "chunk_idx"), seq_col: str = "seq", circular: bool = False) -> DataFrame:
+    """As kmer_sets(), by any settings; circular sequences go on with their beginning."""
 
     def codes(rows: list[tuple[str, ...]]) -> list[np.ndarray]:
         texts = [r[0] for r in rows]
-        return [_distinct(np.concatenate([_selected(h, top) for h in hs])) for hs in zip(*(kmer_hashes(texts, x, kind) for x in ks), strict=True)]
+        return [_distinct(np.concatenate(hs)) for hs in zip(*(settings.codes(texts, k, circular) for k in settings.ks), strict=True)]
 
     rows = chunked.select(*keep, F.col(seq_col).alias("_seq"))
     return _row_lists(rows, keep, ("_seq",), StructField("n_kmers", LongType()), codes)
@@ -180,13 +229,27 @@ def exploded(sets: DataFrame, keep: tuple[str, ...] = ("ref_id", "chunk_idx")) -
     return sets.select(*keep, F.explode("kmers").alias("kmer"))
 
 
+def minimizer_spots(h: np.ndarray, window: int) -> np.ndarray:
+    """Positions that hold the least hash of some window (the first of equals); none in a run shorter than one."""
+    if len(h) < window:
+        return np.empty(0, np.int64)
+    return np.unique(sliding_window_view(h, window).argmin(axis=1) + np.arange(len(h) - window + 1))
+
+
+def syncmer_spots(h: np.ndarray, inner: np.ndarray, k: int, s: int) -> np.ndarray:
+    """Positions of k-mers (hashes h) whose least s-mer (hashes inner) stands first or last."""
+    if len(h) == 0:
+        return np.empty(0, np.int64)
+    inside = sliding_window_view(inner, k - s + 1)
+    least = inside.min(axis=1)
+    return np.flatnonzero((inside[:, 0] == least) | (inside[:, -1] == least))
+
+
 def minimizers(seqs: DataFrame, k: int, window: int, kind: str = "md5", id_col: str = "ref_id", seq_col: str = "seq") -> DataFrame:
-    """(id, pos, kmer): positions that hold the least hash of some window of ``window`` k-mers (the first of equals)."""
+    """(id, pos, kmer): positions that hold the least hash of some window of ``window`` k-mers."""
 
     def place(h: np.ndarray) -> tuple[np.ndarray, pa.Array]:
-        if len(h) < window:
-            return h[:0], pa.array(h[:0])
-        spots = np.unique(sliding_window_view(h, window).argmin(axis=1) + np.arange(len(h) - window + 1))
+        spots = minimizer_spots(h, window)
         return spots, pa.array(h[spots])
 
     return _row_places(seqs, id_col, seq_col, StructField("kmer", LongType()), lambda texts: [place(h) for h in kmer_hashes(texts, k, kind)])
@@ -196,11 +259,7 @@ def syncmers(seqs: DataFrame, k: int, s: int, kind: str = "md5", id_col: str = "
     """(id, pos, kmer): closed syncmers, k-mers whose least s-mer stands first or last."""
 
     def place(h: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, pa.Array]:
-        if len(h) == 0:
-            return h, pa.array(h)
-        inside = sliding_window_view(inner, k - s + 1)
-        least = inside.min(axis=1)
-        spots = np.flatnonzero((inside[:, 0] == least) | (inside[:, -1] == least))
+        spots = syncmer_spots(h, inner, k, s)
         return spots, pa.array(h[spots])
 
     return _row_places(seqs, id_col, seq_col, StructField("kmer", LongType()), lambda texts: list(map(place, kmer_hashes(texts, k, kind), kmer_hashes(texts, s, kind))))
@@ -211,16 +270,20 @@ def query_kmers(queries: DataFrame, k: int, kind: str = "roll", dedup_above: int
 
     Mates add their k-mers to the same list. Queries shorter than min_len, with no
     mate that long either, have none."""
+    return query_sets(queries, Settings((k,), kind, scale=scale), k, dedup_above, id_col, seq_col, seq2_col, min_len)
+
+
+def query_sets(queries: DataFrame, settings: Settings, k: int, dedup_above: int = 256, id_col: str = "query", seq_col: str = "seq", seq2_col: str | None = None, min_len: int = 0) -> DataFrame:
+    """As query_kmers(), by the settings of a database; queries are never circular."""
     mate = F.coalesce(F.col(seq2_col), F.lit("")) if seq2_col else F.lit("")
     length = F.length(seq_col) + F.length(mate)
-    top = max_hash(scale, kind) if scale > 1 else None
 
     def codes(pairs: list[tuple[str, ...]]) -> list[np.ndarray]:
         usable = [p if max(map(len, p)) >= min_len else ("", "") for p in pairs]
-        return list(map(chosen, *(kmer_hashes([p[i] for p in usable], k, kind) for i in (0, 1))))
+        return list(map(chosen, *(settings.codes([p[i] for p in usable], k) for i in (0, 1))))
 
     def chosen(own: np.ndarray, other: np.ndarray) -> np.ndarray:
-        h = _selected(np.concatenate((own, other)), top)
+        h = np.concatenate((own, other))
         return _distinct(h) if len(h) > dedup_above else h
 
     rows = queries.select(F.col(id_col).alias("query"), length.cast("int").alias("q_len"), F.col(seq_col).alias("_seq"), mate.alias("_mate"))

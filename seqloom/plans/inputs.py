@@ -12,17 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Bytes up to which texts in fewer files than cores are dealt to all cores before they are hashed.
-SPREAD_BYTES = 1 << 30
-
-
 def spread(df: DataFrame) -> DataFrame:
-    """A small table of few files over all cores, as one row group is one task whatever the split size.
+    """A table of fewer files than cores over all cores, as one row group is one task whatever the split size.
 
-    Larger tables have row groups enough and stay where they lie."""
+    Tables of more files stay where they lie."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    small = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= SPREAD_BYTES
-    return df.repartition(2 * cores) if small and len(df.inputFiles()) < cores else df
+    return df.repartition(2 * cores) if len(df.inputFiles()) < cores else df
 
 
 def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,22 +119,27 @@ def kmers_sql(text: str, k: int = K) -> str:
     return f"CASE WHEN length({text}) >= {k} THEN list_transform(range(1, length({text}) - {k} + 2), lambda i: substr({text}, i, {k})) ELSE [] END"
 
 
+def canonical_sql(text: str, k: int = K) -> str:
+    """DuckDB list of the lesser of each k-mer and its reverse complement."""
+    return f"list_transform({kmers_sql(text, k)}, lambda own: least(own, reverse(translate(own, 'ACGT', 'TGCA'))))"
+
+
 def md5_sql(text: str) -> str:
     """The 60-bit MD5 hash in DuckDB."""
     return f"CAST('0x' || substr(md5({text}), 1, 15) AS BIGINT)"
 
 
-def query_kmers_sql(source: str = "SELECT item_id AS query, text AS seq FROM benchmark", k: int = K, above: int = 256, name: str = "qk") -> str:
+def query_kmers_sql(source: str = "SELECT item_id AS query, text AS seq FROM benchmark", k: int = K, above: int = 256, name: str = "qk", of=kmers_sql) -> str:
     """CTEs: {name}(query, q_len, q_kmers, ks) with duplicates kept up to ``above`` k-mers."""
     return f"""
-{name}_all AS (SELECT query, length(seq) AS q_len, {kmers_sql("seq", k)} AS ks FROM ({source})),
+{name}_all AS (SELECT query, length(seq) AS q_len, {of("seq", k)} AS ks FROM ({source})),
 {name} AS (SELECT query, CAST(q_len AS INTEGER) AS q_len, CAST(len(ks2) AS INTEGER) AS q_kmers, ks2 AS ks
        FROM (SELECT query, q_len, CASE WHEN len(ks) > {above} THEN list_distinct(ks) ELSE ks END AS ks2 FROM {name}_all))"""
 
 
-def ref_kmers_sql(source: str = "SELECT doc_id AS target, text AS seq FROM documents", k: int = K, name: str = "rk") -> str:
+def ref_kmers_sql(source: str = "SELECT doc_id AS target, text AS seq FROM documents", k: int = K, name: str = "rk", of=kmers_sql) -> str:
     """CTEs: {name}(target, t_kmers, ks) with distinct k-mers."""
-    return f"{name} AS (SELECT target, CAST(len(ks) AS BIGINT) AS t_kmers, ks FROM (SELECT target, list_distinct({kmers_sql('seq', k)}) AS ks FROM ({source})))"
+    return f"{name} AS (SELECT target, CAST(len(ks) AS BIGINT) AS t_kmers, ks FROM (SELECT target, list_distinct({of('seq', k)}) AS ks FROM ({source})))"
 
 
 def found_sql(q: str = "qk", r: str = "rk", name: str = "found", min_kmers: int = 10, min_q_cov: float = 0.55) -> str:

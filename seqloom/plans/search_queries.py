@@ -114,7 +114,7 @@ CONV_SQL = f"SELECT conv_id AS query, string_agg(coalesce(text, ''), '{'N' * (K
 
 @query(
     "search_whole_file",
-    f"WITH {query_kmers_sql(CONV_SQL)}, rk0 AS (SELECT DISTINCT query AS target, unnest(ks) AS kmer FROM qk_all), sel AS (SELECT target, CAST(count(*) AS BIGINT) AS t_kmers, list(kmer) AS ks FROM rk0 WHERE target % 5 = 0 GROUP BY target), "
+    f"WITH {query_kmers_sql(CONV_SQL)}, rk0 AS (SELECT DISTINCT query AS target, unnest(ks) AS kmer FROM qk_all), sel AS (SELECT target, CAST(count(*) AS BIGINT) AS t_kmers, list(kmer) AS ks FROM rk0 GROUP BY target), "
     f"{found_sql('qk', 'sel', min_kmers=10, min_q_cov=0.2)} SELECT {OUT_SQL}, {HITS_SQL} FROM found",
 )
 def search_whole_file(spark, d):
@@ -193,27 +193,45 @@ def syncmer_sketch(spark, d):
     return sketch.syncmers(I.sequences(spark, d), K, 15)
 
 
-SKETCH_SQL = f"sk AS (SELECT ref_id, h FROM (SELECT DISTINCT doc_id AS ref_id, {md5_sql('kmer')} AS h FROM (SELECT doc_id, unnest({kmers_sql('text')}) AS kmer FROM documents)) WHERE h <= {MD5_RANGE // 100} AND h > 0)"
+#: Equal sketches are one class, named after the least document; texts without a hash by the text itself.
+SKETCH_SQL = (
+    f"d AS (SELECT doc_id AS ref_id, text, list_sort(list_filter(list_distinct(list_transform({kmers_sql('text')}, lambda x: {md5_sql('x')})), lambda h: h <= {MD5_RANGE // SCALE} AND h > 0)) AS ks FROM documents), "
+    "c AS (SELECT ref_id, ks, len(ks) AS n, min(ref_id) OVER (PARTITION BY ks, CASE WHEN len(ks) = 0 THEN coalesce(text, 'null ' || ref_id) END) AS class FROM d)"
+)
+
+
+@query("sketch_classes", f"WITH {SKETCH_SQL} SELECT ref_id, class, CAST(n AS BIGINT) AS n FROM c")
+def sketch_classes(spark, d):
+    """The class of each document by its sketch: the membership that goes with sketch_similarity."""
+    return similarity.sketch_classes(_sketches(spark, d), text_col="digest").select(F.col("id").alias("ref_id"), "class", "n")
+
+
+def _sketches(spark, d):
+    docs = I.sequences(spark, d).withColumn("digest", F.sha2("seq", 256))
+    return sketch.kmer_sets(docs, K, "md5", SCALE, keep=("ref_id", "digest"))
 
 
 @query(
     "sketch_similarity",
-    f"WITH {SKETCH_SQL}, n AS (SELECT ref_id, count(*) AS n FROM sk GROUP BY 1), p AS (SELECT a.ref_id AS a, b.ref_id AS b, count(*) AS m FROM sk a JOIN sk b USING (h) WHERE a.ref_id < b.ref_id GROUP BY 1, 2) "
-    "SELECT a, b, m, round(m / x.n, 6) AS q_cov, round(m / y.n, 6) AS t_cov, round(m / (x.n + y.n - m), 6) AS jacc FROM p JOIN n x ON x.ref_id = a JOIN n y ON y.ref_id = b WHERE m >= 3",
+    f"WITH {SKETCH_SQL}, sk AS (SELECT class, n, unnest(ks) AS h FROM c WHERE ref_id = class), p AS (SELECT x.class AS a, y.class AS b, x.n AS na, y.n AS nb, count(*) AS m FROM sk x JOIN sk y USING (h) WHERE x.class < y.class GROUP BY ALL) "
+    "SELECT a, b, m, round(m / na, 6) AS q_cov, round(m / nb, 6) AS t_cov, round(m / (na + nb - m), 6) AS jacc FROM p",
 )
 def sketch_similarity(spark, d):
-    """Pairs of documents that share a sketch hash at least, and all pairs of equal texts."""
-    docs = I.sequences(spark, d).withColumn("digest", F.sha2("seq", 256))
-    return rounded(similarity.sketch_pairs(sketch.kmer_sets(docs, K, "md5", SCALE, keep=("ref_id", "digest")), text_col="digest"), "q_cov", "t_cov", "jacc")
+    """Pairs of classes of documents that share a sketch hash at least."""
+    return rounded(similarity.sketch_pairs(_sketches(spark, d), text_col="digest"), "q_cov", "t_cov", "jacc")
 
 
 DNA_SQL = "SELECT doc_id AS ref_id, list_aggregate(list_transform(string_split(text, ''), lambda c: substr('ACGT', CAST(unicode(c) % 4 AS INTEGER) + 1, 1)), 'string_agg', '') AS seq FROM documents"
 
 
+def as_dna(text):
+    """Each character as a letter of DNA by its code point modulo four."""
+    return F.array_join(F.transform(F.split(text, ""), lambda c: F.substring(F.lit("ACGT"), F.ascii(c) % 4 + 1, F.lit(1))), "")
+
+
 def dna(spark, d):
-    """Documents as DNA: each character by its code point modulo four."""
-    letters = F.transform(F.split("text", ""), lambda c: F.substring(F.lit("ACGT"), F.ascii(c) % 4 + 1, F.lit(1)))
-    return I.spread(I.table(spark, d, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("ref_id"), F.array_join(letters, "").alias("seq"))
+    """Documents as DNA."""
+    return I.spread(I.table(spark, d, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("ref_id"), as_dna(F.col("text")).alias("seq"))
 
 
 RC_SQL = "reverse(translate({0}, 'ACGT', 'TGCA'))"
@@ -229,6 +247,100 @@ def canonical_kmers(spark, d):
     return k.groupBy("ref_id").agg(F.count("*").alias("kmers"), F.countDistinct("kmer").alias("distinct_kmers"), F.min("kmer").alias("least_kmer"))
 
 
+BENCH_DNA_SQL = f"SELECT query, {RC_SQL.format('seq')} AS seq FROM (SELECT item_id AS query, {DNA_SQL[DNA_SQL.index('list_aggregate') : DNA_SQL.index(' AS seq')]} AS seq FROM benchmark)"
+DNA_REFS_SQL = f"SELECT ref_id AS target, seq FROM ({DNA_SQL})"
+
+
+def _reversed_queries(spark, d):
+    """Benchmark texts as DNA of the other strand."""
+    b = I.table(spark, d, "benchmark").select(F.col("item_id").alias("query"), as_dna(F.col("text")).alias("seq"))
+    return b.withColumn("seq", sketch.reverse_complement(F.col("seq")))
+
+
+def _strand_search(settings):
+    def run(spark, d):
+        refs = dna(spark, d).select(F.col("ref_id").alias("target"), F.lit(0).alias("chunk_idx"), "seq")
+        q = sketch.query_sets(_reversed_queries(spark, d), settings, K, min_len=30)
+        found = search.matches(q, sketch.sets_of(refs, settings, ("target", "chunk_idx")))
+        return shaped(search.with_hits(search.filtered(found, min_kmers=5)))
+
+    return run
+
+
+def _picked_sql(source: str, name: str, pick: str) -> str:
+    """CTEs up to {name}_l(id, ks): the hashes that minimizers or syncmers pick, in order."""
+    hashes = f"{name}_h AS (SELECT id, generate_subscripts(ks, 1) - 1 AS pos, unnest(ks) AS kmer FROM (SELECT id, list_transform({I.canonical_sql('seq')}, lambda x: {md5_sql('x')}) AS ks FROM ({source})))"
+    if pick == "minimizer":
+        return (
+            f"{hashes}, {name}_w AS (SELECT id, arg_min(pos, kmer) OVER f AS pos, min(kmer) OVER f AS kmer, count(*) OVER f AS n FROM {name}_h WINDOW f AS (PARTITION BY id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {MINIMIZER_W - 1} FOLLOWING)), "
+            f"{name}_l AS (SELECT id, list(kmer ORDER BY pos) AS ks FROM (SELECT DISTINCT id, pos, kmer FROM {name}_w WHERE n = {MINIMIZER_W}) GROUP BY id)"
+        )
+    return (
+        f"{hashes}, {name}_s AS (SELECT id, generate_subscripts(ss, 1) - 1 AS pos, unnest(ss) AS s FROM (SELECT id, list_transform({I.canonical_sql('seq', SYNCMER_S)}, lambda x: {md5_sql('x')}) AS ss FROM ({source}))), "
+        f"{name}_w AS (SELECT id, pos, s AS a, last_value(s) OVER f AS b, min(s) OVER f AS m, count(*) OVER f AS n FROM {name}_s WINDOW f AS (PARTITION BY id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {K - SYNCMER_S} FOLLOWING)), "
+        f"{name}_l AS (SELECT id, list(kmer ORDER BY pos) AS ks FROM {name}_h JOIN {name}_w USING (id, pos) WHERE n = {K - SYNCMER_S + 1} AND (a = m OR b = m) GROUP BY id)"
+    )
+
+
+MINIMIZER_W, SYNCMER_S = 5, 15
+
+
+def _picked_search_sql(pick: str) -> str:
+    q, r = BENCH_DNA_SQL.replace("SELECT query, reverse", "SELECT query AS id, reverse"), f"SELECT ref_id AS id, seq FROM ({DNA_SQL})"
+    return (
+        f"WITH {_picked_sql(q, 'q', pick)}, {_picked_sql(r, 'r', pick)}, "
+        "qk AS (SELECT id AS query, CAST(q_len AS INTEGER) AS q_len, CAST(len(ks2) AS INTEGER) AS q_kmers, ks2 AS ks FROM (SELECT id, length(text) AS q_len, CASE WHEN len(ks) > 256 THEN list_distinct(ks) ELSE ks END AS ks2 FROM q_l JOIN benchmark ON item_id = id)), "
+        f"rk AS (SELECT id AS target, CAST(len(ks) AS BIGINT) AS t_kmers, ks FROM (SELECT id, list_distinct(ks) AS ks FROM r_l)), {found_sql(min_kmers=5)} SELECT {OUT_SQL}, {HITS_SQL} FROM found"
+    )
+
+
+def _hashed_sql(text: str, k: int = K) -> str:
+    return f"list_transform({I.canonical_sql(text, k)}, lambda x: {md5_sql('x')})"
+
+
+QUERIES["search_canonical"], ORACLE_SQL["search_canonical"] = (
+    _strand_search(sketch.Settings((K,), "md5", True)),
+    f"WITH {query_kmers_sql(BENCH_DNA_SQL, of=_hashed_sql)}, {ref_kmers_sql(DNA_REFS_SQL, of=_hashed_sql)}, {found_sql(min_kmers=5)} SELECT {OUT_SQL}, {HITS_SQL} FROM found",
+)
+QUERIES["search_minimizer_db"], ORACLE_SQL["search_minimizer_db"] = _strand_search(sketch.Settings((K,), "md5", True, minimizer_w=MINIMIZER_W)), _picked_search_sql("minimizer")
+QUERIES["search_syncmer_db"], ORACLE_SQL["search_syncmer_db"] = _strand_search(sketch.Settings((K,), "md5", True, syncmer_s=SYNCMER_S)), _picked_search_sql("syncmer")
+
+
+@query(
+    "kmer_sets_circular",
+    f"SELECT ref_id, CAST(len(list_distinct({I.canonical_sql('seq')})) AS BIGINT) AS n_kmers FROM (SELECT ref_id, CASE WHEN length(seq) >= {K} THEN seq || substr(seq, 1, {K - 1}) ELSE seq END AS seq FROM ({DNA_SQL}))",
+)
+def kmer_sets_circular(spark, d):
+    return sketch.sets_of(dna(spark, d), sketch.Settings((K,), "md5", True), ("ref_id",), circular=True).select("ref_id", "n_kmers")
+
+
+@query("kmer_sets_several_k", f"SELECT doc_id AS ref_id, CAST(len(list_distinct(list_concat({kmers_sql('text', 15)}, {kmers_sql('text', 21)}))) AS BIGINT) AS n_kmers FROM documents")
+def kmer_sets_several_k(spark, d):
+    return sketch.kmer_sets(I.sequences(spark, d), [15, 21], "md5", keep=("ref_id",)).select("ref_id", "n_kmers")
+
+
+@query("containment_search_stream", f"{BASE_SQL} SELECT {OUT_SQL}, {HITS_SQL} FROM found")
+def containment_search_stream(spark, d):
+    """The containment search with the queries as a stream: each micro-batch is searched and added to a table in the shared folder."""
+    from seqloom.session import shared_folder
+    from seqloom.streaming.search_stream import search_each_batch
+
+    place = shared_folder(spark, "stream")
+    items = spark.read.parquet(f"{d}/benchmark.parquet")
+    # A stream reads folders: where the table is one file, that file of its folder.
+    files = items.inputFiles()
+    source = spark.readStream.schema(items.schema)
+    if len(files) == 1 and files[0].endswith("/benchmark.parquet"):
+        stream = source.option("pathGlobFilter", "benchmark.parquet").parquet(d)
+    else:
+        stream = source.parquet(f"{d}/benchmark.parquet")
+    stream = stream.select(F.col("item_id").alias("query"), F.col("text").alias("seq"))
+    sets = sketch.kmer_sets(I.refs(spark, d), K, keep=("target", "chunk_idx"))
+    running = search_each_batch(stream, sets, K, lambda found, n: found.write.mode("overwrite").parquet(f"{place}/found/batch={n}"), f"{place}/offsets")
+    running.awaitTermination()
+    return shaped(spark.read.parquet(f"{place}/found"))
+
+
 N, O = 10, 20
 
 
@@ -279,14 +391,14 @@ def chunked_kmer_sets(spark, d):
 
 @query(
     "name_filter_extract",
-    r"SELECT page_id, coalesce(nullif(regexp_extract(url, '(?i)^https?://([^/?#]+)', 1), ''), regexp_replace(url, '(?i)\.(html?|php)$', '')) AS name, regexp_replace(regexp_replace(regexp_extract(url, '([^/?#]*)([?#].*)?$', 1), '(?i)\.gz$', ''), '(?i)\.(html?|fa|fq|fna|fasta|fastq)$', '') AS base FROM pages WHERE NOT regexp_matches(url, '(?i)blog|\?utm')",
+    r"SELECT page_id, coalesce(nullif(regexp_extract(url, '(?i)^https?://([^/?#]+)', 1), ''), regexp_replace(url, '(?i)\.(html?|php)$', '')) AS name, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(url, '([^/?#]*)([?#].*)?$', 1), '(?i)\.html?$', ''), '(?i)\.gz$', ''), '(?i)\.kset$', ''), '(?i)\.(fa|fq|fna|fasta|fastq)$', '') AS base FROM pages WHERE NOT regexp_matches(url, '(?i)blog|\?utm')",
 )
 def name_filter_extract(spark, d):
     kept = split.blacklist(I.table(spark, d, "pages"), "url", ["blog", r"\?utm"])
     return kept.select(
         "page_id",
         split.reference_name(F.col("url"), r"(?i)^https?://([^/?#]+)", r"(?i)\.(html?|php)$").alias("name"),
-        F.regexp_replace(F.regexp_replace(F.regexp_extract("url", r"([^/?#]*)([?#].*)?$", 1), r"(?i)\.gz$", ""), r"(?i)\.(html?|fa|fq|fna|fasta|fastq)$", "").alias("base"),
+        split.trim_extension(F.regexp_replace(F.regexp_extract("url", r"([^/?#]*)([?#].*)?$", 1), r"(?i)\.html?$", "")).alias("base"),
     )
 
 

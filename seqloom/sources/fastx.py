@@ -5,7 +5,9 @@
 
 One partition reads one file as a stream of records; gzip is recognised by its
 magic bytes, not its name. Files are found and opened through Spark's file
-system layer when read by ``read_fastx``, so any store that Spark knows works.
+system layer when read by ``read_fastx``, so any store that Spark knows works. Files of
+more than ``WHOLE_BYTES`` are read there as lines, one file a task from front to end
+(gzip by its name); a single sequence must fit a string.
 """
 
 from __future__ import annotations
@@ -22,7 +24,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from seqloom.sources.schemas import SEQUENCE
 
+#: Fixed value: the default pattern of sequence files.
 FILES = r"(?i)\.(f[aq](st[aq])?|fna)(.gz)?$"
+#: Largest file that is read as one row of bytes; rows have a limit of 2 GB.
+WHOLE_BYTES = 1 << 30
 _BATCH = 4096
 
 
@@ -63,26 +68,53 @@ def opened(raw: io.BufferedIOBase) -> io.BufferedIOBase:
     return io.BufferedReader(gzip.GzipFile(fileobj=buffered)) if buffered.peek(2)[:2] == b"\x1f\x8b" else buffered
 
 
-def read_fastx(spark: SparkSession, paths: str | list[str], file_regexp: str = FILES, name_filter: list[str] | None = None) -> DataFrame:
+def read_fastx(spark: SparkSession, paths: str | list[str], file_regexp: str = FILES, name_filter: list[str] | None = None, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
     """(file, pos, seq_id, name, seq, qual) of all records in files and folders (searched through).
 
     Spark lists and reads the files, so the paths may lie in any store it knows; a
     file is one row until it is parsed, on the executor, as a stream of batches."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
-    files = files.filter(F.col("path").rlike(file_regexp)).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).filter(F.col("path").rlike(file_regexp))
+    large = [r.path for r in files.filter(F.col("length") > whole_bytes).select("path").collect()]
 
     def parse(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for path, content in zip(batch["path"].to_pylist(), batch["content"], strict=True):
                 yield from _batches(path, opened(io.BytesIO(content.as_buffer())))
 
-    out = files.mapInArrow(parse, SEQUENCE)
+    out = files.filter(F.col("length") <= whole_bytes).select("path", "content").mapInArrow(parse, SEQUENCE)
+    for path in sorted(large):
+        out = out.unionByName(_by_lines(spark, path))
     if name_filter:
         out = out.filter(~F.col("name").rlike("(?i)" + "|".join(f"(?:{p})" for p in name_filter)))
     return out
 
 
-def _batches(path: str, stream: io.BufferedIOBase) -> Iterator[pa.RecordBatch]:
+class _Lines:
+    """Lines of text batches, as a stream of bytes has them."""
+
+    def __init__(self, batches: Iterator[pa.RecordBatch]):
+        self.last = -1
+        self.lines = self._lines(batches)
+
+    def _lines(self, batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
+        for batch in batches:
+            for line, at in zip(batch["value"].to_pylist(), batch["at"].to_pylist(), strict=True):
+                if at < self.last:
+                    raise ValueError("the parts of a file came out of order")
+                self.last = at
+                yield line.encode() + b"\n"
+
+    def readline(self) -> bytes:
+        return next(self.lines, b"")
+
+
+def _by_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Records of one large file: its splits, in order, in one task that holds a record at a time."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("at")).coalesce(1)
+    return lines.mapInArrow(lambda it: _batches(path, _Lines(it)), SEQUENCE)
+
+
+def _batches(path: str, stream) -> Iterator[pa.RecordBatch]:
     rows: list[tuple] = []
     for pos, (i, name, seq, qual) in enumerate(records(stream)):
         rows.append((path, pos, i, name, seq, qual))
@@ -139,6 +171,12 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(FastxSource)
 
 
+def write_fragments(assigned: DataFrame, path: str) -> None:
+    """The table of which fragment went to which chunk: file, fragment, shared k-mers, chunk, place."""
+    rows = assigned.select("file", F.concat(F.regexp_extract("file", r"([^/]+)$", 1), F.lit("_frag"), F.col("begin").cast("string")).alias("seqId"), F.col("m_kmers").alias("mKmers"), (F.col("chunk_idx") + 1).alias("chunkId"), F.col("begin").alias("fragLoc"))
+    rows.write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
+
+
 def write_chunks(chunked: DataFrame, path: str, width: int = 70, gzip_files: bool = True, id_col: str = "ref_id") -> None:
     """One folder of FASTA text for each chunk number; sequences wrapped."""
     wrapped = F.regexp_replace(F.regexp_replace("seq", f"(.{{{width}}})", "$1\n"), r"\n$", "")
