@@ -242,11 +242,134 @@ def test_depth_deviation_counts_empty_chunks(spark):
     assert {r.reason for r in profile.failures(profile.targets_of(df, sizes, PRESETS[3]), PRESETS[3], "em").collect()} == {"uniq", "hic", "chunks_frac"}
 
 
-def test_correction_in_order_and_as_sets(spark):
+def brute_corrected(queries, lost):
+    """What stays of each query: targets by coverage, one meeting after the other."""
+    out = set()
+    for q, targets in queries.items():
+        line = sorted(targets, key=lambda t: (-targets[t], t))
+        gone = set()
+        for x in line:
+            if x in gone:
+                continue
+            for y in line[line.index(x) + 1 :]:
+                if y not in gone:
+                    if (y, x) in lost:
+                        gone.add(y)
+                    elif (x, y) in lost:
+                        gone.add(x)
+        out |= {(q, t) for t in targets if t not in gone}
+    return out
+
+
+def test_correction_goes_target_by_target(spark):
     df = rows(spark, [(q, t, c) for q in range(5) for t, c in (("a", 0.9), ("b", 0.8), ("c", 0.7))])
     lost = spark.createDataFrame([("b", "a"), ("c", "b")], "loser string, winner string")
-    assert {r.target for r in profile.corrected(df, lost).collect()} == {"a"}
-    assert {r.target for r in profile.corrected_in_order(df, lost).collect()} == {"a", "c"}
+    assert {r.target for r in profile.corrected(df, lost).collect()} == {"a", "c"}
+    rng = random.Random(8)
+    names = list("abcdefgh")
+    for share in (0.1, 0.5):
+        pairs = [(x, y) for x in names for y in names if x != y and rng.random() < share]
+        queries = {q: {t: rng.choice([0.6, 0.7, 0.8, 0.9]) for t in rng.sample(names, rng.randint(1, 8))} for q in range(150)}
+        df = rows(spark, [(q, t, c) for q, ts in queries.items() for t, c in ts.items()])
+        got = profile.corrected(df, spark.createDataFrame(pairs, "loser string, winner string")).collect()
+        assert {(r.query, r.target) for r in got} == brute_corrected(queries, set(pairs))
+    assert profile.corrected(df, lost.limit(0)).count() == df.count()
+
+
+def test_cooccurrence_counts_equal_target_sets_once(spark):
+    queries = [{"a", "b", "c"}] * 40 + [{"a", "b"}] * 3 + [{"c"}] + [{"b", "d"}]
+    df = rows(spark, [(q, t, 0.9) for q, ts in enumerate(queries) for t in sorted(ts)])
+    marked = profile.annotated(df, None, mode(3))
+    got = {(r.a, r.b): r.shared for r in profile.cooccurrence(marked).collect()}
+    assert got == {("a", "b"): 43, ("a", "c"): 40, ("b", "c"): 40, ("b", "d"): 1}
+
+
+def test_bloom_search_of_many_blocks(spark):
+    """5,000 blocks of one slot: no block is a literal of the plan, and no row is made for a k-mer and a block."""
+    rng = random.Random(5)
+    refs = [(i, 0, [rng.randrange(1, 1 << 60) for _ in range(12)]) for i in range(5000)]
+    sets = spark.createDataFrame([(t, c, 12, k) for t, c, k in refs], "target long, chunk_idx int, n_kmers long, kmers array<long>")
+    packed = spark.createDataFrame([(t, 0, 12, 0, f"0_{t}", 0, 200) for t, _, _ in refs], "target long, chunk_idx int, n_kmers long, regime int, block string, slot int, num_sigs long")
+    queries = [("x", refs[17][2]), ("y", refs[4000][2][:6] + refs[18][2][:6])]
+    q = spark.createDataFrame([(n, 50, len(k), k) for n, k in queries], "query string, q_len int, q_kmers int, kmers array<long>")
+    bits = {t: {x % 200 for x in k} for t, _, k in refs}
+    want = {(n, t, m) for n, k in queries for t in bits if (m := sum(x % 200 in bits[t] for x in k)) >= 4}
+    for matrix in (bloom.bit_matrix(sets, packed), bloom.dense_rows(bloom.bit_matrix(sets, packed))):
+        found = bloom.search(q, matrix, packed, min_kmers=4)
+        assert "0_4000" not in found._jdf.queryExecution().optimizedPlan().toString()
+        got = found.collect()
+        assert {(r.query, r.target, r.m_kmers) for r in got} == want and len(got) == len(want)
+    grouped = bloom.search(q, bloom.bit_matrix(sets, packed), packed, min_kmers=4, query_kmers=13)
+    assert {(r.query, r.target, r.m_kmers) for r in grouped.collect()} == want
+
+
+def test_bloom_words_hold_64_slots(spark):
+    sets = spark.createDataFrame([(i, 0, 40, [(i * 977 + j * 31) % 5000 + 1 for j in range(40)]) for i in range(150)], "target long, chunk_idx int, n_kmers long, kmers array<long>")
+    packed = bloom.pack(sets, 150, num_hash=2)
+    assert packed.select("block").distinct().count() == 1
+    matrix = bloom.bit_matrix(sets, packed, 2)
+    q = spark.createDataFrame([(i, 60, 40, [(i * 977 + j * 31) % 5000 + 1 for j in range(40)]) for i in (0, 63, 64, 149)], "query long, q_len int, q_kmers int, kmers array<long>")
+    got = {(r.query, r.target): r.m_kmers for r in bloom.search(q, matrix, packed, 2, min_kmers=40).collect()}
+    assert all(got[i, i] == 40 for i in (0, 63, 64, 149))
+    assert sorted(map(tuple, bloom.bits_of(bloom.dense_rows(matrix)).collect())) == sorted(map(tuple, matrix.select("block", "loc", "slot").distinct().collect()))
+
+
+def test_both_strands_have_the_same_sketch(spark):
+    s = letters("ACGT", 400, 11) + "N" + letters("acgt", 300, 12)
+    back = s.upper().translate(str.maketrans("ACGT", "TGCA"))[::-1]
+    df = spark.createDataFrame([("s", s), ("t", back)], "target string, seq string")
+    for o in ({}, {"minimizer_w": 7}, {"syncmer_s": 11}, {"kind": "nt"}, {"kind": "nt", "scale": 4}, {"scale": 5}, {"kind": "roll"}, {"ks": (15, 33)}):
+        made = sketch.Settings(**({"ks": (21,), "canonical": True} | o))
+        a, b = (set(r.kmers) for r in sketch.sets_of(df, made, ("target",)).orderBy("target").collect())
+        assert a == b and a, o
+        q = {r.query: set(r.kmers) for r in sketch.query_sets(df.withColumnRenamed("target", "query"), made, made.ks[0]).collect()}
+        assert q["s"] == q["t"] and q["s"] <= a
+    ring = sketch.sets_of(df.filter("target = 's'"), sketch.Settings((21,), "md5", True), ("target",), circular=True).first()
+    assert ring.n_kmers == 380 + 280 + 20  # the 20 windows across the end; none across the N
+
+
+def test_canonical_kmers_are_the_lesser_texts(spark):
+    s = letters("ACGTN", 300, 3) + "ac"
+    rc = lambda x: x.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+    df = spark.createDataFrame([("s", s)], "ref_id string, seq string")
+    for k, circular in ((5, False), (35, False), (5, True)):
+        u = s.upper() + (s.upper()[: k - 1] if circular else "")
+        want = [(i, min(u[i : i + k], rc(u[i : i + k]))) for i in range(len(u) - k + 1) if set(u[i : i + k]) <= set("ACGT")]
+        assert sorted((r.pos, r.kmer) for r in sketch.canonical_kmers(df, k, circular).collect()) == want
+
+
+def test_the_last_map_counts_and_missing_names_stay(spark):
+    maps = spark.createDataFrame([("a", "A1", 0, 0), ("a", "A2", 1, 0), ("b", "B1", 0, 1), ("b", "B0", 0, 0)], "key string, value string, file int, line int")
+    df = spark.createDataFrame([("a",), ("b",), ("c",)], "target string")
+    assert {r.target: r.name for r in M.named(df, M.latest(maps)).collect()} == {"a": "A2", "b": "B1", "c": "c"}
+
+
+def test_closure_of_tall_trees_and_cycles(spark):
+    tall = spark.createDataFrame([(i, max(i - 1, 0), "x") for i in range(300)], "taxid long, parent long, rank string")
+    got = taxonomy.closure(tall)
+    assert got.count() == 300 * 301 // 2 and got.filter("taxid = 299 and ancestor = 0").first().depth == 0
+    ring = spark.createDataFrame([(0, 0, "x"), (1, 3, "x"), (2, 1, "x"), (3, 2, "x")], "taxid long, parent long, rank string")
+    with pytest.raises(ValueError, match="cycle"):
+        taxonomy.closure(ring)
+
+
+def test_table_functions(spark):
+    from seqloom.functions import tables
+
+    tables.register(spark)
+    s = letters("acgt", 200, 2)
+    df = spark.createDataFrame([("r", s)], "ref_id string, seq string")
+    want = {(r.pos, r.kmer) for r in sketch.minimizers(df, 15, 6).collect()}
+    assert {(r.pos, r.kmer) for r in spark.sql(f"SELECT * FROM minimizers('{s}', 15, 6)").collect()} == want
+    want = {(r.pos, r.kmer) for r in sketch.syncmers(df, 15, 8).collect()}
+    assert {(r.pos, r.kmer) for r in spark.sql(f"SELECT * FROM syncmers('{s}', 15, 8)").collect()} == want
+
+
+def test_rates_are_looked_up(spark):
+    df = spark.createDataFrame([(70, 35), (130, 72), (70, 35), (5000, 3000)], "n int, k int")
+    got = [r.x for r in df.select(search.rate_of(0.3)("n", "k").alias("x")).collect()]
+    want = [r.x for r in df.select(rates.query_fpr(F.col("n"), F.col("k"), 0.3).alias("x")).collect()]
+    assert got == pytest.approx(want, abs=1e-12)
 
 
 def test_fragments(spark):

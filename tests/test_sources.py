@@ -83,3 +83,21 @@ def test_report_files(spark, tmp_path):
     fastx.write_chunks(spark.createDataFrame([("r", 0, "A" * 150)], "ref_id string, chunk_idx int, seq string"), str(tmp_path / "f"), gzip_files=False)
     text = "\n".join(r.value for r in spark.read.text(str(tmp_path / "f")).select(F.col("value")).collect())
     assert text == ">r_chunk0\n" + "A" * 70 + "\n" + "A" * 70 + "\n" + "A" * 10
+
+
+def test_large_files_are_read_by_lines(spark, tmp_path):
+    (tmp_path / "a.fa").write_text("".join(f">s{i} x\n{'ACGT' * 20}\n{'TTGA' * 5}\n" for i in range(3000)))
+    (tmp_path / "b.fq").write_text("".join(f"@r{i}\nACGTN\n+\n@@III\n" for i in range(500)))
+    key = lambda df: sorted((r.file.rsplit("/", 1)[-1], r.pos, r.seq_id, r.seq, r.qual) for r in df.collect())
+    whole = key(fastx.read_fastx(spark, str(tmp_path)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        assert key(fastx.read_fastx(spark, str(tmp_path), whole_bytes=1000)) == whole and len(whole) == 3500
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_list_files(spark, tmp_path):
+    (tmp_path / "list").write_text("/a/b.fa\n\n /c.fa \n")
+    assert tables.read_list(spark, str(tmp_path / "list")) == ["/a/b.fa", "/c.fa"]

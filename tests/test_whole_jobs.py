@@ -40,19 +40,24 @@ def test_sketch_similarity_lists_equal_texts_and_single_shared_hashes(spark, tmp
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     rows = catalog.QUERIES["fracminhash_sketch"](spark, str(tmp_path)).collect()
     sets = {i: {r.kmer for r in rows if r.ref_id == i} for i, _ in docs}
-    want = {}
+    group = {}
     for i, x in docs:
-        for j, y in docs:
+        group[i] = min(j for j, y in docs if (sets[i] or sets[j]) and sets[i] == sets[j] or not sets[i] and not sets[j] and (i == j or x is not None and x == y))
+    want = {}
+    for i in sets:
+        for j in sets:
             m = len(sets[i] & sets[j])
-            if i < j and (m or x is not None and x == y):
-                want[i, j] = (m, round(m / len(sets[i] | sets[j]), 6) if m else 1.0)
-    assert {(0, 1), (2, 3), (4, 5)} <= set(want)
+            if i < j and m and group[i] == i and group[j] == j:
+                want[i, j] = (m, round(m / len(sets[i] | sets[j]), 6))
+    assert [group[i] for i in (1, 3, 5, 9)] == [0, 2, 4, 9]
     assert 0 < want[6, 10][0] < 3
     got = catalog.QUERIES["sketch_similarity"](spark, str(tmp_path)).collect()
     assert {(r.a, r.b): (r.m, r.jacc) for r in got} == want and len(got) == len(want)
+    named = catalog.QUERIES["sketch_classes"](spark, str(tmp_path)).collect()
+    assert {r.ref_id: getattr(r, "class") for r in named} == group and len(named) == len(docs)
 
 
-def test_exact_order_of_ambiguity_correction(spark):
+def test_ambiguity_correction_goes_target_by_target(spark):
     data = [(t, 0.9) for t, n in (("a", 20), ("b", 16), ("c", 12)) for _ in range(n)]
     found = [(i, t, c) for i, (t, c) in enumerate(data)]
     found += [(100 + i, t, c) for i in range(4) for t, c in (("a", 0.9), ("c", 0.7))]
@@ -64,5 +69,4 @@ def test_exact_order_of_ambiguity_correction(spark):
         p = mode(3, dominance=0.9, mismatch=0.9, **changes)
         return {r.target for r in profile.before_em(df, None, sizes, p)[0].filter("query = 200").collect()}
 
-    assert kept() == {"a"}
-    assert kept(exact_order=True) == {"a", "c"}
+    assert kept() == {"a", "c"}
