@@ -59,7 +59,12 @@ def keyed(found: DataFrame, species: DataFrame | None, p: Params) -> DataFrame:
         rows = found.join(species.select("target", F.col("species").cast("long").alias("species")), "target", "left")
     else:
         rows = found.withColumn("species", F.lit(None).cast("long"))
-    return rows.repartition("query")
+    return rows.repartition("query").sortWithinPartitions("query", "target", *_first(rows))
+
+
+def _first(rows: DataFrame) -> list[Column]:
+    """The order of a target's rows in a query."""
+    return [F.col("q_cov").desc(), *(F.col(c) for c in ("chunk_idx", "line") if c in rows.columns)]
 
 
 def annotated(found: DataFrame, species: DataFrame | None, p: Params) -> DataFrame:
@@ -72,9 +77,9 @@ def annotated(found: DataFrame, species: DataFrame | None, p: Params) -> DataFra
 def marked(rows: DataFrame, by_species: bool, p: Params) -> DataFrame:
     """annotated() of rows that are keyed() already; its windows need no further shuffle."""
     rows = M.prefix(rows, p.perfect, p.main_gap, p.top_n)
-    pair, q = Window.partitionBy("query", "target"), Window.partitionBy("query")
-    order = [F.col("q_cov").desc(), *(F.col(c) for c in ("chunk_idx", "line") if c in rows.columns)]
-    rows = rows.withColumn("n_qt", F.count("*").over(pair)).withColumn("is_first", F.row_number().over(pair.orderBy(*order)) == 1)
+    pair, q = Window.partitionBy("query", "target").orderBy(*_first(rows)), Window.partitionBy("query")
+    whole = pair.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumns({"n_qt": F.count("*").over(whole), "is_first": F.row_number().over(pair) == 1})
     known = F.count("species").over(q) == F.count("*").over(q)
     same = known & (F.min("species").over(q) == F.max("species").over(q)) & F.lit(by_species)
     return rows.withColumns({"n_targets": F.sum(F.col("is_first").cast("int")).over(q), "same": same})
@@ -130,16 +135,17 @@ def corrected(rows: DataFrame, lost: DataFrame) -> DataFrame:
     anywhere take part; the meetings of a query are folded in order over its own array."""
     sides = settle(lost.select(F.least("loser", "winner").alias("x"), F.greatest("loser", "winner").alias("y"), (F.col("winner") < F.col("loser")).alias("x_wins")).groupBy("x", "y").agg(F.max("x_wins").alias("x_wins"), F.min("x_wins").alias("x_only")))
     concerned = sides.select(F.col("x").alias("target")).unionByName(sides.select(F.col("y").alias("target"))).distinct()
-    best = rows.join(to_all(settle(concerned)), "target", "left_semi").groupBy("query", "target").agg(F.max("q_cov").alias("c"))
+    firsts = rows.filter("is_first and n_targets > 1") if "is_first" in rows.columns else rows.groupBy("query", "target").agg(F.max("q_cov").alias("q_cov"))
+    best = firsts.join(to_all(settle(concerned)), "target", "left_semi").select("query", "target", F.col("q_cov").alias("c"))
     line = best.groupBy("query").agg(F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("c"), "target"))).alias("t")).filter("size(t) > 1")
-    line = line.select("query", F.transform("t", lambda x: x["target"]).alias("t"))
+    line = settle(line.select("query", F.transform("t", lambda x: x["target"]).alias("t")), laid_out=True)
     # Meetings (i, j) of a place with a later one; queries with the same line have the same.
-    kinds = line.select("t").distinct()
-    meet = kinds.select("t", F.posexplode("t").alias("i", "a")).select("t", "i", "a", F.posexplode(F.expr("slice(t, i + 2, size(t))")).alias("k", "b"))
-    meet = meet.select("t", "i", (F.col("i") + F.col("k") + 1).alias("j"), "a", "b", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+    kinds = settle(line.select("t").distinct()).select(F.monotonically_increasing_id().alias("id"), "t")
+    meet = kinds.select("id", "t", F.posexplode("t").alias("i", "a")).select("id", "i", "a", F.posexplode(F.expr("slice(t, i + 2, size(t))")).alias("k", "b"))
+    meet = meet.select("id", "i", (F.col("i") + F.col("k") + 1).alias("j"), "a", "b", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
     # Where both would win, the one whose turn it is does.
     first_wins = F.when(F.col("a") == F.col("x"), F.col("x_wins")).otherwise(~F.col("x_only"))
-    met = meet.join(to_all(sides), ["x", "y"]).groupBy("t").agg(F.array_sort(F.collect_list(F.struct("i", "j", first_wins.alias("w")))).alias("m"))
+    met = meet.join(to_all(sides), ["x", "y"]).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("i", "j", first_wins.alias("w")))).alias("m"))
 
     def step(state: Column, m: Column) -> Column:
         turn = m["i"] == state["i"]
@@ -149,7 +155,7 @@ def corrected(rows: DataFrame, lost: DataFrame) -> DataFrame:
         return F.struct(m["i"].alias("i"), out.alias("out"), gone.alias("gone"))
 
     start = F.struct(F.lit(-1).alias("i"), F.lit(False).alias("out"), F.array().cast("array<int>").alias("gone"))
-    gone = met.select("t", F.transform(F.aggregate("m", start, step)["gone"], lambda g: F.col("t")[g]).alias("gone"))
+    gone = met.select("id", F.aggregate("m", start, step)["gone"].alias("g")).join(kinds, "id").select("t", F.transform("g", lambda g: F.col("t")[g]).alias("gone"))
     per_query = line.join(gone, "t").select("query", "gone")
     return rows.join(per_query, "query", "left").filter("gone is null or not array_contains(gone, target)").drop("gone")
 
@@ -229,15 +235,15 @@ def with_percentage(t: DataFrame) -> DataFrame:
 
 def before_em(found: DataFrame, species: DataFrame | None, sizes: DataFrame, p: Params) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Stages 1 to 3: (rows after correction, targets of stage 3 untested, those that exist)."""
-    return _before_em(settle(keyed(found, species, p)), species is not None and p.level == "species", sizes, p)
+    return _before_em(settle(keyed(found, species, p), laid_out=True), species is not None and p.level == "species", sizes, p)
 
 
 def _before_em(base: DataFrame, by_species: bool, sizes: DataFrame, p: Params) -> tuple[DataFrame, DataFrame, DataFrame]:
     first = settle(stage1(marked(base, by_species, p), p))
-    rows = marked(restricted(base, first), by_species, p)
+    rows = settle(marked(restricted(base, first), by_species, p), laid_out=True)
     if p.ambiguity:
         lost = settle(dominated(first, cooccurrence(rows), p))
-        rows = marked(corrected(rows.drop("n_qt", "is_first", "n_targets", "same"), lost), by_species, p.but(perfect=False, main_gap=None, top_n=0))
+        rows = marked(corrected(rows, lost).drop("n_qt", "is_first", "n_targets", "same"), by_species, p.but(perfect=False, main_gap=None, top_n=0))
     t = targets_of(weighed_chunks(rows, p, None), sizes, p)
     return rows, t, existing(t, p)
 
@@ -256,12 +262,12 @@ def profiled(found: DataFrame, species: DataFrame | None, sizes: DataFrame, p: P
     Passes repeat until the percentage of the most covered target moves less than
     the threshold, or max_iters times (exactly ``iters`` times if given)."""
     by_species = species is not None and p.level == "species"
-    base = settle(keyed(found, species, p))
+    base = settle(keyed(found, species, p), laid_out=True)
     _, untested, _ = _before_em(base, by_species, sizes, p)
     untested = settle(untested)
     bad = failures(untested, p, "stage 3")
     coverage = existing(untested, p).select("target", "coverage")
-    rows = settle(marked(restricted(base, coverage), by_species, p))
+    rows = settle(marked(restricted(base, coverage), by_species, p), laid_out=True)
     last, result, used = None, None, rows
     for i in range((iters if iters is not None else p.max_iters) + 1):
         step = em_step(rows, coverage, sizes, p)
@@ -277,7 +283,7 @@ def profiled(found: DataFrame, species: DataFrame | None, sizes: DataFrame, p: P
             break
         last = top[0]
         if i == 0:
-            rows = settle(marked(restricted(base, result), by_species, p))
+            rows = settle(marked(restricted(base, result), by_species, p), laid_out=True)
     out = result.join(scores(used), "target", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     out = out.select(*[c for c in out.columns if c not in ("score", "percentage")], "score", "percentage")
     return Profiled(out, bad, statistics(base, result))

@@ -52,7 +52,19 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def settle(df):
-    """Computes df once into the folder of spark.checkpoint.dir and cuts its lineage there."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def settle(df, laid_out: bool = False):
+    """Computes df once into the folder of spark.checkpoint.dir and cuts its lineage there.
+
+    laid_out: partitioning and order stay known, so that what reads it needs no further
+    shuffle or sort by the same keys (a plan that is adapted while it runs forgets them)."""
+    spark = df.sparkSession
+    checkpoint_folder(spark)
+    if not laid_out:
+        return df.checkpoint(eager=True)
+    key = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(key, before)
