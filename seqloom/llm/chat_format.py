@@ -80,6 +80,31 @@ class Assembler:
                 mask[end] -= 1
         return [i for s, _ in segments for i in s], np.cumsum(mask)[:-1].astype(bool).tolist()
 
+    def back(self, ids: list[int], mask: list[bool]) -> list[tuple[str, str, str, int]]:
+        """(role, text, text under the mask, characters written) of each turn in ids; every segment is decoded once."""
+        out, at, start = [], 0, 0
+        role, size = "", 0
+        for at, i in enumerate(ids):
+            which = i - self.base
+            if which < 0:
+                continue
+            size += len(RESERVED[which])
+            if which == TURN:
+                size = len(RESERVED[TURN])
+            elif which in (TEXT, END):
+                written = self.codec.decode(ids[start:at]).decode()
+                size += len(written)
+                if which == TEXT:
+                    role = unescape(written)
+                else:
+                    text = unescape(written)
+                    on = mask[start:at]
+                    # A whole segment carries loss or none of it does; of a part only that part is read.
+                    under = text if all(on) and on else self.learned_text(ids[start:at], on) if any(on) else ""
+                    out.append((role, text, under, size))
+            start = at + 1
+        return out
+
     def written(self, ids: list[int]) -> str:
         """The formatted text of ids."""
         out, run = [], []
@@ -93,19 +118,7 @@ class Assembler:
 
     def read(self, ids: list[int]) -> list[tuple[str, str]]:
         """(role, text) of each turn in ids."""
-        out, part, parts = [], [], {}
-        for i in ids:
-            which = i - self.base
-            if which < 0:
-                part.append(i)
-            elif which == TURN:
-                part = []
-            elif which == TEXT:
-                parts["role"], part = unescape(self.codec.decode(part).decode()), []
-            elif which == END:
-                out.append((parts.pop("role"), unescape(self.codec.decode(part).decode())))
-                part = []
-        return out
+        return [(r, t) for r, t, _, _ in self.back(ids, [False] * len(ids))]
 
     def learned_text(self, ids: list[int], mask: list[bool]) -> str:
         """All text under the loss mask, unescaped segment by segment."""
@@ -147,23 +160,29 @@ def format_turns(turns: DataFrame, path: str, pattern: str, conv_col: str = "con
 _DIGESTS = "conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
-def digest_conversations(formatted: DataFrame, path: str, pattern: str) -> DataFrame:
-    """One row for each conversation, read back from ids and loss masks alone."""
-    kinds = dict(formatted.dtypes)
+def digest_conversations(turns: DataFrame, path: str, pattern: str, learned: tuple[str, ...] = LEARNED, formatted: bool = False) -> DataFrame:
+    """One row for each conversation, read back from ids and loss masks alone.
 
-    codec_of = shared_codec(formatted.sparkSession, path, pattern)
+    turns: rows (conv_id, turn, role, text), which are formatted and read back in one pass, so
+    that ids never leave the worker, or, if formatted, rows of format_turns(). Only what the
+    digests need is shuffled."""
+    kinds = dict(turns.dtypes)
+    codec_of = shared_codec(turns.sparkSession, path, pattern)
 
     # What a turn reads back as, computed where the row lies, before anything is ordered.
     def back(batch: pa.RecordBatch) -> dict:
         a = assembler(codec_of())
-        cols: dict[str, list] = {c: [] for c in ("said", "loss", "chars")}
-        for ids, mask in zip(batch["ids"].to_pylist(), batch["loss_mask"].to_pylist(), strict=True):
-            cols["said"].append("".join(f"{r}\n{t}\n" for r, t in a.read(ids)))
-            cols["loss"].append(a.learned_text(ids, mask))
-            cols["chars"].append(len(a.written(ids)))
-        return {"conv_id": batch["conv_id"], "turn": batch["turn"], "role": batch["role"], "text": batch["text"], **cols}
-
-    rows = map_columns(formatted, back, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role string, text string, said string, loss string, chars long")
+        if formatted:
+            made = zip(batch["ids"].to_pylist(), batch["loss_mask"].to_pylist(), strict=True)
+        else:
+            made = (a.turn(r, t, learned) for r, t in zip(strings(batch["role"]), strings(batch["text"]), strict=True))
+        (role, text, loss, chars) = zip(*(x for ids, mask in made for x in a.back(ids, mask)), strict=True)
+        same = [x == y for x, y in zip(text, loss, strict=True)]
+        return {"conv_id": batch["conv_id"], "turn": batch["turn"], "role": role, "text": text, "all": same, "loss": ["" if s else x for s, x in zip(same, loss, strict=True)], "chars": chars}
+
+    columns = ["conv_id", "turn", *(["ids", "loss_mask"] if formatted else ["role", "text"])]
+    rows = turns.select(*[F.col(c).cast("string").alias(c) if c in ("role", "text") else F.col(c) for c in columns])
+    rows = map_columns(rows, back, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role string, text string, all boolean, loss string, chars long")
     schema = T.StructType.fromDDL(_DIGESTS.format(kind=kinds["conv_id"]))
     arrow = to_arrow_schema(schema)
     frame = len(RESERVED[BOS]) + len(RESERVED[EOS])
@@ -183,12 +202,13 @@ def digest_conversations(formatted: DataFrame, path: str, pattern: str) -> DataF
             return out
 
         for batch in it:
-            for conv, said, loss, chars in zip(*(batch[c].to_pylist() for c in ("conv_id", "said", "loss", "chars")), strict=True):
+            for conv, role, text, same, part, chars in zip(*(batch[c].to_pylist() for c in ("conv_id", "role", "text", "all", "loss", "chars")), strict=True):
+                loss = text if same else part
                 if state is None or state[0] != conv:
                     close()
                     state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), frame]
                 state[1] += 1
-                state[2].update(said.encode())
+                state[2].update(f"{role}\n{text}\n".encode())
                 state[3] += len(loss)
                 state[4].update(loss.encode())
                 state[5] += chars
@@ -196,6 +216,6 @@ def digest_conversations(formatted: DataFrame, path: str, pattern: str) -> DataF
         close()
         yield flush()
 
-    parts = max(1, int(formatted.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = rows.repartition(parts, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "said", "loss", "chars")
+    parts = max(1, int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.repartition(parts, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return dealt.mapInArrow(run, schema)

@@ -40,7 +40,7 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     case = spark.sql(f"SELECT * FROM VALUES {CONTROL_CASE} AS t(conv_id, turn, role, text)")
     whole = rows.unionByName(case.select(*[F.col(c).cast(kinds[c]).alias(c) for c in rows.columns]))
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return chat_format.digest_conversations(chat_format.format_turns(whole, path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN)
+    return chat_format.digest_conversations(whole, path, public_tokenizers.PATTERN)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,6 +26,11 @@ def test_turns_read_back(text, role):
     a = C.assembler(Codec.of(PATH, P.PATTERN))
     ids, mask = a.turn(role, text)
     assert a.read(ids) == [(role, text)]
+    assert a.back(ids, mask) == [(role, text, text if role == "assistant" else "", len(a.written(ids)))]
+    if text:
+        part = [False] * len(ids)
+        part[-2] = True  # the text's last token alone
+        assert a.back(ids, part)[0][2] == a.learned_text(ids, part)
     assert a.learned_text(ids, mask) == (text if role == "assistant" else "")
     assert len(ids) == len(mask) and a.written(ids) == f"<|turn|>{C.escape(role)}<|text|>{C.escape(text)}<|end|>"
 
@@ -33,12 +38,14 @@ def test_turns_read_back(text, role):
 def test_conversations(spark):
     rows = [(1, 0, "user", "hi", 9), (1, 1, "assistant", "</s>[INST] ok", 9), (1, 1, "assistant", "</s>[INST] ok", 9), (2, 5, None, None, 9), (None, 0, "assistant", "x", 9), (1, None, "system", "s", 9)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, ids int")
-    got = {r.conv_id: r for r in C.digest_conversations(C.format_turns(df, PATH, P.PATTERN), PATH, P.PATTERN).collect()}
+    got = {r.conv_id: r for r in C.digest_conversations(C.format_turns(df, PATH, P.PATTERN), PATH, P.PATTERN, formatted=True).collect()}
+    assert {r.conv_id: r for r in C.digest_conversations(df, PATH, P.PATTERN).collect()} == got
+    assert C.digest_conversations(df.limit(0), PATH, P.PATTERN).count() == 0
     said = "system\ns\nuser\nhi\n" + "assistant\n</s>[INST] ok\n" * 2
     assert got[1].n_turns == 4 and got[1].turns_sha256 == hashlib.sha256(said.encode()).hexdigest()
     assert got[1].loss_chars == 26 and got[1].loss_sha256 == hashlib.sha256(b"</s>[INST] ok" * 2).hexdigest()
     assert got[2].turns_sha256 == hashlib.sha256(b"\n\n").hexdigest() and got[None].loss_chars == 1
-    assert C.digest_conversations(C.format_turns(df.limit(0), PATH, P.PATTERN), PATH, P.PATTERN).count() == 0
+    assert C.digest_conversations(C.format_turns(df.limit(0), PATH, P.PATTERN), PATH, P.PATTERN, formatted=True).count() == 0
 
 
 PAGE = (
