@@ -372,15 +372,17 @@ def clean(docs: DataFrame, benchmark: DataFrame, at_least: int = 2, broadcast_wi
 
         return docs.mapInArrow(run, docs.schema)
 
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    left = settle(settle(part(True).select(row.alias("row"))).select(F.monotonically_increasing_id().alias("key"), "row", F.col("row.text").cast("string").alias("text"), F.lit(False).alias("changed")))
+    # The other columns as one struct, so that no name clashes; rows that may have hits have a text.
+    others = [c for c in docs.columns if c != "text"]
+    row = F.struct(*[F.col(f"`{c}`") for c in others], F.lit(0).alias("_"))
+    left = settle(part(True).select(row.alias("row"), F.col("text").cast("string").alias("text"))).select(F.monotonically_increasing_id().alias("key"), "row", "text", F.lit(False).alias("changed"))
     out, first = [part(False)], True
     while not left.isEmpty():
         hits = _hits(_found(left, idx, ("key",)), idx, ("key",)).groupBy("key").agg(F.collect_set(F.struct(*_PLACE)).alias("runs"), F.count_distinct("item").alias("n"))
         marked = settle(left.join(hits, "key", "left"))
         out.append(_restored(marked.filter("runs is null"), docs))
         some = marked.filter("runs is not null" + (f" and n < {int(at_least)}" if first else ""))
-        left, first = settle(_cut_rows(some)), False
+        left, first = _cut_rows(some), False
     whole = out[0]
     for other in out[1:]:
         whole = whole.unionByName(other)
@@ -388,20 +390,24 @@ def clean(docs: DataFrame, benchmark: DataFrame, at_least: int = 2, broadcast_wi
 
 
 def _cut_rows(rows: DataFrame) -> DataFrame:
-    def run(batch: pa.RecordBatch) -> dict:
-        texts_ = [cut(t.encode(), merged(r)).decode() for t, r in zip(batch["text"].to_pylist(), batch["runs"].to_pylist(), strict=True)]
-        return {"key": batch["key"], "text": texts_}
+    """(key, row, text, changed) without the runs of each row."""
+    out = rows.select("key", "row", "text", "changed").schema
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            left = [cut(t.encode(), merged(r)).decode() for t, r in zip(batch["text"].to_pylist(), batch["runs"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch["key"], batch["row"], pa.array(left, batch["text"].type), pa.array([True] * batch.num_rows, pa.bool_())], names=["key", "row", "text", "changed"])
 
-    new = map_columns(rows.select("key", "text", "runs"), run, "key long, text string")
-    return rows.select("key", "row").join(new, "key").select("key", "row", "text", F.lit(True).alias("changed"))
+    return rows.mapInArrow(run, out)
 
 
 def _restored(rows: DataFrame, docs: DataFrame) -> DataFrame:
     kinds = dict(docs.dtypes)
 
     def value(c: str) -> Column:
+        if c == "text":
+            return F.col("text").cast(kinds[c]).alias(c)
         own = F.col("row").getField(c)
-        new = {"text": F.col("text"), "n_chars": F.length("text")}.get(c)
-        return (own if new is None else F.when(F.col("changed"), new.cast(kinds[c])).otherwise(own)).alias(c)
+        return (F.when(F.col("changed"), F.length("text").cast(kinds[c])).otherwise(own) if c == "n_chars" else own).alias(c)
 
     return rows.select(*[value(c) for c in docs.columns])
