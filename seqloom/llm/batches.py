@@ -31,16 +31,27 @@ def fold(salt_of: str, modulus: int):
     return F.crc32(F.coalesce(F.col(salt_of).cast("string"), F.lit(""))) % modulus
 
 
+#: Parts in which the rows of a class are ranked, so that no class is ranked in one task.
+RANKS = 16
+
+
 def sampled(rows: DataFrame, by: str, n: dict, each: int, salt: str, ties: tuple[str, ...] = ()) -> DataFrame:
     """At most ``each`` rows of each value of ``by``, those of the least hash of doc_id; n: rows by value.
 
-    A threshold on the hash thins the rows first, to about twice the bound, so that the
-    ranking sorts few. Rows of equal hash are ordered by id, then by the hash of ``ties``."""
+    A threshold on the hash thins the rows first, to about twice the bound. They are ranked by
+    ranges of the hash, each after the number of those before. Rows of equal hash are ordered
+    by id, then by the hash of ``ties``."""
     rank = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(salt))
     chance = F.pmod(rank, F.lit(1 << 30)) / F.lit(float(1 << 30))
     share = F.element_at(F.create_map(*[F.lit(v) for k, c in n.items() for v in (k, min(1.0, 2 * each / c + 64 / c))]), F.col(by))
-    place = F.row_number().over(Window.partitionBy(by).orderBy(chance, F.col("doc_id").cast("string"), F.xxhash64(*ties) if ties else F.lit(0)))
-    return rows.filter(chance < share).withColumn("_place", place).filter(F.col("_place") <= each).drop("_place")
+    some = rows.filter(chance < share).withColumn("_part", F.floor(chance / share * RANKS).cast("int"))
+    sizes = {(r[by], r["_part"]): r["n"] for r in some.groupBy(by, "_part").agg(F.count("*").alias("n")).collect()}
+    before = [(k, i, sum(sizes.get((k, j), 0) for j in range(i))) for k, i in sizes]
+    if not before:
+        return some.drop("_part").limit(0)
+    start = F.element_at(F.create_map(*[F.lit(v) for k, i, m in before for v in (f"{k}:{i}", m)]), F.concat_ws(":", F.col(by).cast("string"), F.col("_part").cast("string")))
+    place = F.row_number().over(Window.partitionBy(by, "_part").orderBy(chance, F.col("doc_id").cast("string"), F.xxhash64(*ties) if ties else F.lit(0)))
+    return some.withColumn("_place", place + start).filter(F.col("_place") <= each).drop("_place", "_part")
 
 
 def map_columns(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, pa.Array | list]], schema: str) -> DataFrame:
