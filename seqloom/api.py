@@ -21,6 +21,12 @@ from seqloom.sources import fastx, reports, tables
 REF_NAME = r"(?i)([^/]+)\.(f[aq](st[aq])?|fna)(.gz)?$"
 
 
+def version() -> str:
+    from seqloom import __version__
+
+    return __version__
+
+
 def compute(
     spark: SparkSession,
     inputs: str | list[str] | DataFrame,
@@ -91,16 +97,18 @@ def index(
     """Writes a database folder and returns what index_info says of it; dry_run only estimates.
 
     settings: what the sets were made with (settings_of(...).manifest(), and others), kept in the manifest."""
+    if not dry_run:  # the sets are made once, where the database keeps them
+        sets = tables.write_sets(out_dir, sets)
     names = sets.count()
     size = block_size or bloom.base_block_size(names, threads)
     regimes = ((byte_size(block_size_x_kmers_t), block_size_x), (byte_size(block_size_8_kmers_t), 8), (byte_size(block_size_1_kmers_t), 1))
-    packed = bloom.pack(sets, size, regimes, fpr, num_hash)
+    packed = settle(bloom.pack(sets, size, regimes, fpr, num_hash))
     if dry_run:
         return bloom.index_info(packed, num_hash)
-    matrix = bloom.dense_rows(bloom.bit_matrix(sets, packed, num_hash))
+    matrix = bloom.dense(bloom.filled(sets, packed), packed, num_hash)
     total = sets.agg(F.sum("n_kmers")).first()[0] or 0
     manifest = settings_of().manifest() | {"num_hash": num_hash, "fpr": fpr, "block_size": size, "kmers": total, "names": names} | settings
-    tables.write_database(out_dir, sets, matrix, packed, manifest)
+    tables.write_database(out_dir, sets, matrix, packed, manifest, with_sets=False)
     return bloom.index_info(sets.sparkSession.read.parquet(f"{out_dir}/slots"), num_hash)
 
 

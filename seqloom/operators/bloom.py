@@ -14,13 +14,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from seqloom.functions.rates import bloom_fpr, signature_size
 from seqloom.operators import sketch
 from seqloom.session import settle
 
 
+#: Sets up to which their places in the index are broadcast to them; beyond, both are shuffled by name.
+BROADCAST_SETS = 500_000
+_ROWS = 1 << 16
+
+
 def base_block_size(sets: int, threads: int) -> int:
     """Block size where none is given: sets spread over threads, in eights."""
     return max(8, min((sets // max(threads, 1) + 7) // 8 * 8, sets))
@@ -63,6 +68,28 @@ def bit_matrix(sets: DataFrame, packed: DataFrame, num_hash: int = 1, ref: tuple
     return rows.select("block", F.explode(locs).alias("loc"), "slot")
 
 
+def filled(sets: DataFrame, packed: DataFrame, ref: tuple[str, ...] = ("target", "chunk_idx")) -> DataFrame:
+    """(block, slot, kmers): the matrix before its bits are set, a row for each set; the most compact form to deal out."""
+    places = packed.select(*ref, "block", "slot")
+    places = F.broadcast(places) if places.limit(BROADCAST_SETS + 1).count() <= BROADCAST_SETS else places
+    return sets.select(*ref, "kmers").join(places, list(ref)).select("block", "slot", "kmers")
+
+
+def dense(matrix: DataFrame, packed: DataFrame, num_hash: int = 1) -> DataFrame:
+    """dense_rows() of filled(), by tables in the tasks instead of a row for each bit."""
+    schema = StructType([matrix.schema["block"], StructField("loc", LongType()), StructField("word", IntegerType()), StructField("bits", LongType())])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (block, word, _, _), table in _tables(it, num_hash):
+            at = np.flatnonzero(table)
+            for i in range(0, len(at), _ROWS):
+                some = at[i : i + _ROWS]
+                bits = table[some].astype(np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(some)), pa.array(some), pa.array(np.full(len(some), word, np.int32)), pa.array(bits)], names=schema.names)
+
+    return _units(matrix, packed).mapInArrow(run, schema)
+
+
 def dense_rows(matrix: DataFrame) -> DataFrame:
     """(block, loc, word, bits): bit slot % 64 of word slot / 64."""
     bit = F.expr("shiftleft(1L, slot % 64)")
@@ -78,20 +105,15 @@ _PIECE, _AT_ONCE = 1 << 20, 1 << 16
 def search(queries: DataFrame, matrix: DataFrame, packed: DataFrame, num_hash: int = 1, ref: tuple[str, ...] = ("target", "chunk_idx"), min_kmers: int = 1, min_q_cov: float = 0.0, query_kmers: int = QUERY_KMERS) -> DataFrame:
     """(query, q_len, q_kmers, *ref, t_kmers, m_kmers) by the index: exact matches, and false ones at its rate.
 
-    A k-mer counts for a slot if all its positions are set. The matrix, rows (block, loc,
-    slot) or dense_rows(), is dealt by block and word of 64 slots; a task fills the table of
-    one word, then looks all k-mers up in it, so that no row is made for a k-mer and a block.
+    A k-mer counts for a slot if all its positions are set. The matrix, filled(), dense_rows()
+    or rows (block, loc, slot), is dealt by block and word of 64 slots; a task fills the table
+    of one word, then looks all k-mers up in it, so that no row is made for a k-mer and a block.
     Matches below min_kmers or not above min_q_cov of a query's k-mers never leave the task."""
     q = queries.select("query", "q_len", "q_kmers", F.explode(F.sequence(F.lit(0), F.greatest(F.floor((F.size("kmers") - 1) / _PIECE), F.lit(0)).cast("int"))).alias("piece"), "kmers").filter("size(kmers) > 0")
     q = settle(q.select("query", "q_len", "q_kmers", "piece", (F.size("kmers") <= _PIECE).alias("whole"), F.slice("kmers", F.col("piece") * _PIECE + 1, F.lit(_PIECE)).alias("kmers")))
     total = q.agg(F.sum(F.size("kmers"))).first()[0] or 0
     groups = -(-total // query_kmers)
-    word = F.floor(F.col("slot") / 64).cast("int") if "slot" in matrix.columns else F.col("word")
-    bits = F.expr("shiftleft(1L, slot % 64)") if "slot" in matrix.columns else F.col("bits")
-    width = packed.groupBy("block", "num_sigs").agg(F.max("slot").alias("_last"))
-    units = matrix.select("block", word.alias("word"), "loc", bits.alias("bits")).join(width, "block")
-    units = units.select("block", "word", "num_sigs", F.least(F.lit(64), F.col("_last") + 1 - 64 * F.col("word")).alias("slots"), "loc", "bits")
-    units = units.repartition("block", "word").sortWithinPartitions("block", "word")
+    units = _units(matrix, packed)
     units = settle(units) if groups > 1 else units
     parts = [_looked_up(q if groups == 1 else q.filter(F.pmod(F.xxhash64("query", "piece"), F.lit(groups)) == g), units, num_hash, min_kmers, min_q_cov) for g in range(max(1, groups))]
     found = reduce(lambda a, b: a.unionByName(b), parts)
@@ -101,6 +123,43 @@ def search(queries: DataFrame, matrix: DataFrame, packed: DataFrame, num_hash: i
     return found.join(named, ["block", "slot"]).select("query", "q_len", "q_kmers", *ref, "t_kmers", "m_kmers")
 
 
+def _units(matrix: DataFrame, packed: DataFrame) -> DataFrame:
+    """The matrix with what a word's table needs, words together."""
+    width = packed.groupBy("block", "num_sigs").agg(F.max("slot").alias("_last"))
+    word = F.floor(F.col("slot") / 64).cast("int") if "slot" in matrix.columns else F.col("word")
+    if "kmers" in matrix.columns:
+        what = [(F.col("slot") % 64).alias("bit"), F.col("kmers")]
+    else:
+        what = [F.col("loc"), (F.expr("shiftleft(1L, slot % 64)") if "slot" in matrix.columns else F.col("bits")).alias("bits")]
+    rows = matrix.select("block", word.alias("word"), *what).join(width, "block")
+    slots = F.least(F.lit(64), F.col("_last") + 1 - 64 * F.col("word")).alias("slots")
+    names = [c for c in rows.columns if c not in ("block", "word", "num_sigs", "_last")]
+    return rows.select("block", "word", "num_sigs", slots, *names).repartition("block", "word").sortWithinPartitions("block", "word")
+
+
+def _tables(it: Iterator[pa.RecordBatch], num_hash: int) -> Iterator[tuple[tuple, np.ndarray]]:
+    """(block, word, num_sigs, slots) and the bits of each position, of one word after the other."""
+    unit, table = None, None
+    for batch in it:
+        keys = list(zip(*(batch[c].to_pylist() for c in ("block", "word", "num_sigs", "slots")), strict=True))
+        new = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]]
+        for a, b in zip(new, [*new[1:], len(keys)], strict=True):
+            if keys[a] != unit:
+                if unit is not None:
+                    yield unit, table
+                unit = keys[a]
+                table = np.zeros(unit[2], next(t for n, t in ((8, np.uint8), (16, np.uint16), (32, np.uint32), (64, np.uint64)) if unit[3] <= n))
+            if "kmers" in batch.schema.names:
+                for i in range(a, b):
+                    kmers, bit = batch["kmers"][i].values.to_numpy(), table.dtype.type(1 << batch["bit"][i].as_py())
+                    for at in _places(kmers, unit[2], num_hash):
+                        table[at] |= bit  # repeats are the same bit
+            else:
+                np.bitwise_or.at(table, batch["loc"].to_numpy()[a:b], batch["bits"].to_numpy()[a:b].view(np.uint64).astype(table.dtype))
+    if unit is not None:
+        yield unit, table
+
+
 def _places(kmers: np.ndarray, num_sigs: int, num_hash: int) -> list[np.ndarray]:
     """As locations()."""
     if num_hash == 1:
@@ -125,12 +184,7 @@ def _looked_up(queries: DataFrame, units: DataFrame, num_hash: int, min_kmers: i
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, kmers, ends, floor = shared.value
         arrow = to_arrow_schema(schema)
-        unit, table = None, None
-
-        def close() -> Iterator[pa.RecordBatch]:
-            if unit is None:
-                return
-            block, word, num_sigs, slots = unit
+        for (block, word, num_sigs, slots), table in _tables(it, num_hash):
             at = 0
             while at + 1 < len(ends):
                 end = max(at + 1, int(np.searchsorted(ends, ends[at] + _AT_ONCE, side="right")) - 1)
@@ -145,18 +199,6 @@ def _looked_up(queries: DataFrame, units: DataFrame, num_hash: int, min_kmers: i
                     yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
                 at = end
 
-        for batch in it:
-            loc, bits = batch["loc"].to_numpy(), batch["bits"].to_numpy().view(np.uint64)
-            keys = list(zip(*(batch[c].to_pylist() for c in ("block", "word", "num_sigs", "slots")), strict=True))
-            new = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]]
-            for a, b in zip(new, [*new[1:], len(keys)], strict=True):
-                if keys[a] != unit:
-                    yield from close()
-                    unit = keys[a]
-                    table = np.zeros(unit[2], next(t for n, t in ((8, np.uint8), (16, np.uint16), (32, np.uint32), (64, np.uint64)) if unit[3] <= n))
-                np.bitwise_or.at(table, loc[a:b], bits[a:b].astype(table.dtype))
-        yield from close()
-
     return units.mapInArrow(run, schema)
 
 

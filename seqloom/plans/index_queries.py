@@ -9,6 +9,7 @@ from seqloom.operators import bloom, search, sketch
 from seqloom.plans import inputs as I
 from seqloom.plans.inputs import K, kmers_sql, md5_sql, query_kmers_sql
 from seqloom.plans.search_queries import HITS_SQL, OUT_SQL, rounded, shaped
+from seqloom.session import settle
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -31,7 +32,7 @@ def sets(spark, d):
 
 
 def packed(spark, d, num_hash=1):
-    return bloom.pack(sets(spark, d), BLOCK, REGIMES, 0.3, num_hash)
+    return settle(bloom.pack(sets(spark, d), BLOCK, REGIMES, 0.3, num_hash))
 
 
 def size_sql(n: str, h: int, p: float) -> str:
@@ -78,7 +79,8 @@ def bloom_bit_matrix(spark, d):
 
 @query("bloom_dense_rows", f"WITH {pack_sql()}, {matrix_sql(1)}, w AS (SELECT block, loc, slot // 64 AS word, count(*) AS n FROM bits GROUP BY 1, 2, 3) SELECT block, count(*) AS words, CAST(sum(n) AS BIGINT) AS bits, max(n) AS fullest FROM w GROUP BY block")
 def bloom_dense_rows(spark, d):
-    w = bloom.dense_rows(bloom.bit_matrix(sets(spark, d), packed(spark, d))).withColumn("n", F.bit_count("bits").cast("long"))
+    p = packed(spark, d)
+    w = bloom.dense(bloom.filled(sets(spark, d), p), p).withColumn("n", F.bit_count("bits").cast("long"))
     return w.groupBy("block").agg(F.count("*").alias("words"), F.sum("n").alias("bits"), F.max("n").alias("fullest"))
 
 
@@ -98,7 +100,7 @@ def _search(h):
     def run(spark, d):
         q = sketch.query_kmers(I.queries(spark, d), K, "md5", min_len=30)
         p = packed(spark, d, h)
-        found = bloom.search(q, bloom.bit_matrix(sets(spark, d), p, h), p, h, min_kmers=10, min_q_cov=0.55)
+        found = bloom.search(q, bloom.filled(sets(spark, d), p), p, h, min_kmers=10, min_q_cov=0.55)
         return shaped(search.with_hits(search.filtered(found)))
 
     return run

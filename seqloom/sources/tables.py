@@ -78,10 +78,17 @@ def read_taxdump(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {"nodes": nodes, "names": names, "merged": merged, "deleted": deleted}
 
 
-def write_database(path: str, sets: DataFrame, matrix: DataFrame | None, packed: DataFrame | None, manifest: dict) -> None:
+def write_sets(path: str, sets: DataFrame) -> DataFrame:
+    """The sets of a database folder, written and read again."""
+    sets.write.mode("overwrite").parquet(f"{path}/sets")
+    return sets.sparkSession.read.parquet(f"{path}/sets")
+
+
+def write_database(path: str, sets: DataFrame, matrix: DataFrame | None, packed: DataFrame | None, manifest: dict, with_sets: bool = True) -> None:
     """A database folder: sets, and, where there is an index, its slots and words of bits by block; the manifest last."""
     spark = sets.sparkSession
-    sets.write.mode("overwrite").parquet(f"{path}/sets")
+    if with_sets:
+        write_sets(path, sets)
     if matrix is not None and packed is not None:
         packed.write.mode("overwrite").parquet(f"{path}/slots")
         matrix = bloom.dense_rows(matrix) if "slot" in matrix.columns else matrix

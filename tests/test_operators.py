@@ -294,7 +294,7 @@ def test_bloom_search_of_many_blocks(spark):
     q = spark.createDataFrame([(n, 50, len(k), k) for n, k in queries], "query string, q_len int, q_kmers int, kmers array<long>")
     bits = {t: {x % 200 for x in k} for t, _, k in refs}
     want = {(n, t, m) for n, k in queries for t in bits if (m := sum(x % 200 in bits[t] for x in k)) >= 4}
-    for matrix in (bloom.bit_matrix(sets, packed), bloom.dense_rows(bloom.bit_matrix(sets, packed))):
+    for matrix in (bloom.bit_matrix(sets, packed), bloom.dense_rows(bloom.bit_matrix(sets, packed)), bloom.filled(sets, packed)):
         found = bloom.search(q, matrix, packed, min_kmers=4)
         assert "0_4000" not in found._jdf.queryExecution().optimizedPlan().toString()
         got = found.collect()
@@ -311,6 +311,9 @@ def test_bloom_words_hold_64_slots(spark):
     q = spark.createDataFrame([(i, 60, 40, [(i * 977 + j * 31) % 5000 + 1 for j in range(40)]) for i in (0, 63, 64, 149)], "query long, q_len int, q_kmers int, kmers array<long>")
     got = {(r.query, r.target): r.m_kmers for r in bloom.search(q, matrix, packed, 2, min_kmers=40).collect()}
     assert all(got[i, i] == 40 for i in (0, 63, 64, 149))
+    words = bloom.dense(bloom.filled(sets, packed), packed, 2)
+    assert sorted(map(tuple, words.collect())) == sorted(map(tuple, bloom.dense_rows(matrix).collect()))
+    assert {(r.query, r.target): r.m_kmers for r in bloom.search(q, words, packed, 2, min_kmers=40).collect()} == got
     assert sorted(map(tuple, bloom.bits_of(bloom.dense_rows(matrix)).collect())) == sorted(map(tuple, matrix.select("block", "loc", "slot").distinct().collect()))
 
 
