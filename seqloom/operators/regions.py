@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.session import settle
+
+#: Fixed value: the default pattern of window names.
 NAME = r"^(.+)_sliding:(\d+)\-(\d+)$"
+#: Windows whose first one is looked for together.
+_RANGE = 1 << 16
 SPECIES, ASSEMBLY = "species-specific", "assembly-specific"
 
 
@@ -20,26 +25,50 @@ def windows(found: DataFrame, pattern: str = NAME, min_q_cov: float = 0.55, max_
     return per.select(ref.alias("ref"), F.regexp_extract("query", pattern, 2).try_cast("int").alias("begin"), F.regexp_extract("query", pattern, 3).try_cast("int").alias("end"), F.when(F.col("_n") == 1, assembly).otherwise(species).alias("type"), "score")
 
 
+_ORDER = ("ref", "begin", "end", "type", "score")
+
+
+def _in_order(items: DataFrame) -> DataFrame:
+    """items with their number _n in the order of all, and the item before each as _prev.
+
+    They are dealt by ranges of the order, so that a reference of any number of windows is
+    spread over tasks; what a range needs of those before it is one row and a count each."""
+    parts = max(1, int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = items.select(*_ORDER).repartitionByRange(parts, *_ORDER).withColumn("_p", F.spark_partition_id())
+    inside = Window.partitionBy("_p").orderBy(*_ORDER)
+    rows = settle(rows.withColumns({"_i": F.row_number().over(inside), "_prev": F.lag(F.struct("ref", "begin", "end", "type")).over(inside)}))
+    ends = rows.groupBy("_p").agg(F.count("*").alias("n"), F.max_by(F.struct("ref", "begin", "end", "type"), "_i").alias("last"))
+    over = Window.orderBy("_p")  # as many rows as ranges
+    ends = ends.select("_p", (F.sum("n").over(over.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("_b"), F.lag("last").over(over).alias("_last"))
+    return rows.join(F.broadcast(ends), "_p").select(*_ORDER, (F.col("_b") + F.col("_i")).alias("_n"), F.coalesce("_prev", "_last").alias("_prev"))
+
+
 def merge(items: DataFrame, max_gap: int = 0, min_overlap: int = 1, ignore_type: bool = False, species: str = SPECIES) -> DataFrame:
     """(ref, begin, end, type, score): windows joined while each overlaps the one before it; begin counts from 0.
 
     A region of windows of several targets halves its score towards each window it
     takes up. That fold is a sum with weights that are powers of two, so a region
-    needs two sums and no array. With max_gap, starts may be at most so far apart."""
-    w = Window.partitionBy("ref").orderBy("begin", "end", "type", "score")
-    prev_begin, prev_end, prev_type = (F.lag(c).over(w) for c in ("begin", "end", "type"))
-    goes_on = (F.col("begin") + min_overlap - 1 <= prev_end) & (F.lit(True) if ignore_type else F.col("type") == prev_type)
+    needs sums and no array. A region is named by the number of its first window, which
+    the windows find by the ranges between first ones. With max_gap, starts may be at most
+    so far apart."""
+    rows = _in_order(items)
+    prev = F.col("_prev")
+    goes_on = (prev["ref"] == F.col("ref")) & (F.col("begin") + min_overlap - 1 <= prev["end"]) & (F.lit(True) if ignore_type else F.col("type") == prev["type"])
     if max_gap > 0:
-        goes_on = goes_on & (F.col("begin") - prev_begin <= max_gap)
-    rows = items.withColumn("_new", (~F.coalesce(goes_on, F.lit(False))).cast("int"))
-    rows = rows.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    inside = Window.partitionBy("ref", "_island").orderBy("begin", "end", "type", "score")
-    whole = Window.partitionBy("ref", "_island")
-    rows = rows.withColumns({"_i": F.row_number().over(inside), "_n": F.count("*").over(whole)})
-    rows = rows.withColumn("_f", F.min(F.when(F.col("type") == species, F.greatest(F.col("_i"), F.lit(2)))).over(whole))
+        goes_on = goes_on & (F.col("begin") - prev["begin"] <= max_gap)
+    rows = rows.withColumn("_new", ~F.coalesce(goes_on, F.lit(False))).drop("_prev")
+    # The first window of each: counted on by ranges of numbers, each after the last first one before it.
+    step = F.floor(F.col("_n") / _RANGE)
+    rows = settle(rows.withColumn("_r", step))
+    before = rows.groupBy("_r").agg(F.max(F.when(F.col("_new"), F.col("_n"))).alias("m"))
+    before = before.select("_r", F.max("m").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)).alias("_at"))  # a row for each range
+    own = F.max(F.when(F.col("_new"), F.col("_n"))).over(Window.partitionBy("_r").orderBy("_n").rowsBetween(Window.unboundedPreceding, 0))
+    rows = settle(rows.withColumn("_own", own).join(F.broadcast(before), "_r").select(*_ORDER, "_n", F.coalesce("_own", "_at").alias("_island")))
+    whole = rows.groupBy("_island").agg(F.count("*").alias("_size"), F.min(F.when(F.col("type") == species, F.greatest(F.col("_n") - F.col("_island") + 1, F.lit(2)))).alias("_f"))
+    rows = rows.join(whole, "_island").withColumn("_i", F.col("_n") - F.col("_island") + 1)
     half = lambda n: F.pow(F.lit(0.5), n)
-    part = F.when(F.col("_i") == 1, F.when(F.col("_f").isNull() | (F.col("_f") > F.col("_n")), F.col("score")).otherwise(F.col("score") * half(F.col("_n") - F.col("_f") + 1)))
-    part = part.when(F.col("_i") >= F.col("_f"), F.col("score") * half(F.col("_n") - F.col("_i") + 1)).otherwise(0.0)
+    part = F.when(F.col("_i") == 1, F.when(F.col("_f").isNull() | (F.col("_f") > F.col("_size")), F.col("score")).otherwise(F.col("score") * half(F.col("_size") - F.col("_f") + 1)))
+    part = part.when(F.col("_i") >= F.col("_f"), F.col("score") * half(F.col("_size") - F.col("_i") + 1)).otherwise(0.0)
     kind = F.when(F.max((F.col("type") == species).cast("int")) == 1, F.lit(species)).otherwise(F.min("type"))
     out = rows.withColumn("_part", part).groupBy("ref", "_island").agg((F.min("begin") - 1).alias("begin"), F.max(F.struct("_i", "end")).alias("_e"), kind.alias("type"), F.sum("_part").alias("score"))
     return out.select("ref", F.col("begin").cast("int").alias("begin"), F.col("_e.end").alias("end"), "type", "score")

@@ -143,9 +143,13 @@ def test_no_database(spark, tmp_path):
         api.search(spark, spark.createDataFrame([("q", "ACGT")], "query string, seq string"), str(tmp_path))
 
 
-def test_split_genomes(spark, folder):
+def test_split_genomes(spark, folder, tmp_path):
     chunked, assigned = api.split_genomes(spark, folder, split_number=4, seq_name_filter=("plasmid",))
     assert chunked.count() == 4 and assigned.filter("m_kmers > 0").count() >= 0
+    fastx.write_fragments(assigned, str(tmp_path / "info"))
+    lines = [r.value for r in spark.read.text(str(tmp_path / "info")).collect()]
+    assert "file\tseqId\tmKmers\tchunkId\tfragLoc" in lines and len([x for x in lines if not x.startswith("file\t")]) == assigned.count()
+    assert api.version()
 
 
 def test_wrong_flags(spark):
