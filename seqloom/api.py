@@ -21,6 +21,16 @@ from seqloom.sources import fastx, reports, tables
 REF_NAME = r"(?i)([^/]+)\.(f[aq](st[aq])?|fna)(.gz)?$"
 
 
+def session(threads: int | str = "*", log_level: str = "WARN", **options: str) -> SparkSession:
+    """A session as the commands' root flags would have it: threads, how much is logged, any Spark option (dots as double underscores)."""
+    build = SparkSession.builder.master(f"local[{threads}]")
+    for name, value in options.items():
+        build = build.config(name.replace("__", "."), value)
+    spark = build.getOrCreate()
+    spark.sparkContext.setLogLevel(log_level)
+    return spark
+
+
 def version() -> str:
     from seqloom import __version__
 
@@ -45,15 +55,19 @@ def compute(
     seq_name_filter: tuple[str, ...] = (),
     kind: str = "md5",
     canonical: bool = True,
+    infile_list: str | None = None,
 ) -> DataFrame:
     """(target, chunk_idx, chunks, genome_size, n_kmers, kmers): k-mer sets of files or of records (file, pos, seq_id, name, seq).
 
     Sequences are DNA: of a k-mer and its reverse complement the lesser counts, windows with
     other letters are skipped. With canonical=False they are texts of any letters. Circular
     sequences have k-mers across their ends if they stay whole; chunks are linear, and
-    go round the end in genomes of one contig. settings_of() gives what index() is to know."""
+    go round the end in genomes of one contig. infile_list is a file of more paths, one a line.
+    settings_of() gives what index() is to know."""
     made = settings_of(k, scale, minimizer_w, syncmer_s, kind, canonical)
     ks = made.ks
+    if infile_list is not None:
+        inputs = [*([inputs] if isinstance(inputs, str) and inputs else inputs or []), *tables.read_list(spark, infile_list)]
     if isinstance(inputs, list) and len(set(inputs)) < len(inputs):
         raise ValueError("an input is given twice")
     records = inputs if isinstance(inputs, DataFrame) else fastx.read_fastx(spark, inputs, file_regexp)

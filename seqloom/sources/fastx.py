@@ -3,8 +3,8 @@
     register(spark)
     spark.read.format("fastx").option("fileNameRegexp", r"\\.fa(\\.gz)?$").load("/dir")
 
-One partition reads one file as a stream of records; gzip is recognised by its
-magic bytes, not its name. Files are found and opened through Spark's file
+One partition reads one file as a stream of records; gzip, bzip2, xz and zstandard
+are recognised by their magic bytes, not by name. Files are found and opened through Spark's file
 system layer when read by ``read_fastx``, so any store that Spark knows works. Files of
 more than ``WHOLE_BYTES`` are read there as lines, one file a task from front to end
 (gzip by its name); a single sequence must fit a string.
@@ -12,8 +12,10 @@ more than ``WHOLE_BYTES`` are read there as lines, one file a task from front to
 
 from __future__ import annotations
 
+import bz2
 import gzip
 import io
+import lzma
 import re
 from collections.abc import Iterator
 
@@ -63,9 +65,20 @@ def records(stream: io.BufferedIOBase) -> Iterator[tuple[str, str, str, str | No
 
 
 def opened(raw: io.BufferedIOBase) -> io.BufferedIOBase:
-    """The stream, unpacked if it starts like gzip."""
+    """The stream, unpacked if it starts like gzip, bzip2, xz or zstandard."""
     buffered = raw if isinstance(raw, io.BufferedReader) else io.BufferedReader(raw)
-    return io.BufferedReader(gzip.GzipFile(fileobj=buffered)) if buffered.peek(2)[:2] == b"\x1f\x8b" else buffered
+    start = buffered.peek(6)[:6]
+    if start.startswith(b"\x1f\x8b"):
+        return io.BufferedReader(gzip.GzipFile(fileobj=buffered))
+    if start.startswith(b"BZh"):
+        return io.BufferedReader(bz2.BZ2File(buffered))
+    if start.startswith(b"\xfd7zXZ\x00"):
+        return io.BufferedReader(lzma.LZMAFile(buffered))
+    if start.startswith(b"\x28\xb5\x2f\xfd"):
+        import zstandard
+
+        return io.BufferedReader(zstandard.ZstdDecompressor().stream_reader(buffered, read_across_frames=True))
+    return buffered
 
 
 def read_fastx(spark: SparkSession, paths: str | list[str], file_regexp: str = FILES, name_filter: list[str] | None = None, whole_bytes: int = WHOLE_BYTES) -> DataFrame:

@@ -138,6 +138,13 @@ def test_profile_tells_failures_and_counts(spark):
     assert (s.matched_reads, s.assigned_reads) == (130, 100) and s.assigned_pct == pytest.approx(100 / 1.3)
 
 
+def test_lists_of_inputs(spark, folder, tmp_path):
+    (tmp_path / "list").write_text(f"{folder}/a.fa\n{folder}/c.fa\n")
+    assert {r.target for r in api.compute(spark, "", infile_list=str(tmp_path / "list")).collect()} == {"a", "c"}
+    with pytest.raises(ValueError, match="twice"):
+        api.compute(spark, f"{folder}/a.fa", infile_list=str(tmp_path / "list"))
+
+
 def test_no_database(spark, tmp_path):
     with pytest.raises(ValueError, match="no database"):
         api.search(spark, spark.createDataFrame([("q", "ACGT")], "query string, seq string"), str(tmp_path))

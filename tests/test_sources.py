@@ -101,3 +101,15 @@ def test_large_files_are_read_by_lines(spark, tmp_path):
 def test_list_files(spark, tmp_path):
     (tmp_path / "list").write_text("/a/b.fa\n\n /c.fa \n")
     assert tables.read_list(spark, str(tmp_path / "list")) == ["/a/b.fa", "/c.fa"]
+
+
+def test_files_are_unpacked_by_their_first_bytes(spark, tmp_path):
+    import bz2
+    import lzma
+
+    import zstandard
+
+    text = b">r one\nACGT\n"
+    for name, pack in (("a", gzip.compress), ("b", bz2.compress), ("c", lzma.compress), ("d", zstandard.ZstdCompressor().compress), ("e", bytes)):
+        (tmp_path / f"{name}.fa").write_bytes(pack(text))
+    assert [(r.seq_id, r.seq) for r in fastx.read_fastx(spark, str(tmp_path)).collect()] == [("r", "ACGT")] * 5
