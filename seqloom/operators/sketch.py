@@ -181,17 +181,55 @@ def chunks(seqs: DataFrame, k: int, number: int = 0, size: int = 0, overlap: int
     else:
         window = F.lit(size)
     split = (length >= min_ref) & (window > o) if number > 1 or size else F.lit(False)
-    rows = seqs.select(F.col(id_col), F.col(seq_col).alias("_s"), length.alias("_n"), F.when(split, window).otherwise(length).alias("_w"), split.alias("_split"))
-    step = F.when(F.col("_split"), F.col("_w") - o).otherwise(F.greatest(F.col("_w"), F.lit(1)))
-    starts = F.sequence(F.lit(0), F.greatest(F.col("_n") - 1, F.lit(0)), step)
-    text = F.when(F.col("_split"), F.concat("_s", F.substring(F.col("_s"), F.lit(1), F.col("_w")))).otherwise(F.col("_s")) if circular and number > 1 else F.col("_s")
-    pieces = F.transform(starts, lambda at: F.struct(at.alias("begin"), F.substring(text, at + 1, F.col("_w")).alias("seq")))
-    kept = F.filter(pieces, lambda p: (~F.col("_split") & (F.length(p["seq"]) >= k)) | (F.col("_split") & (F.length(p["seq"]) - 1 > o) & (F.length(p["seq"]) >= k)))
-    if circular and number > 1:  # windows that wrap round: exactly so many, all of full length
-        kept = F.when(F.col("_split"), F.slice(pieces, 1, number)).otherwise(kept)
-    rows = rows.withColumn("_k", kept)
-    out = rows.select(id_col, F.size("_k").cast("int").alias("chunks"), F.posexplode("_k").alias("chunk_idx", "_p"))
-    return out.select(id_col, "chunk_idx", "chunks", F.col("_p.begin").cast("int").alias("begin"), F.col("_p.seq").alias("seq"))
+    round_ = circular and number > 1
+    rows = seqs.select(F.col(id_col), F.col(seq_col).alias("_s"), F.when(split, window).otherwise(length).cast("long").alias("_w"), split.alias("_split")).filter("_s is not null")
+
+    def cut(text: str, w: int, parted: bool) -> list[tuple]:
+        if not parted:
+            found = [(0, text)] if len(text) >= k else []
+        else:
+            whole = text + text[:w] if round_ else text
+            found = [(at, whole[at : at + w]) for at in range(0, len(text), w - o)]
+            # Windows that go round the end: exactly so many, all of full length.
+            found = found[:number] if round_ else [(at, x) for at, x in found if len(x) - 1 > o and len(x) >= k]
+        return [(i, len(found), at, x) for i, (at, x) in enumerate(found)]
+
+    return cut_up(rows, (id_col,), "chunk_idx int, chunks int, begin int, seq string", ("_s", "_w", "_split"), cut)
+
+
+#: Characters of pieces that leave a task together.
+_SENT = 1 << 24
+
+
+def cut_up(rows: DataFrame, keep: tuple[str, ...], schema: str, given: tuple[str, ...], cut: Callable[..., list[tuple]]) -> DataFrame:
+    """keep and what cut(given …) lists for each row, its last field a text.
+
+    In Python a piece of a text costs its own length; substring() walks from the start of the text."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    out = StructType([*(rows.schema[c] for c in keep), *StructType.fromDDL(schema)])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(out)
+        for batch in it:
+            owner, found, size = [], [], 0
+            for i, row in enumerate(zip(*(batch[c].to_pylist() for c in given), strict=True)):
+                for piece in cut(*row):
+                    owner.append(i)
+                    found.append(piece)
+                    size += len(piece[-1])
+                    if size > _SENT:
+                        yield sent(batch, owner, found, arrow)
+                        owner, found, size = [], [], 0
+            if found:
+                yield sent(batch, owner, found, arrow)
+
+    def sent(batch: pa.RecordBatch, owner: list[int], found: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
+        kept = [batch[c].take(pa.array(owner)) for c in keep]
+        cols = [pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), list(arrow)[len(keep) :], strict=True)]
+        return pa.RecordBatch.from_arrays([*kept, *cols], schema=arrow)
+
+    return rows.select(*keep, *given).mapInArrow(run, out)
 
 
 def _selected(codes: np.ndarray, top: int | None, unsigned: bool = False) -> np.ndarray:

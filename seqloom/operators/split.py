@@ -32,10 +32,12 @@ def choose_reference(genomes: DataFrame, id_col: str, contigs: str = "contigs",
 
 def fragments(seqs: DataFrame, k: int, size: int = 100, keep: tuple[str, ...] = ("ref_id",), seq_col: str = "seq") -> DataFrame:
     """(keep, begin, seq): windows of ``size`` that overlap by k-1; those shorter than k are left out."""
-    starts = F.sequence(F.lit(0), F.greatest(F.length(seq_col) - 1, F.lit(0)), F.lit(size - k + 1))
-    rows = seqs.select(*keep, F.col(seq_col).alias("_s"), F.explode(starts).alias("begin"))
-    rows = rows.select(*keep, "begin", F.substring(F.col("_s"), F.col("begin") + 1, F.lit(size)).alias("seq"))
-    return rows.filter(F.length("seq") >= k)
+    rows = seqs.select(*keep, F.coalesce(F.col(seq_col), F.lit("")).alias("_s"))
+
+    def cut(text: str) -> list[tuple]:
+        return [(at, text[at : at + size]) for at in range(0, len(text) - k + 1, size - k + 1)]
+
+    return sketch.cut_up(rows, keep, "begin int, seq string", ("_s",), cut)
 
 
 def assign_fragments(chunked: DataFrame, frags: DataFrame, k: int, keep: tuple[str, ...] = (), all_if_none: bool = False) -> DataFrame:
