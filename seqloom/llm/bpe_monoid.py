@@ -22,7 +22,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Callable
+from array import array
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import tiktoken
@@ -33,6 +34,8 @@ from seqloom.llm.batches import map_columns, strings, texts
 #: Longest leaf in characters: short enough that ordinary texts are joined from several.
 LEAF = 256
 _WINDOW = 32
+#: Tokens from which on they are kept as an array, and digested in parts.
+_PACKED = 1 << 14
 #: The library's engine is trusted with pieces of so many characters; beyond, see _encode_long.
 _ENGINE = 1 << 16
 #: A change after which encoding starts afresh; deliberately narrower than the pattern's own classes.
@@ -79,20 +82,30 @@ class Codec:
         return out
 
     def encode(self, text: str, leaf: int = LEAF) -> list[int]:
+        return list(self.tokens(text, leaf))
+
+    def tokens(self, text: str, leaf: int = LEAF) -> list[int] | array:
+        """As encode(); those of a long text as an array of four bytes each."""
         return self._tree(text, 0, len(text), leaf)
 
-    def _tree(self, text: str, lo: int, hi: int, leaf: int) -> list[int]:
+    def _tree(self, text: str, lo: int, hi: int, leaf: int) -> list[int] | array:
         if hi - lo <= leaf:
             return self.piece(text[lo:hi])
         mid = (lo + hi) // 2
         return self.join(text, lo, mid, hi, self._tree(text, lo, mid, leaf), self._tree(text, mid, hi, leaf))
 
-    def join(self, text: str, lo: int, mid: int, hi: int, left: list[int], right: list[int]) -> list[int]:
+    def join(self, text: str, lo: int, mid: int, hi: int, left, right) -> list[int] | array:
         """Tokens of text[lo:hi] from those of text[lo:mid] and text[mid:hi]."""
         a, b = self._before(text, lo, mid), self._after(text, mid, hi)
         keep = self._count(reversed(left), len(text[a:mid].encode()))
         drop = self._count(iter(right), len(text[mid:b].encode()))
-        return [*left[: len(left) - keep], *self.piece(text[a:b]), *right[drop:]]
+        seam = self.piece(text[a:b])
+        if len(left) + len(right) < _PACKED:
+            return [*left[: len(left) - keep], *seam, *right[drop:]]
+        out = array("I", left[: len(left) - keep])
+        out.extend(seam)
+        out.extend(right[drop:])
+        return out
 
     def _count(self, ids, size: int) -> int:
         """How many of the next tokens make up so many bytes; seams are ends of tokens, so it comes out even."""
@@ -127,10 +140,16 @@ class Codec:
             size *= 2
 
     def decode(self, ids: list[int], leaf: int = 8 * LEAF) -> bytes:
+        return b"".join(self.decoded(ids, leaf))
+
+    def decoded(self, ids, leaf: int = 8 * LEAF) -> Iterator[bytes]:
+        """decode() in parts: the leaves of its tree from left to right, whose concatenation is the text."""
         if len(ids) <= leaf:
-            return b"".join(map(self.pieces.__getitem__, ids))
+            yield b"".join(map(self.pieces.__getitem__, ids))
+            return
         mid = len(ids) // 2
-        return self.decode(ids[:mid], leaf) + self.decode(ids[mid:], leaf)
+        yield from self.decoded(ids[:mid], leaf)
+        yield from self.decoded(ids[mid:], leaf)
 
 
 def shared_codec(spark: SparkSession, path: str, pattern: str) -> Callable[[], Codec]:
@@ -171,10 +190,16 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
         codec = codec_of()
         n, sent, back = [], [], []
         for t in strings(batch["text"]):
-            ids = codec.encode(t)
+            ids = codec.tokens(t)
             n.append(len(ids))
-            sent.append(hashlib.sha256(",".join(map(codec.decimal.__getitem__, ids)).encode()).hexdigest())
-            back.append(hashlib.sha256(codec.decode(ids)).hexdigest())
+            digest = hashlib.sha256()
+            for at in range(0, len(ids), _PACKED):
+                digest.update(("," * (at > 0) + ",".join(map(codec.decimal.__getitem__, ids[at : at + _PACKED]))).encode())
+            sent.append(digest.hexdigest())
+            digest = hashlib.sha256()
+            for part in codec.decoded(ids):
+                digest.update(part)
+            back.append(digest.hexdigest())
         return {"doc_id": batch["doc_id"], "n_tokens": n, "ids_sha256": sent, "decoded_sha256": back}
 
     rows = texts(docs, id_col, text_col)

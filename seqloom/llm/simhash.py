@@ -10,13 +10,14 @@ A bucket yields one link from each member to the smallest member it reaches
 inside the bucket, never all pairs; components join these links.
 
 Defined results: null, empty and white-space texts have fingerprint zero and
-link like any other; texts of any length are hashed whole, their words held in memory;
+link like any other; texts of any length are hashed whole, part by part;
 bits set in exactly half of the shingles are 0; repeated rows keep one output row each; a null id is never
 the smallest; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations, repeat
 
@@ -36,27 +37,51 @@ BUCKET = 4096
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _LANES = (np.arange(8) * 256).astype(np.int32)
 _CHUNK = 1 << 16
+#: Bytes of text whose words are held at once.
+_PART = 1 << 18
+_WHITE = re.compile(rb"[ \t-\r]")
 
 
-def fingerprint(text: bytes) -> int:
+def _parts(text: bytes, limit: int) -> Iterator[bytes]:
+    """The text in parts of about ``limit`` bytes, cut at white space alone."""
+    at = 0
+    while len(text) - at > limit:
+        white = _WHITE.search(text, at + limit)
+        if white is None:
+            break
+        yield text[at : white.start()]
+        at = white.end()
+    yield text[at:] if at else text
+
+
+def fingerprint(text: bytes, limit: int = _PART) -> int:
     """Unsigned 64-bit SimHash of UTF-8 text over its word shingles, repeats included."""
-    words = text.lower().split()  # for bytes: A-Z, and white space \x20 \x09-\x0D
-    if not words:
-        return 0
-    if len(words) < SHINGLE:
-        digests = [xxhash.xxh64_digest(b" ".join(words), SEED)]
+    histogram, n, words = np.zeros(2048, np.int64), 0, []
+    for part in _parts(text, limit):
+        # For bytes lower() is A-Z, and split() is white space \x20 \x09-\x0D; the last words begin the next part's shingles.
+        words = [*words[1 - SHINGLE :], *part.lower().split()]
+        if len(words) >= SHINGLE:
+            count = len(words) - SHINGLE + 1
+            n += count
+            histogram += _histogram(map(b" ".join, zip(*(words[i:] for i in range(SHINGLE)), strict=False)), count)
+    if n == 0:
+        if not words:
+            return 0
         n = 1
-    else:
-        n = len(words) - SHINGLE + 1
-        digests = map(xxhash.xxh64_digest, map(b" ".join, zip(*(words[i:] for i in range(SHINGLE)), strict=False)), repeat(SEED))
-    joined = np.frombuffer(b"".join(digests), np.uint8).reshape(n, 8)
-    histogram = np.zeros(2048, np.int64)
-    for at in range(0, n, _CHUNK):
-        histogram += np.bincount((joined[at : at + _CHUNK] + _LANES).ravel(), minlength=2048)
+        histogram += _histogram([b" ".join(words)], 1)
     ones = np.einsum("lv,lvb->lb", histogram.reshape(8, 256), np.broadcast_to(_BITS, (8, 256, 8)))
     return int.from_bytes(np.packbits(2 * ones > n, axis=1, bitorder="little").tobytes(), "big")
 
 
+def _histogram(shingles, n: int) -> np.ndarray:
+    """How often each byte of the hash has each value."""
+    joined = np.frombuffer(b"".join(map(xxhash.xxh64_digest, shingles, repeat(SEED))), np.uint8).reshape(n, 8)
+    out = np.zeros(2048, np.int64)
+    for at in range(0, n, _CHUNK):
+        out += np.bincount((joined[at : at + _CHUNK] + _LANES).ravel(), minlength=2048)
+    return out
+
+
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 

@@ -26,6 +26,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Merged pre-tokens that are remembered, in number and in characters; a longer one than REMEMBERED never is.
 CACHE, CACHE_CHARS, REMEMBERED = 1 << 18, 1 << 24, 1 << 8
 
+#: Characters of a text whose pre-tokens are listed at once.
+_LISTED = 1 << 18
+
 _COUNTERS: dict[str, Counter] = {}
 
 
@@ -79,7 +82,7 @@ class Counter:
             self.pairs.setdefault((a, b), len(self.pairs))
             ranks.setdefault(bytes(alphabet[c] for c in a + b), len(ranks))
         self.encoding = tiktoken.Encoding("merges", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.split = regex.compile(PATTERN).findall
+        self.pattern = regex.compile(PATTERN)
         #: Vocabulary strings that no merges lead to, which the library would still take for one token.
         self.unreached: dict[str, int] = {}
         self.sizes = Cache(self.proven(model["vocab"], alphabet), self.merged)
@@ -113,6 +116,10 @@ class Counter:
                     self.unreached[text] = n
         return out
 
+    def split(self, text: str):
+        """The pre-tokens; of a long text one after the other, so that they are never all there."""
+        return self.pattern.findall(text) if len(text) <= _LISTED else (m.group() for m in self.pattern.finditer(text))
+
     def count(self, text: str) -> int:
         if self.special is None:
             return sum(map(self.sizes.__getitem__, self.split(text)))

@@ -5,9 +5,11 @@ import re
 import tracemalloc
 
 import numpy as np
+import public_tokenizers as P
 import pyarrow as pa
 import pytest
 
+from seqloom.llm import bpe_monoid, simhash, token_count
 from seqloom.llm import language_id as L
 from seqloom.llm import quality_mil as Q
 from seqloom.llm import spotsigs as S
@@ -103,7 +105,11 @@ def test_memory_does_not_follow_the_length_of_a_text():
     toxicity = T.Model(np.ones(1 << T.BITS, np.float32), 0.0)
     bitmap = np.zeros(1 << (W.BITMAP_BITS - 3), np.uint8)
     raw = column.cast(pa.binary())[0].as_py()
+    codec = bpe_monoid.Codec.of(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    counter = token_count.Counter.of(P.path("byte_bpe_50k.json"))
+    whole = raw.decode()
     runs = {
+        "fingerprint": lambda: simhash.fingerprint(raw), "count": lambda: counter.count(whole), "encode": lambda: sum(map(len, codec.decoded(codec.tokens(whole)))),
         "quality": lambda: quality.score(column), "language": lambda: language.predict(column), "toxicity": lambda: toxicity.score(column),
         "signatures": lambda: list(S.signatures(column)), "windows": lambda: list(W.windows(column, [8], bitmap)), "edited": lambda: len(S.edited(raw, raw)),
     }
@@ -115,6 +121,28 @@ def test_memory_does_not_follow_the_length_of_a_text():
         assert peak < 300 * size // 64, (name, peak)
 
 
+def test_fingerprints_part_by_part():
+    for text in (v for v in mixed(6, 200) if v):
+        want = simhash.fingerprint(text.encode())
+        assert [simhash.fingerprint(text.encode(), n) for n in (1, 7, 100)] == [want] * 3
+
+
+def test_tokens_of_long_texts():
+    codec = bpe_monoid.Codec.of(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    text = " ".join(mixed(7, 20_000)[:3])
+    ids = codec.encoding.encode_ordinary(text)
+    assert len(ids) > 2 * bpe_monoid._PACKED and codec.encode(text) == ids and list(codec.tokens(text)) == ids
+    assert b"".join(codec.decoded(codec.tokens(text))) == text.encode() == codec.decode(ids)
+
+
+def test_counts_of_long_texts(monkeypatch):
+    counter = token_count.Counter.of(P.path("byte_bpe_50k.json"))
+    values = [v or "" for v in mixed(8, 300)] + ["<|endoftext|> a <|endoftext|>"]
+    want = [counter.count(v) for v in values]
+    monkeypatch.setattr(token_count, "_LISTED", 10)
+    assert [counter.count(v) for v in values] == want
+
+
 def test_joined_is_a_block():
     b = joined([b"ab", b"", b"c"], 4)
     assert (b.first, b.end, list(b.texts())) == (4, 7, [b"ab", b"", b"c"])
