@@ -164,12 +164,3 @@ def lowered(block: Block) -> Block:
     if len(block.data) == 0 or block.data.max() < 128:
         return block._replace(data=_LOWER[block.data])
     return joined([t.decode("utf-8", "replace").lower().encode() for t in block.texts()], block.first)
-
-
-def reduce_rows(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Sums of consecutive slices along the first axis; an empty slice sums to zero."""
-    out = np.zeros((len(offsets) - 1, *values.shape[1:]), values.dtype if values.dtype.kind in "fu" else np.int64)
-    full = offsets[1:] > offsets[:-1]
-    if full.any():
-        out[full] = np.add.reduceat(values, offsets[:-1][full], axis=0)
-    return out
