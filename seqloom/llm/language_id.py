@@ -93,9 +93,11 @@ class Model:
         if len(names) < 2:
             return cls(names, code, np.zeros((DIMS, code.shape[1]), np.float32), np.ones(code.shape[1], np.float32) * 4, np.ones(code.shape[1], np.float32))
         y = np.array([names.index(x) for x in labels])
-        x = counts / np.maximum(counts.sum(1, keepdims=True), 1)
+        x = counts.astype(np.float32)
+        x /= np.maximum(x.sum(1, keepdims=True), 1)
         scale = np.sqrt(x.mean(0) + 1e-5)
-        x = (x / scale).astype(np.float32)
+        x /= scale
+        del counts
         share = np.bincount(y, minlength=len(names))[y].astype(np.float32)
         t, weight = code[y], (1 / share / len(names))[:, None]
         w, b = np.zeros((DIMS, code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
@@ -183,11 +185,11 @@ def learn(docs: DataFrame, held_out: int = 2, modulus: int = 4, per_language: in
         at = [np.flatnonzero(x) for x in p]
         return {"lang": batch["lang"], "at": [a.tolist() for a in at], "n": [x[a].tolist() for x, a in zip(p, at, strict=True)]}
 
-    got = map_columns(chosen.select("lang", "text"), run, "lang string, at array<int>, n array<float>").collect()
-    counts = np.zeros((len(got), DIMS), np.float32)
-    for i, r in enumerate(got):
-        counts[i, r["at"]] = r["n"]
-    return Model.fit(counts, [r["lang"] for r in got])
+    got = map_columns(chosen.select("lang", "text"), run, "lang string, at array<int>, n array<float>").toArrow()
+    counts = np.zeros((got.num_rows, DIMS), np.float32)
+    for i, (at, seen) in enumerate(zip(got["at"], got["n"], strict=True)):
+        counts[i, at.values.to_numpy()] = seen.values.to_numpy()
+    return Model.fit(counts, got["lang"].to_pylist())
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

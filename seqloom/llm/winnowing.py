@@ -27,6 +27,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -246,11 +247,11 @@ def _of_long(data: np.ndarray, sizes: list[int], bitmap: np.ndarray | None, limi
 
 
 class Index(NamedTuple):
-    """The benchmark's windows (size, fp, words, item), the sizes there are, a bitmap of fingerprints, whether to broadcast."""
+    """The benchmark's windows (size, fp, words, item), the sizes there are, a bitmap of fingerprints sent to all, whether rows may be too."""
 
     rows: DataFrame
     sizes: list[int]
-    bitmap: np.ndarray
+    bitmap: Broadcast
     small: bool
 
 
@@ -275,7 +276,8 @@ def index(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text
     masks = rows.select(F.shiftright(bit, 6).alias("at"), F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(fp, {64 - BITMAP_BITS}) & 63 AS INT))").alias("mask")).groupBy("at").agg(F.bit_or("mask").alias("mask")).toArrow()
     bitmap = np.zeros(1 << (BITMAP_BITS - 6), "<i8")
     bitmap[masks["at"].to_numpy()] = masks["mask"].to_numpy()
-    return Index(rows, sorted(r["size"] for r in per), bitmap.view(np.uint8), sum(r["n"] for r in per) <= broadcast_windows)
+    shared = benchmark.sparkSession.sparkContext.broadcast(bitmap.view(np.uint8))
+    return Index(rows, sorted(r["size"] for r in per), shared, sum(r["n"] for r in per) <= broadcast_windows)
 
 
 _AT = "array<struct<at:int,size:int,begin:bigint,stop:bigint,fp:bigint,words:binary>>"
@@ -283,8 +285,7 @@ _AT = "array<struct<at:int,size:int,begin:bigint,stop:bigint,fp:bigint,words:bin
 
 def _found(rows: DataFrame, idx: Index, keys: tuple[str, ...]) -> DataFrame:
     """keys, n_words and at, the windows that the bitmap may know, of each row (keys, text)."""
-    shared = rows.sparkSession.sparkContext.broadcast(idx.bitmap)
-    kinds, sizes = dict(rows.dtypes), idx.sizes
+    kinds, sizes, shared = dict(rows.dtypes), idx.sizes, idx.bitmap
 
     def run(batch: pa.RecordBatch) -> dict:
         got = list(windows(batch["text"], sizes, shared.value))
@@ -361,7 +362,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, at_least: int = 2, broadcast_wi
     Rows without a window that the bitmap may know stay where they lie; only the others,
     about as many as have leaks, are settled, numbered and joined."""
     idx = index(benchmark, broadcast_windows=broadcast_windows)
-    shared, sizes = docs.sparkSession.sparkContext.broadcast(idx.bitmap), idx.sizes
+    shared, sizes = idx.bitmap, idx.sizes
 
     def part(known: bool) -> DataFrame:
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
