@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from seqloom.functions.hashing import canonical_hashes, hashed, kmer_hashes, max_hash, segments, strands
+from seqloom.session import settle
 
 #: Rows that are turned to k-mers together, and the characters that end such a group earlier.
 GROUP_ROWS, GROUP_CHARS = 1024, 1 << 20
@@ -331,9 +332,11 @@ def query_sets(queries: DataFrame, settings: Settings, k: int, dedup_above: int
 def numbered(df: DataFrame, order: list[str]) -> DataFrame:
     """Adds query_idx: 0, 1, 2 … in the given order, without one task for all rows.
 
-    Rows are dealt by ranges of the order; a range's numbers start after the count of those before."""
+    Rows are dealt by ranges of the order; a range's numbers start after the count of those
+    before. The ranges come from a sample that differs from one computation to the next, so
+    they are settled before they are counted."""
     parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id())
+    ranged = settle(df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()))
     counts = ranged.groupBy("_p").count()
     before = counts.select("_p", (F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("count")).alias("_b"))
     inside = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
