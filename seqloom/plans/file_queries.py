@@ -124,9 +124,9 @@ def bed_file(spark, d):
     return rows.select("ref", F.col("begin_").cast("int").alias("begin_"), F.col("end_").cast("int").alias("end_"), "type")
 
 
-@query("profile_file", f"WITH RECURSIVE {PQ.em_sql(0)} SELECT CAST(target AS VARCHAR) AS ref, round(percentage, 4) AS percentage, round(coverage, 4) AS coverage FROM em0")
+@query("profile_file", f"WITH RECURSIVE {PQ.em_sql(0)} SELECT CAST(target AS VARCHAR) AS ref, CAST(printf('%.6f', percentage) AS DOUBLE) AS percentage, CAST(printf('%.6f', coverage) AS DOUBLE) AS coverage FROM em0")
 def profile_file(spark, d):
     place = shared_folder(spark, "profile")
     reports.write_tsv(reports.profile_table(PQ._em(spark, d, 0)), place)
     rows = spark.read.option("sep", "\t").option("header", True).csv(place)
-    return rows.select("ref", *[F.round(F.col(c).cast("double"), 4).alias(c) for c in ("percentage", "coverage")])
+    return rows.select("ref", *[F.col(c).cast("double").alias(c) for c in ("percentage", "coverage")])
