@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.operators import sketch
+from seqloom.session import settle
+
+#: K-mers of chunks up to which they are broadcast; beyond, fragments' k-mers are shuffled to them.
+BROADCAST_KMERS = 1_000_000
 
 
 def blacklist(records: DataFrame, name_col: str, patterns: list[str]) -> DataFrame:
@@ -45,7 +49,9 @@ def assign_fragments(chunked: DataFrame, frags: DataFrame, k: int, keep: tuple[s
 
     Fragments that a chunk contains whole are dropped; those that share nothing go
     to all chunks if asked for."""
-    c = sketch.exploded(sketch.kmer_sets(chunked, k), ("ref_id", "chunk_idx"))
+    c = settle(sketch.exploded(sketch.kmer_sets(chunked, k), ("ref_id", "chunk_idx")))
+    # The chunks of a few genomes go to the fragments, so that no k-mer of a fragment is shuffled but shared ones.
+    c = F.broadcast(c) if c.count() <= BROADCAST_KMERS else c
     sets = sketch.kmer_sets(frags, k, keep=("ref_id", *keep, "begin"))
     f = sets.select("ref_id", *keep, "begin", "n_kmers", F.explode("kmers").alias("kmer"))
     shared = f.join(c, ["ref_id", "kmer"]).groupBy("ref_id", *keep, "begin", "n_kmers", "chunk_idx").agg(F.count("*").alias("m_kmers"))

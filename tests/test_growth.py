@@ -45,7 +45,7 @@ def tables(spark, tmp_path_factory):
 RECORDS = 60
 
 
-@pytest.mark.parametrize("name", ["canonical_kmers", "bloom_bit_matrix", "bloom_dense_rows", "bloom_search", "bloom_search_multihash", "index_density"])
+@pytest.mark.parametrize("name", ["canonical_kmers", "bloom_bit_matrix", "bloom_dense_rows", "bloom_search", "bloom_search_multihash", "index_density", "assign_fragments"])
 def test_no_row_for_each_kmer_is_shuffled(spark, tables, name):
     records, size = shuffled(spark, lambda: catalog.QUERIES[name](spark, tables).collect())
     assert records <= RECORDS * DOCS
