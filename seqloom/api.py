@@ -56,14 +56,19 @@ def compute(
     kind: str = "md5",
     canonical: bool = True,
     infile_list: str | None = None,
+    texts: bool = False,
 ) -> DataFrame:
-    """(target, chunk_idx, chunks, genome_size, n_kmers, kmers): k-mer sets of files or of records (file, pos, seq_id, name, seq).
+    """(target, chunk_idx, chunks, genome_size, n_kmers, kmers or seq): k-mer sets of files or of records (file, pos, seq_id, name, seq).
 
     Sequences are DNA: of a k-mer and its reverse complement the lesser counts, windows with
     other letters are skipped. With canonical=False they are texts of any letters. Circular
     sequences have k-mers across their ends if they stay whole; chunks are linear, and
     go round the end in genomes of one contig. infile_list is a file of more paths, one a line.
+    texts: with the sequence instead of its k-mers, which a database then makes anew from it
+    where they are used; a k-mer takes eight bytes, a letter one at most.
     settings_of() gives what index() is to know."""
+    if texts and circular:
+        raise ValueError("texts don't say that they are circular")
     made = settings_of(k, scale, minimizer_w, syncmer_s, kind, canonical)
     ks = made.ks
     if infile_list is not None:
@@ -79,14 +84,14 @@ def compute(
         whole = sketch.concatenated(named, "target", "pos", max(ks))
         refs = whole.withColumn("genome_size", (F.length("seq") - (F.col("contigs") - 1) * (max(ks) - 1)).cast("long"))
     parts = split_number > 1 or split_size > 0
-    cut = lambda rows, round_: sketch.chunks(rows, max(ks), split_number, split_size, split_overlap, split_min_ref, round_, id_col="target")
+    cut = lambda rows, round_: sketch.chunks(rows, max(ks), split_number, split_size, split_overlap, split_min_ref, round_, id_col="target", keep=("genome_size",))
     if circular and split_number > 1:
         chunked = cut(refs.filter("contigs = 1"), True).unionByName(cut(refs.filter("contigs > 1"), False))
     else:
         chunked = cut(refs, False)
-    keys = ("target", "chunk_idx", "chunks")
-    sets = sketch.sets_of(chunked, made, keys, circular=circular and not parts)
-    return sets.join(refs.select("target", "genome_size"), "target").select(*keys, "genome_size", "n_kmers", "kmers")
+    keys = ("target", "chunk_idx", "chunks", "genome_size")
+    sets = sketch.sets_of(chunked, made, (*keys, "seq") if texts else keys, circular=circular and not parts)
+    return sets.select(*keys, "n_kmers", "seq" if texts else "kmers")
 
 
 def settings_of(k: int | tuple[int, ...] = 21, scale: int = 1, minimizer_w: int = 0, syncmer_s: int = 0, kind: str = "md5", canonical: bool = True) -> sketch.Settings:
@@ -119,9 +124,9 @@ def index(
     packed = settle(bloom.pack(sets, size, regimes, fpr, num_hash))
     if dry_run:
         return bloom.index_info(packed, num_hash)
-    matrix = bloom.dense(bloom.filled(sets, packed), packed, num_hash)
     total = sets.agg(F.sum("n_kmers")).first()[0] or 0
     manifest = settings_of().manifest() | {"num_hash": num_hash, "fpr": fpr, "block_size": size, "kmers": total, "names": names} | settings
+    matrix = bloom.dense(bloom.filled(sets, packed), packed, num_hash, sketch.Settings.of(dict.fromkeys(sketch.Settings().manifest()) | manifest))
     tables.write_database(out_dir, sets, matrix, packed, manifest, with_sets=False)
     return bloom.index_info(sets.sparkSession.read.parquet(f"{out_dir}/slots"), num_hash)
 
@@ -173,7 +178,7 @@ def search(
         m = db["manifest"]
         # An index knows false hits at its nominal rate; exact counts have none.
         rate = None if exact else m["fpr"]
-        info = db["sets"].select("target", "chunk_idx", "chunks", F.col("genome_size").alias("t_len"))
+        info = db["names"].select("target", "chunk_idx", "chunks", F.col("genome_size").alias("t_len"))
         tries = []
         for k in sorted(made.ks, reverse=True):
             for seq, seq2 in columns[: None if try_se else 1]:

@@ -33,7 +33,7 @@ def database_search(spark, d):
     text = F.col("ref_id").cast("string")
     records = SQ.dna(spark, d).select(F.lit("documents").alias("file"), F.col("ref_id").alias("pos"), text.alias("seq_id"), text.alias("name"), "seq")
     place = shared_folder(spark, "database")
-    api.index(api.compute(spark, records, k=K, by_seq=True), f"{place}/one", **api.settings_of(K).manifest())
+    api.index(api.compute(spark, records, k=K, by_seq=True, texts=True), f"{place}/one", **api.settings_of(K).manifest())
     queries = SQ._reversed_queries(spark, d).withColumn("pos", F.col("query"))
     found = api.search(spark, queries, place, min_kmers=5, exact=True)
     return SQ.shaped(found.withColumn("target", F.col("target").cast("long")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.operators import bloom
+from seqloom.operators import bloom, sketch
 from seqloom.operators.matches import latest
 from seqloom.sources import schemas as S
 
@@ -92,19 +92,24 @@ def write_database(path: str, sets: DataFrame, matrix: DataFrame | None, packed:
     if matrix is not None and packed is not None:
         packed.write.mode("overwrite").parquet(f"{path}/slots")
         matrix = bloom.dense_rows(matrix) if "slot" in matrix.columns else matrix
-        matrix.repartition("block", "word").sortWithinPartitions("word", "loc").write.mode("overwrite").partitionBy("block").parquet(f"{path}/bits")
+        matrix.repartition("block", "word").sortWithinPartitions("block", "word", "loc").write.mode("overwrite").partitionBy("block").parquet(f"{path}/bits")
     row = {f.name: manifest.get(f.name) for f in S.MANIFEST.fields} | {"version": S.DB_VERSION}
     spark.createDataFrame([tuple(row[f.name] for f in S.MANIFEST.fields)], S.MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
 
 
 def read_database(spark: SparkSession, path: str) -> dict:
-    """manifest (dict), sets, and slots and bits where they were written."""
+    """manifest (dict), names (sets without k-mers), sets, and slots and bits where they were written.
+
+    Where the database keeps texts, their k-mers are made from them as the manifest says."""
     from pyspark.errors import AnalysisException
 
     manifest = spark.read.schema(S.MANIFEST).parquet(f"{path}/manifest").first()
     if manifest is None or manifest["version"] != S.DB_VERSION:
         raise ValueError(f"{path} is not a database of version {S.DB_VERSION}")
-    out = {"manifest": manifest.asDict(), "sets": spark.read.parquet(f"{path}/sets")}
+    kept = spark.read.parquet(f"{path}/sets")
+    names = kept.drop("kmers", "seq")
+    sets = kept if "kmers" in kept.columns else sketch.sets_of(kept, sketch.Settings.of(manifest.asDict()), tuple(c for c in names.columns if c != "n_kmers"))
+    out = {"manifest": manifest.asDict(), "names": names, "sets": sets}
     try:
         out |= {"slots": spark.read.parquet(f"{path}/slots"), "bits": spark.read.parquet(f"{path}/bits")}
     except AnalysisException:

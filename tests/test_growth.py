@@ -2,10 +2,12 @@
 
 import random
 import tracemalloc
+from pathlib import Path
 
 import pyarrow as pa
 import pytest
 
+from seqloom import api
 from seqloom.functions import hashing
 from seqloom.operators import sketch
 from seqloom.plans import catalog
@@ -52,6 +54,28 @@ def test_no_row_for_each_kmer_is_shuffled(spark, tables, name):
     assert size <= 4 * DOCS * LETTERS  # a k-mer alone would take eight bytes a letter
 
 
+def test_a_database_of_texts_is_no_larger_than_they_are(spark, tmp_path):
+    rng = random.Random(4)
+    texts = {f"s{i}": "".join(rng.choice("ACGT") for _ in range(2000)) for i in range(20)}
+    rows = [("f", i, n, n, t) for i, (n, t) in enumerate(texts.items())]
+    records = spark.createDataFrame(rows, "file string, pos int, seq_id string, name string, seq string")
+    found = {}
+    for form in (False, True):
+        place = tmp_path / f"db{form}"
+        api.index(api.compute(spark, records, by_seq=True, texts=form), str(place), num_hash=2, **api.settings_of().manifest())
+        queries = spark.createDataFrame([(n, t[300:500]) for n, t in list(texts.items())[:7]], "query string, seq string")
+        found[form] = [sorted((r.query, r.target, r.t_kmers, r.m_kmers, r.t_len) for r in api.search(spark, queries, str(place), exact=e).collect()) for e in (False, True)]
+        kept = sum(p.stat().st_size for p in Path(place / "sets").glob("*.parquet"))
+        assert (kept < 2 * 20 * 2000) == form
+    assert found[True] == found[False] and {r[0] for r in found[True][1]} == set(list(texts)[:7])
+
+
+def test_database_of_equal_names_keeps_each_set_once(spark):
+    rows = [("f", 0, "same", "same", "ACGTTGCA" * 20), ("g", 0, "same", "same", "AACCGGTTA" * 30)]
+    sets = api.compute(spark, spark.createDataFrame(rows, "file string, pos int, seq_id string, name string, seq string"), by_seq=True)
+    assert sorted(r.genome_size for r in sets.collect()) == [160, 270]
+
+
 def test_canonical_summary_puts_rows_of_an_id_together(spark):
     rng = random.Random(5)
     data = [(i % 4, "".join(rng.choice("ACGT") for _ in range(60)) + "N" + "ACGTTTGACC" * 6) for i in range(6)] + [(7, "ACG"), (8, None)]
