@@ -91,8 +91,10 @@ def write_database(path: str, sets: DataFrame, matrix: DataFrame | None, packed:
         write_sets(path, sets)
     if matrix is not None and packed is not None:
         packed.write.mode("overwrite").parquet(f"{path}/slots")
-        matrix = bloom.dense_rows(matrix) if "slot" in matrix.columns else matrix
-        matrix.repartition("block", "word").sortWithinPartitions("block", "word", "loc").write.mode("overwrite").partitionBy("block").parquet(f"{path}/bits")
+        # dense() gives the rows of a word together and in order already; they aren't shuffled again.
+        if "slot" in matrix.columns:
+            matrix = bloom.dense_rows(matrix).repartition("block", "word").sortWithinPartitions("block", "word", "loc")
+        matrix.write.mode("overwrite").partitionBy("block").parquet(f"{path}/bits")
     row = {f.name: manifest.get(f.name) for f in S.MANIFEST.fields} | {"version": S.DB_VERSION}
     spark.createDataFrame([tuple(row[f.name] for f in S.MANIFEST.fields)], S.MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
 
