@@ -52,3 +52,34 @@ def test_whole_file_search_shuffles_texts_not_kmers(spark, tmp_path):
     spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "conv_id long, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     records, _ = shuffled(spark, lambda: catalog.QUERIES["search_whole_file"](spark, str(tmp_path)).collect())
     assert records < RECORDS * len(texts)
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_code_pairs_are_the_join_by_code(spark, kind):
+    rng = random.Random(8)
+    places = [(i, h) for h in range(400) for i in rng.sample(range(90), rng.choice([1, 1, 2, 3, 40, 88]))]
+    n = {i: sum(j == i for j, _ in places) for i in range(90)}
+    df = spark.createDataFrame([(i, n[i], h << 33) for i, h in places], "id long, n long, h long").withColumn("id", F.col("id").cast(kind))
+    x, y = (df.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), "h") for c in "ab")
+    want = sorted(map(tuple, x.join(y, "h").filter("a < b").groupBy("a", "b", "na", "nb").count().select("a", "b", "count", "na", "nb").collect()))
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    try:
+        for rows in ("1", "7", "10000"):
+            spark.conf.set(size, rows)
+            assert sorted(map(tuple, pairs.code_pairs(df, blocks=3).collect())) == want
+    finally:
+        spark.conf.set(size, before)
+    assert len(pairs.code_pairs(df, 100, blocks=3).collect()) == sum(w[2] >= 100 for w in want)
+
+
+def test_sketch_similarity_shuffles_hashes_not_pairs(spark, tmp_path):
+    rng = random.Random(9)
+    line = "".join(rng.choice("abcdefgh") for _ in range(2000))
+    docs = [(i, line + f" {i} " + "".join(rng.choice("abcdefgh") for _ in range(100))) for i in range(300)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = []
+    records, _ = shuffled(spark, lambda: found.extend(catalog.QUERIES["sketch_similarity"](spark, str(tmp_path)).collect()))
+    hashes = catalog.QUERIES["fracminhash_sketch"](spark, str(tmp_path)).count()
+    classes = catalog.QUERIES["sketch_classes"](spark, str(tmp_path)).select("class").distinct().count()
+    assert len(found) == classes * (classes - 1) // 2 > hashes and records < 1.2 * hashes
