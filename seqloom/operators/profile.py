@@ -8,11 +8,17 @@ checkpoint folder, as the loop of the last stage would otherwise repeat all befo
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 from seqloom.operators import matches as M
 from seqloom.session import settle
@@ -47,6 +53,9 @@ class Params:
 #: Targets up to which a table of them is broadcast; beyond, rows are shuffled to it.
 BROADCAST_TARGETS = 500_000
 
+#: Pairs held back from ambiguity correction up to which they are sent to every task; beyond, pairs are shuffled.
+HELD_PAIRS = 100_000
+
 
 def to_all(t: DataFrame) -> DataFrame:
     """A settled table of targets, broadcast if it is small enough."""
@@ -126,6 +135,79 @@ def dominated(totals: DataFrame, pairs: DataFrame, p: Params) -> DataFrame:
     return both.filter(beats("a", "b")).select(F.col("b").alias("loser"), F.col("a").alias("winner")).unionByName(both.filter(beats("b", "a")).select(F.col("a").alias("loser"), F.col("b").alias("winner")))
 
 
+def held_back(totals: DataFrame, pairs: DataFrame, p: Params) -> DataFrame:
+    """(winner, loser): pairs that differ enough in unique reads, but of which the first has too few matches besides the shared ones."""
+    t = totals.select("target", "sum_match", "uniq")
+    both = pairs
+    for x in "ab":
+        both = both.join(to_all(t.select(F.col("target").alias(x), F.col("sum_match").alias(f"m{x}"), F.col("uniq").alias(f"u{x}"))), x)
+    keep = F.lit(1 - p.dominance)
+
+    def side(x: str, y: str) -> Column:
+        held = (F.col(f"u{y}") < F.col(f"u{x}") * p.mismatch) & ~(F.col(f"m{x}") * keep >= F.col("shared"))
+        return F.when(held, F.struct(F.col(x).alias("winner"), F.col(y).alias("loser")))
+
+    return both.select(F.explode(F.array(side("a", "b"), side("b", "a"))).alias("s")).filter("s is not null").select("s.winner", "s.loser")
+
+
+def corrected_in_rows(rows: DataFrame, totals: DataFrame, held: set[tuple], p: Params) -> DataFrame:
+    """As corrected(), from the targets' unique reads: one wins where they differ enough, unless that pair is held back.
+
+    A query's meetings then need nothing but its own targets, so no pair is shuffled."""
+    firsts = rows.filter("is_first and n_targets > 1").join(to_all(totals.select("target", "uniq")), "target")
+    line = firsts.groupBy("query").agg(F.array_sort(F.collect_list(F.struct((-F.col("q_cov")).alias("c"), "target", "uniq"))).alias("t")).filter("size(t) > 1")
+    line = line.select("query", F.transform("t", lambda x: x["target"]).alias("t"), F.transform("t", lambda x: x["uniq"]).alias("u"))
+    out = StructType([line.schema["query"], StructField("gone", line.schema["t"].dataType)])
+    mismatch, sides = p.mismatch, {t for pair in held for t in pair}
+
+    def alike(u: np.ndarray) -> np.ndarray:
+        """Which targets are gone, of queries that have equally many: a row for each."""
+        lost = np.zeros(u.shape, bool)
+        for i in range(u.shape[1]):
+            turn = ~lost[:, i]
+            for j in range(i + 1, u.shape[1]):
+                both = turn & ~lost[:, j]
+                wins = both & (u[:, j] < u[:, i] * mismatch)
+                lost[:, i] |= both & ~wins & (u[:, i] < u[:, j] * mismatch)
+                lost[:, j] |= wins
+        return lost
+
+    def single(t: list, u: list[float]) -> list[bool]:
+        """The same of one query, looking at the pairs that are held back."""
+        lost = [False] * len(u)
+        for i in range(len(u)):
+            if lost[i]:
+                continue
+            for j in range(i + 1, len(u)):
+                if lost[j]:
+                    continue
+                if u[j] < u[i] * mismatch and (t[i], t[j]) not in held:
+                    lost[j] = True
+                elif u[i] < u[j] * mismatch and (t[j], t[i]) not in held:
+                    lost[i] = True
+        return lost
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, t, u = (pc.list_value_length(batch["t"]).to_numpy(), batch["t"].flatten(), batch["u"].flatten().to_numpy())
+            starts = np.cumsum(n) - n
+            lost, slow = np.zeros(len(u), bool), np.zeros(len(n), bool)
+            if sides:
+                slow[np.repeat(np.arange(len(n)), n)[pc.is_in(t, pa.array(list(sides), t.type)).to_numpy(zero_copy_only=False)]] = True
+            for size in np.unique(n[~slow]).tolist():
+                own = starts[(n == size) & ~slow][:, None] + np.arange(size)
+                lost[own] = alike(u[own])
+            for i in np.flatnonzero(slow).tolist():
+                end = starts[i] + n[i]
+                lost[starts[i] : end] = single(t[starts[i] : end].to_pylist(), u[starts[i] : end].tolist())
+            number = np.add.reduceat(lost.astype(np.int32), starts) if len(n) else n
+            gone = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(number))), pa.int32()), t.filter(pa.array(lost)))
+            yield pa.RecordBatch.from_arrays([batch["query"], gone.cast(to_arrow_schema(out).field("gone").type)], names=out.names).filter(pa.array(number > 0))
+
+    per_query = line.mapInArrow(run, out)
+    return rows.join(per_query, "query", "left").filter("gone is null or not array_contains(gone, target)").drop("gone")
+
+
 def corrected(rows: DataFrame, lost: DataFrame) -> DataFrame:
     """Rows without those whose target loses to another of the same query.
 
@@ -242,8 +324,12 @@ def _before_em(base: DataFrame, by_species: bool, sizes: DataFrame, p: Params) -
     first = settle(stage1(marked(base, by_species, p), p))
     rows = settle(marked(restricted(base, first), by_species, p), laid_out=True)
     if p.ambiguity:
-        lost = settle(dominated(first, cooccurrence(rows), p))
-        rows = marked(corrected(rows, lost).drop("n_qt", "is_first", "n_targets", "same"), by_species, p.but(perfect=False, main_gap=None, top_n=0))
+        held = settle(held_back(first, cooccurrence(rows), p)).limit(HELD_PAIRS + 1).collect()
+        if len(held) <= HELD_PAIRS:
+            kept = corrected_in_rows(rows, first, {tuple(h) for h in held}, p)
+        else:
+            kept = corrected(rows, settle(dominated(first, cooccurrence(rows), p)))
+        rows = marked(kept.drop("n_qt", "is_first", "n_targets", "same"), by_species, p.but(perfect=False, main_gap=None, top_n=0))
     t = targets_of(weighed_chunks(rows, p, None), sizes, p)
     return rows, t, existing(t, p)
 

@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from seqloom.operators import profile
 from seqloom.plans.modes import mode
@@ -141,3 +142,24 @@ def test_profile_to_convergence(spark, seed, level):
     for r in got:
         for c in ("reads", "uniq", "hic", "bases", "chunks_frac", "depth_sd", "coverage", "score", "percentage"):
             assert r[c] == pytest.approx(want[r.target][c], rel=1e-7, abs=1e-7), (r.target, c)
+
+
+@pytest.mark.parametrize("mismatch", [0.3, 0.9, 1.5])
+@pytest.mark.parametrize("least", [0, 40])
+def test_correction_in_rows_is_the_one_by_pairs(spark, monkeypatch, mismatch, least):
+    """Meetings from unique reads alone keep what those from a table of pairs keep; with least, some pairs are held back."""
+    rng = random.Random(11)
+    found = []
+    for q in range(300):
+        for t in rng.sample("abcdefghij", rng.choice([1, 2, 3, 5, 8])):
+            found.append((q, t, rng.choice([0.6, 0.7, 0.8]), True))
+    df = spark.createDataFrame(found, "query long, target string, q_cov double, is_first boolean")
+    df = df.join(df.groupBy("query").agg(F.count("*").alias("n_targets")), "query")
+    totals = spark.createDataFrame([(t, float(rng.choice([least + 5, 300])), float(i % 4 * 10 + 5)) for i, t in enumerate("abcdefghij")], "target string, sum_match double, uniq double")
+    p = mode(3, dominance=0.05, mismatch=mismatch)
+    pairs = profile.cooccurrence(df)
+    held = {tuple(h) for h in profile.held_back(totals, pairs, p).collect()}
+    assert held
+    want = sorted(map(tuple, profile.corrected(df, profile.dominated(totals, pairs, p)).select("query", "target").collect()))
+    got = sorted(map(tuple, profile.corrected_in_rows(df, totals, held, p).select("query", "target").collect()))
+    assert got == want and len(got) < len(found)
